@@ -15,3 +15,8 @@ def structure_strata(structures: DataFrame) -> tuple[DataFrame, list[str]]:
         {"num_atoms": S.heavy_atoms(F.col("smiles")), "num_rings": S.ring_count(F.col("smiles"))}
     )
     return sampling.add_strata(counted, sampling.DEFAULT_BINS)
+
+
+def convert_estrings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Annotated strings to plain structure text with the outcome category."""
+    return df.select(key, S.convert_estring(F.col(text)).alias("c")).select(key, "c.smiles", "c.category")
