@@ -30,9 +30,18 @@ def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table stored in fewer pieces than there are; a table of many
+    files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, key)
+
+
 def doc_lines(documents: DataFrame) -> DataFrame:
     """One row per text line: (doc_id, line_id, text, lang, source)."""
-    return documents.select(
+    return spread(documents.select("doc_id", "lang", "source", "text"), "doc_id").select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_id", "text")
     )
 
@@ -43,7 +52,8 @@ def words(text: Column) -> Column:
 
 def structures(documents: DataFrame) -> DataFrame:
     """Every run of twelve words becomes one structure string with its star labels."""
-    listed = documents.select("doc_id", "source", words(F.col("text")).alias("words")).filter(
+    slim = spread(documents.select("doc_id", "source", "text"), "doc_id")
+    listed = slim.select("doc_id", "source", words(F.col("text")).alias("words")).filter(
         F.size("words") > 0
     )
     runs = listed.select(
