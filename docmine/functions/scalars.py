@@ -133,7 +133,7 @@ def shingle_bits(tokens: Column, n: int = 3, n_bits: int = 2048) -> Column:
         grams,
         lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint"), F.lit(n_bits)).cast("int"),
     )
-    return F.when(F.size(tokens) > 0, F.array_sort(F.array_distinct(slots))).otherwise(
+    return F.when(F.size(tokens) > 0, F.sort_array(F.array_distinct(slots))).otherwise(
         F.array().cast("array<int>")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmine.functions import structures as S
@@ -61,12 +61,12 @@ def mass(atoms: DataFrame, weights: DataFrame, key: str = "mol_id") -> DataFrame
 
 
 def mass_composition(atoms: DataFrame, weights: DataFrame, key: str = "mol_id") -> DataFrame:
-    """Percentage of the mass per element."""
+    """Percentage of the mass per element. After the count a molecule has one row per
+    element, so the window over it is small."""
     counts = atoms.groupBy(key, "symbol").agg(F.count(F.lit(1)).alias("n"))
     parts = counts.join(weights, "symbol").withColumn("part", F.col("n") * F.col("weight"))
-    return with_group_stats(parts, [key], _all=F.sum("part")).select(
-        key, "symbol", (F.try_divide("part", "_all") * 100).alias("pct")
-    )
+    total = F.sum("part").over(Window.partitionBy(key))
+    return parts.select(key, "symbol", (F.try_divide("part", total) * 100).alias("pct"))
 
 
 def degree(bonds: DataFrame, key: str = "mol_id") -> DataFrame:

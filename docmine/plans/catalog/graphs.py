@@ -14,7 +14,7 @@ from docmine.plans.registry import query
 
 # Standard atomic weights of the elements the fragments hold.
 WEIGHTS = {"H": 1.008, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "S": 32.06, "Cl": 35.45, "Br": 79.904}
-WEIGHTS_SQL = "weights AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in WEIGHTS.items()) + ") w(symbol, weight))"
+WEIGHTS_SQL = "weights AS (SELECT symbol, weight::DOUBLE AS weight FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in WEIGHTS.items()) + ") w(symbol, weight))"
 
 
 def tables(t):

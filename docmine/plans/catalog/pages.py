@@ -57,7 +57,10 @@ def regions(t):
     )
 
 
-RULE = T.has_variable_definition(F.col("text"), MARKS, PHRASES)
+def rule():
+    return T.has_variable_definition(F.col("text"), MARKS, PHRASES)
+
+
 RULE_SQL = f"({any_sql('text', MARKS)} AND {any_sql('text', PHRASES)})"
 
 
@@ -73,7 +76,7 @@ RULE_SQL = f"({any_sql('text', MARKS)} AND {any_sql('text', PHRASES)})"
 )
 def mine_pages_funnel(t):
     """Allow-list, text rule, structure rule on the hits, outcome counts."""
-    return P.funnel(P.document_status(P.mine_pages(lines(t), t.labels, regions(t), RULE)))
+    return P.funnel(P.document_status(P.mine_pages(lines(t), t.labels, regions(t), rule())))
 
 
 @query(
@@ -84,7 +87,7 @@ def mine_pages_funnel(t):
     SELECT doc_id, page_index FROM saved""",
 )
 def mine_pages_documents(t):
-    return P.mine_pages(lines(t), t.labels, regions(t), RULE).filter("saved").select("doc_id", "page_index")
+    return P.mine_pages(lines(t), t.labels, regions(t), rule()).filter("saved").select("doc_id", "page_index")
 
 
 @query(
@@ -92,7 +95,7 @@ def mine_pages_documents(t):
     f"WITH {LINES_SQL} SELECT doc_id, page_index FROM lines WHERE {RULE_SQL}",
 )
 def variable_definition_pages(t):
-    return P.hit_pages(lines(t), RULE)
+    return P.hit_pages(lines(t), rule())
 
 
 @query(
@@ -102,9 +105,9 @@ def variable_definition_pages(t):
 )
 def hit_page_lists(t):
     """Hit pages of a document as a list: the pages sit in one row, so nothing is shuffled."""
-    rule = lambda line: T.matches_any(line, PHRASES)
+    hit = lambda line: T.matches_any(line, PHRASES)
     hits = F.filter(
-        F.transform(F.split("text", "\n"), lambda line, i: F.when(rule(line), i)),
+        F.transform(F.split("text", "\n"), lambda line, i: F.when(hit(line), i)),
         lambda i: i.isNotNull(),
     )
     return (
@@ -176,7 +179,7 @@ def pages_from_first_hit(t):
     FROM flags GROUP BY doc_id, first_hit""",
 )
 def mine_claims_status(t):
-    return P.mine_claims(lines(t), regions(t), T.starts_claims(F.col("text"), STARTS), RULE)
+    return P.mine_claims(lines(t), regions(t), T.starts_claims(F.col("text"), STARTS), rule())
 
 
 EXAMPLE_TEXT = (

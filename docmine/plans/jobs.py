@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmine.functions import structures as S
-from docmine.operators import sampling
+from docmine.functions.scalars import shingle_bits
+from docmine.operators import sampling, search
 
 
 def structure_strata(structures: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -20,3 +21,24 @@ def structure_strata(structures: DataFrame) -> tuple[DataFrame, list[str]]:
 def convert_estrings(df: DataFrame, key: str, text: str) -> DataFrame:
     """Annotated strings to plain structure text with the outcome category."""
     return df.select(key, S.convert_estring(F.col(text)).alias("c")).select(key, "c.smiles", "c.category")
+
+
+def structure_bits(structures: DataFrame, n: int = 3, slots: int = 2048) -> DataFrame:
+    """(id, bits) of structure strings from hashed token runs."""
+    tokens = structures.select(F.col("mol_id").alias("id"), S.tokenise(F.col("smiles")).alias("t"))
+    return tokens.select("id", shingle_bits(F.col("t"), n, slots).alias("bits"))
+
+
+def balanced_structure_sample(
+    structures: DataFrame, n: int, threshold: float = 0.5, strategy: str = "sqrt", seed: int = 42,
+    clustering: str = "components",
+) -> DataFrame:
+    """(mol_id, cluster): property strata give ten candidates per wanted row, near-duplicate
+    clusters are formed among them, and the clusters are drawn from evenly."""
+    strata, keys = structure_strata(structures)
+    slim = strata.select("mol_id", "smiles", *keys)
+    chosen = sampling.sample_stratified(slim, keys, 10 * n, ["mol_id"], seed).select("mol_id")
+    bits = structure_bits(structures.join(chosen, "mol_id", "left_semi"))
+    cluster = search.component_clusters if clustering == "components" else search.leader_clusters
+    clusters = cluster(bits, threshold).select(F.col("id").alias("mol_id"), "cluster")
+    return sampling.sample_balanced(clusters, ["cluster"], n, ["mol_id"], strategy, seed)
