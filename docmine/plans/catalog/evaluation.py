@@ -1 +1,279 @@
+"""Scoring queries: predictions against truth, rewards, embeddings."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docmine.functions import scalars as N
+from docmine.functions import structures as S
+from docmine.operators import evaluation as E
+from docmine.operators import sampling as M
+from docmine.plans import derive as D
+from docmine.plans.catalog.structures import KEY_SQL, QUICK
+from docmine.plans.registry import query
+
+MODES = ("decoder", "graph", "postprocess")
+# Truth: text keys of structures, bad when the hash says so; three predictions of each.
+EVAL_SQL = (
+    D.STRUCTURES_SQL
+    + f""",
+truth AS (SELECT source AS benchmark, mol_id AS image_id, {KEY_SQL.replace('@S@', 'smiles')} AS gt, h0 % 23 <> 0 AS ok, h0, smiles FROM structures),
+preds AS (
+  SELECT benchmark, image_id, ok, gt, 'decoder' AS mode, CASE WHEN h0 % 7 = 0 THEN NULL WHEN h0 % 7 = 1 THEN gt || 'C' ELSE gt END AS pred FROM truth
+  UNION ALL SELECT benchmark, image_id, ok, gt, 'graph', CASE WHEN h0 % 5 = 0 THEN NULL WHEN h0 % 5 = 1 THEN replace(gt, 'N', 'O') ELSE gt END FROM truth
+  UNION ALL SELECT benchmark, image_id, ok, gt, 'postprocess', CASE WHEN h0 % 11 = 0 THEN 'CC' ELSE gt END FROM truth),
+scored AS (SELECT *, ok AND pred IS NOT NULL AND pred = gt AS match,
+  CASE WHEN NOT ok OR pred IS NULL THEN 0.0 WHEN length(gt) = 0 AND length(pred) = 0 THEN 1.0 WHEN length(gt) = 0 OR length(pred) = 0 THEN 0.0
+    ELSE 1.0::DOUBLE - levenshtein(pred, gt)::DOUBLE / greatest(length(pred), length(gt)) END AS sim FROM preds)"""
+)
+
+
+def scored(t):
+    base = D.structures(t.documents).select(
+        F.col("source").alias("benchmark"), F.col("mol_id").alias("image_id"), "h0",
+        (F.col("h0") % 23 != 0).alias("ok"), S.text_key(F.col("smiles")).alias("gt_smiles"),
+    )
+    gt, h = F.col("gt_smiles"), F.col("h0")
+    wide = base.withColumns(
+        {
+            "decoder": F.when(h % 7 == 0, None).when(h % 7 == 1, F.concat(gt, F.lit("C"))).otherwise(gt),
+            "graph": F.when(h % 5 == 0, None).when(h % 5 == 1, F.replace(gt, F.lit("N"), F.lit("O"))).otherwise(gt),
+            "postprocess": F.when(h % 11 == 0, "CC").otherwise(gt),
+        }
+    )
+    # Modes become rows: one structure, three predictions.
+    long = wide.unpivot(["benchmark", "image_id", "ok", "gt_smiles"], list(MODES), "mode", "pred_smiles")
+    return E.score_pairs(long, N.edit_similarity(F.col("pred_smiles"), F.col("gt_smiles")))
+
+
+@query(
+    "benchmark_scores",
+    f"WITH {EVAL_SQL} SELECT benchmark, mode, round(count(*) FILTER (ok AND match) * 100.0::DOUBLE / count(*) FILTER (ok), 4) AS exact_match_acc, round(avg(sim) FILTER (ok), 6) AS avg_similarity, "
+    "count(*) AS total, count(*) FILTER (ok) AS valid, count(*) FILTER (ok AND pred IS NULL) AS failed_predictions FROM scored GROUP BY 1, 2",
+)
+def benchmark_scores(t):
+    m = E.benchmark_metrics(scored(t), ["benchmark", "mode"])
+    return m.withColumns(
+        {"exact_match_acc": F.round("exact_match_acc", 4), "avg_similarity": F.round("avg_similarity", 6)}
+    )
+
+
+@query(
+    "metrics_by_mode",
+    f"WITH {EVAL_SQL} SELECT benchmark, mode, round(avg(match::INTEGER), 6) AS exact_match_acc, round(avg(sim), 6) AS avg_similarity, count(*) FILTER (pred IS NULL) AS failed FROM scored WHERE ok GROUP BY 1, 2",
+)
+def metrics_by_mode(t):
+    m = E.metrics_by_mode(scored(t))
+    return m.withColumns({c: F.round(c, 6) for c in ("exact_match_acc", "avg_similarity")})
+
+
+@query(
+    "metrics_pivot",
+    f"WITH {EVAL_SQL}, m AS (SELECT benchmark, mode, round(avg(match::INTEGER), 6) AS acc FROM scored WHERE ok GROUP BY 1, 2) SELECT benchmark, max(acc) FILTER (mode = 'decoder') AS decoder, max(acc) FILTER (mode = 'graph') AS graph, max(acc) FILTER (mode = 'postprocess') AS postprocess FROM m GROUP BY 1",
+)
+def metrics_pivot(t):
+    """Benchmarks by mode in one table."""
+    m = E.metrics_by_mode(scored(t)).withColumn("acc", F.round("exact_match_acc", 6))
+    return E.summary_table(m, "benchmark", "mode", "acc", MODES)
+
+
+@query(
+    "event_pivot",
+    "SELECT event_type, count(*) FILTER (dow = 0) AS \"0\", count(*) FILTER (dow = 1) AS \"1\", count(*) FILTER (dow = 2) AS \"2\" FROM (SELECT event_type, (event_id % 3)::INTEGER AS dow FROM events) GROUP BY 1",
+)
+def event_pivot(t):
+    slots = t.events.select("event_type", (F.col("event_id") % 3).cast("int").alias("slot"))
+    counts = slots.groupBy("event_type", "slot").agg(F.count(F.lit(1)).alias("n"))
+    return E.summary_table(counts, "event_type", "slot", "n", [0, 1, 2])
+
+
+@query(
+    "truth_vs_prediction",
+    "WITH p AS (SELECT d.source AS benchmark, d.doc_id, l.quality, d.doc_id % 9 <> 0 AS ok FROM documents d LEFT JOIN labels l USING (doc_id)), "
+    "s AS (SELECT *, ok AND quality IS NOT NULL AND quality = 1 AS match FROM p) SELECT benchmark, round(count(*) FILTER (ok AND match) * 100.0::DOUBLE / greatest(count(*) FILTER (ok), 1), 4) AS exact_match_acc, "
+    "round(coalesce(avg(match::INTEGER) FILTER (ok), 0), 6) AS avg_similarity, count(*) AS total, count(*) FILTER (ok) AS valid, count(*) FILTER (ok AND quality IS NULL) AS failed_predictions FROM s GROUP BY 1",
+)
+def truth_vs_prediction(t):
+    """Documents as truth, labels as predictions, joined by id; unlabelled ones failed."""
+    truth = t.documents.select(
+        F.col("source").alias("benchmark"), "doc_id", F.lit("1").alias("smiles"), (F.col("doc_id") % 9 != 0).alias("ok")
+    )
+    pred = t.labels.select("doc_id", F.col("quality").cast("string").alias("smiles"))
+    pairs = E.pair_predictions(truth, pred, ["doc_id"])
+    same = F.when(F.col("pred_smiles") == F.col("gt_smiles"), 1.0).otherwise(0.0)
+    m = E.benchmark_metrics(E.score_pairs(pairs, same))
+    return m.withColumns(
+        {"exact_match_acc": F.round("exact_match_acc", 4), "avg_similarity": F.round("avg_similarity", 6)}
+    )
+
+
+@query(
+    "edit_similarity_pairs",
+    f"WITH {D.STRUCTURES_SQL} SELECT mol_id, round(1.0 - levenshtein(smiles, q)::DOUBLE / greatest(length(smiles), length(q)), 6) AS sim FROM (SELECT mol_id, smiles, {QUICK} AS q FROM structures)",
+)
+def edit_similarity_pairs(t):
+    """Structure text before and after label normalisation."""
+    smiles = F.col("smiles")
+    return D.structures(t.documents).select("mol_id", "smiles", S.quick_normalise(smiles).alias("q")).select(
+        "mol_id", F.round(N.edit_similarity(smiles, F.col("q")), 6).alias("sim")
+    )
+
+
+REWARD_SQL = (
+    D.CANDIDATES_SQL
+    + """,
+rewards AS (SELECT image_id, sample_key, log_prob, valid, exact, CASE WHEN valid THEN sim ELSE 0 END AS sim,
+  0.1 * valid::INTEGER + 0.5 * CASE WHEN valid THEN sim ELSE 0 END + 0.4 * exact::INTEGER AS reward FROM candidates)"""
+)
+
+
+@query(
+    "group_advantage",
+    f"WITH {REWARD_SQL}, g AS (SELECT image_id, count(*) AS n, avg(reward) AS m, stddev_samp(reward) AS s FROM rewards GROUP BY 1) SELECT image_id, count(*) AS n, round(sum(CASE WHEN n < 2 THEN reward - 0.5 WHEN s > 1e-8 THEN (reward - m) / s ELSE reward - m END * reward) + 3.7e-10, 6) AS weighted "
+    "FROM rewards JOIN g USING (image_id) GROUP BY 1",
+)
+def group_advantage(t):
+    """Advantage of each candidate in its group, summed with the reward as weight."""
+    rows = E.score_candidates(D.candidates(t.lineitem))
+    adv = E.group_advantage(rows, "image_id", F.col("reward"), 0.5)
+    return adv.groupBy("image_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum(F.col("advantage") * F.col("reward")) + 3.7e-10, 6).alias("weighted"),
+    )
+
+
+@query(
+    "group_softmax_risk",
+    f"WITH {REWARD_SQL}, m AS (SELECT image_id, max(log_prob * 0.1) AS mx FROM rewards GROUP BY 1) SELECT image_id, round(sum(exp(log_prob * 0.1 - mx) * (1 - reward)) / sum(exp(log_prob * 0.1 - mx)) + 3.7e-10, 6) AS risk FROM rewards JOIN m USING (image_id) GROUP BY 1",
+)
+def group_softmax_risk(t):
+    rows = E.score_candidates(D.candidates(t.lineitem))
+    risk = E.expected_risk(rows, "image_id", F.col("cost"), alpha=0.1)
+    return risk.withColumn("risk", F.round(F.col("risk") + 3.7e-10, 6))
+
+
+@query(
+    "reward_summary",
+    f"WITH {REWARD_SQL} SELECT round(avg(reward), 6) AS mean_reward, round(avg(1 - reward), 6) AS mean_cost, round(avg(log_prob), 6) AS mean_log_prob, round(avg(sim), 6) AS mean_similarity, count(*) FILTER (exact) AS exact_matches, count(*) FILTER (valid) AS valid_count FROM rewards",
+)
+def reward_summary(t):
+    s = E.reward_summary(E.score_candidates(D.candidates(t.lineitem)))
+    return s.withColumns({c: F.round(c, 6) for c in ("mean_reward", "mean_cost", "mean_log_prob", "mean_similarity")})
+
+
+LOGIT_SQL = (
+    D.BONDS_SQL
+    + """,
+logits AS (SELECT mol_id AS sample_id, i, j, k, ('0x' || substr(md5(concat_ws(',', mol_id, i, j, k)), 1, 4))::BIGINT / 10000.0::DOUBLE AS logit
+  FROM (SELECT mol_id, u AS i, v AS j FROM bonds WHERE code >= 4 UNION ALL SELECT mol_id, v, u FROM bonds WHERE code >= 4) b, (SELECT unnest(range(0, 7))::INTEGER AS k) c),
+soft AS (SELECT sample_id, i, j, k, exp(logit - max(logit) OVER w) / sum(exp(logit)) OVER w * exp(max(logit) OVER w) AS p FROM logits WINDOW w AS (PARTITION BY sample_id, i, j))"""
+)
+
+
+def soft(t):
+    bonds = D.bonds(t.documents).filter("code >= 4")
+    ends = F.explode(F.array(F.struct(F.col("u").alias("i"), F.col("v").alias("j")), F.struct(F.col("v").alias("i"), F.col("u").alias("j"))))
+    pairs = bonds.select(F.col("mol_id").alias("sample_id"), ends.alias("e"))
+    cells = pairs.select("sample_id", "e.i", "e.j", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
+    logit = F.conv(F.substring(F.md5(F.concat_ws(",", "sample_id", "i", "j", "k")), 1, 4), 16, 10).cast("bigint") / 10000.0
+    return E.class_softmax(cells.withColumn("logit", logit), ["sample_id", "i", "j"])
+
+
+@query("class_softmax", f"WITH {LOGIT_SQL} SELECT sample_id, i, j, k, round(p, 6) AS p FROM soft")
+def class_softmax(t):
+    return soft(t).select("sample_id", "i", "j", "k", F.round("p", 6).alias("p"))
+
+
+@query(
+    "symmetric_bond_classes",
+    f"WITH {LOGIT_SQL}, m AS (SELECT a.sample_id, a.i, a.j, a.k, (a.p + b.p) / 2 AS p FROM soft a JOIN soft b ON a.sample_id = b.sample_id AND a.i = b.j AND a.j = b.i AND b.k = CASE a.k WHEN 5 THEN 6 WHEN 6 THEN 5 ELSE a.k END) "
+    "SELECT sample_id, i, j, arg_max(k, p) AS code, round(max(p), 6) AS p FROM m GROUP BY 1, 2, 3",
+)
+def symmetric_bond_classes(t):
+    return E.symmetrise_edges(soft(t)).withColumn("p", F.round("p", 6))
+
+
+TRIPLET_SQL = """
+ranked AS (SELECT vec_id AS id, label, embedding,
+  row_number() OVER (PARTITION BY label ORDER BY md5('42-key|' || vec_id), vec_id) AS r, count(*) OVER (PARTITION BY label) AS n,
+  row_number() OVER (ORDER BY md5('42-all|' || vec_id), vec_id) AS g, count(*) OVER () AS total,
+  ('0x' || substr(md5('42-draw|' || vec_id), 1, 8))::BIGINT AS draw FROM embeddings),
+trip AS (SELECT a.id AS anchor, p.id AS positive, a.draw % 10000 < 3000 AND a.n > 2 AS hard, CASE WHEN a.draw % 10000 < 3000 AND a.n > 2 THEN h.id ELSE e.id END AS negative
+  FROM ranked a JOIN ranked p ON p.label = a.label AND p.r = a.r % a.n + 1 JOIN ranked h ON h.label = a.label AND h.r = (a.r + 1) % a.n + 1
+  JOIN ranked e ON e.g = (a.g - 1 + (a.draw // 10000) % (a.total - 1) + 1) % a.total + 1 WHERE a.n > 1),
+dist AS (SELECT anchor, positive, negative, hard,
+  sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - p.embedding[i]::DOUBLE) ** 2))) AS d_pos,
+  sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) ** 2))) AS d_neg
+  FROM trip JOIN ranked a ON a.id = anchor JOIN ranked p ON p.id = positive JOIN ranked q ON q.id = negative)"""
+
+
+def distances(t):
+    trip = M.sample_triplets(t.embeddings, "vec_id", "label", 0.3, 42)
+    return E.triplet_distances(trip, t.embeddings, "vec_id", "embedding")
+
+
+@query("sampled_triplets", f"WITH {TRIPLET_SQL} SELECT anchor, positive, negative, hard FROM trip")
+def sampled_triplets(t):
+    return M.sample_triplets(t.embeddings, "vec_id", "label", 0.3, 42)
+
+
+@query("triplet_loss", f"WITH {TRIPLET_SQL} SELECT round(avg(greatest(d_pos - d_neg + 0.2, 0)), 6) AS loss, count(*) AS n FROM dist")
+def triplet_loss(t):
+    return E.triplet_loss(distances(t), 0.2).withColumn("loss", F.round("loss", 6))
+
+
+@query("embedding_same_flag", f"WITH {TRIPLET_SQL} SELECT anchor, positive, round(d_pos, 6) AS d_pos, d_pos < 1.2 AS same FROM dist")
+def embedding_same_flag(t):
+    """Distance of each anchor to its positive and the same/different call."""
+    return distances(t).select("anchor", "positive", F.round("d_pos", 6).alias("d_pos"), (F.col("d_pos") < 1.2).alias("same"))
+
+
+@query(
+    "distance_stats",
+    f"WITH {TRIPLET_SQL} SELECT hard, round(coalesce(min(d_neg) FILTER (d_neg < 1.45), 2), 6) AS min_distance, round(coalesce(avg(d_neg) FILTER (d_neg < 1.45), 2), 6) AS avg_distance, round(coalesce(max(d_neg) FILTER (d_neg < 1.45), 2), 6) AS max_distance, "
+    "round(avg((d_neg < 1.45)::INTEGER), 6) AS valid_ratio, round(avg((d_neg >= 1.45)::INTEGER), 6) AS invalid_ratio FROM dist GROUP BY 1",
+)
+def distance_stats(t):
+    s = E.distance_stats(distances(t), F.col("d_neg"), F.col("d_neg") < 1.45, ["hard"])
+    return s.select("hard", *[F.round(c, 6).alias(c) for c in s.columns if c != "hard"])
+
+
+@query(
+    "cosine_to_positive",
+    f"WITH {TRIPLET_SQL} SELECT anchor, round(least(1, greatest(0, list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * p.embedding[i]::DOUBLE)) / "
+    "(sqrt(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE ** 2))) * sqrt(list_sum(list_transform(range(1, 65), lambda i: p.embedding[i]::DOUBLE ** 2)))))), 6) AS cosine FROM trip JOIN ranked a ON a.id = anchor JOIN ranked p ON p.id = positive",
+)
+def cosine_to_positive(t):
+    trip = M.sample_triplets(t.embeddings, "vec_id", "label", 0.3, 42)
+    vec = t.embeddings.select("vec_id", "embedding")
+    both = trip.join(vec.select(F.col("vec_id").alias("anchor"), F.col("embedding").alias("a")), "anchor").join(
+        vec.select(F.col("vec_id").alias("positive"), F.col("embedding").alias("b")), "positive"
+    )
+    return both.select("anchor", F.round(N.cosine_clamped(F.col("a"), F.col("b")), 6).alias("cosine"))
+
+
+@query(
+    "normalised_vectors",
+    "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE ** 2)))))), 5) AS l1 FROM embeddings",
+)
+def normalised_vectors(t):
+    unit = N.l2_normalise(F.col("embedding"))
+    total = F.aggregate(unit, F.lit(0.0), lambda acc, x: acc + F.abs(x))
+    return t.embeddings.select("vec_id", F.round(total, 5).alias("l1"))
+
+
+@query(
+    "mode_tanimoto",
+    f"WITH {EVAL_SQL}, b AS (SELECT mode, {D.tokens_sql('gt')} AS x, {D.tokens_sql('pred')} AS y FROM preds WHERE ok) SELECT mode, count(*) AS n, "
+    "round(avg(CASE WHEN y IS NULL OR len(list_distinct(x || y)) = 0 THEN 0 ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(x || y)) END), 6) AS sim FROM b GROUP BY 1",
+)
+def mode_tanimoto(t):
+    """Set similarity of the token sets, null predictions at 0."""
+    rows = scored(t).filter("ok").select(
+        "mode",
+        F.array_distinct(S.tokenise(F.col("gt_smiles"))).alias("x"),
+        F.array_distinct(S.tokenise(F.col("pred_smiles"))).alias("y"),
+    )
+    return rows.groupBy("mode").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(N.tanimoto(F.col("x"), F.col("y"))), 6).alias("sim")
+    )

@@ -209,7 +209,7 @@ def minhash_signatures(t):
     return sig.select("id", F.inline(F.array(*parts)))
 
 
-@query("lsh_pairs", f"WITH {SIG_SQL} SELECT id, hub, round((SELECT 1), 6) AS linked FROM edges")
+@query("lsh_pairs", f"WITH {SIG_SQL} SELECT id, hub, 1.0::DOUBLE AS linked FROM edges")
 def lsh_pairs(t):
     """Rows linked to the least row of a shared bucket; threshold 0.5 gives 25 bands of 5."""
     slim, _ = C.fold_copies(text_bits(t.documents, "doc_id"))
