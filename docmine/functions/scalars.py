@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docmine.functions.binding import let
+
 MINHASH_PRIME = 4294967291
 
 
@@ -124,6 +126,10 @@ def shingle_bits(tokens: Column, n: int = 3, n_bits: int = 2048) -> Column:
     Text stand-in for a circular fingerprint; every consumer takes any ``array<int>``.
     A list shorter than ``n`` is one gram.
     """
+    return let(tokens, lambda bound: _shingle_bits(bound, n, n_bits))
+
+
+def _shingle_bits(tokens: Column, n: int, n_bits: int) -> Column:
     last = F.greatest(F.size(tokens) - F.lit(n), F.lit(0))
     grams = F.transform(
         F.sequence(F.lit(0), last),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docmine.functions.binding import let
+
 # The published atom-wise token pattern, label symbols, element symbols
 # and shorthand fragments.
 TOKEN_PATTERN = (
@@ -91,15 +93,18 @@ def fill_stars(structure: Column, labels: Column) -> Column:
     """The i-th bare star takes the i-th label, ``R`` when labels run out."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("seen"))
 
-    def step(acc, piece):
-        is_star = piece == "*"
-        label = F.coalesce(F.get(labels, acc["seen"]), F.lit("R"))
-        return F.struct(
-            F.concat(acc["out"], F.when(is_star, F.concat(F.lit("["), label, F.lit("]"))).otherwise(piece)).alias("out"),
-            (acc["seen"] + F.when(is_star, 1).otherwise(0)).alias("seen"),
-        )
+    def write(given):
+        def step(acc, piece):
+            is_star = piece == "*"
+            label = F.coalesce(F.get(given, acc["seen"]), F.lit("R"))
+            return F.struct(
+                F.concat(acc["out"], F.when(is_star, F.concat(F.lit("["), label, F.lit("]"))).otherwise(piece)).alias("out"),
+                (acc["seen"] + F.when(is_star, 1).otherwise(0)).alias("seen"),
+            )
 
-    return F.aggregate(pieces(structure), start, step, lambda acc: acc["out"])
+        return F.aggregate(pieces(structure), start, step, lambda acc: acc["out"])
+
+    return let(labels, write)
 
 
 def normalise_with_labels(structure: Column, labels: Column) -> Column:
@@ -173,27 +178,36 @@ def mask_labels(structure: Column, first_isotope: int = 50) -> Column:
         inner = F.regexp_replace(token, r"^\[|\]$", "")
         return token.startswith("[") & (inner.isin(short) | ~is_bracket_atom(token))
 
-    masked = F.filter(tokens, unknown)
     used = F.regexp_extract_all(base, F.lit(r"\[(\d+)\*\]"), F.lit(1))
-    # Enough numbers to skip every isotope already present in the text.
-    free = F.filter(
-        F.sequence(F.lit(first_isotope), F.lit(first_isotope) + F.size(masked) + F.size(used)),
-        lambda n: ~F.array_contains(used, n.cast("string")),
-    )
+    marked = F.transform(tokens, lambda t: F.struct(t.alias("t"), unknown(t).alias("hit")))
+
+    def write(m, taken):
+        labels = F.transform(
+            F.filter(m, lambda t: t["hit"]), lambda t: F.regexp_replace(t["t"], r"^\[|\]$", "")
+        )
+        # Enough numbers to skip every isotope already present in the text.
+        free = F.filter(
+            F.sequence(F.lit(first_isotope), F.lit(first_isotope) + F.size(labels) + F.size(taken)),
+            lambda n: ~F.array_contains(taken, n.cast("string")),
+        )
+        return let(free, lambda numbers: _write_masks(m, numbers, labels, "[", "*]"))
+
+    return let(marked, lambda m: let(used, lambda taken: write(m, taken)))
+
+
+def _write_masks(marked: Column, numbers: Column, labels: Column, left: str, right: str) -> Column:
+    """Text with the hit tokens swapped for numbered placeholders, and number to label."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("seen"))
 
     def step(acc, token):
-        hit = unknown(token)
-        number = F.get(free, acc["seen"]).cast("string")
-        text = F.when(hit, F.concat(F.lit("["), number, F.lit("*]"))).otherwise(token)
+        number = F.concat(F.lit(left), F.get(numbers, acc["seen"]).cast("string"), F.lit(right))
         return F.struct(
-            F.concat(acc["out"], text).alias("out"),
-            (acc["seen"] + F.when(hit, 1).otherwise(0)).alias("seen"),
+            F.concat(acc["out"], F.when(token["hit"], number).otherwise(token["t"])).alias("out"),
+            (acc["seen"] + F.when(token["hit"], 1).otherwise(0)).alias("seen"),
         )
 
-    text = F.aggregate(tokens, start, step, lambda acc: acc["out"])
-    labels = F.transform(masked, lambda t: F.regexp_replace(t, r"^\[|\]$", ""))
-    mapping = F.map_from_arrays(F.slice(free, F.lit(1), F.size(masked)), labels)
+    text = F.aggregate(marked, start, step, lambda acc: acc["out"])
+    mapping = F.map_from_arrays(F.slice(numbers, F.lit(1), F.size(labels)), labels)
     return F.struct(text.alias("masked"), mapping.alias("mapping"))
 
 
@@ -205,25 +219,16 @@ def alias_labels(structure: Column, first: int = 1001) -> Column:
     def unknown(p):
         return p.rlike(r"^\[[^\[\]]+\]$") & ~is_bracket_atom(p)
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("seen"))
+    marked = F.transform(parts, lambda p: F.struct(p.alias("t"), unknown(p).alias("hit")))
 
-    def step(acc, p):
-        hit = unknown(p)
-        number = (acc["seen"] + F.lit(first)).cast("string")
-        text = F.when(hit, F.concat(F.lit("[*:"), number, F.lit("]"))).otherwise(p)
-        return F.struct(
-            F.concat(acc["out"], text).alias("out"),
-            (acc["seen"] + F.when(hit, 1).otherwise(0)).alias("seen"),
+    def write(m):
+        labels = F.transform(
+            F.filter(m, lambda p: p["hit"]), lambda p: F.trim(F.regexp_replace(p["t"], r"^\[|\]$", ""))
         )
+        numbers = F.sequence(F.lit(first), F.lit(first) + F.size(labels))
+        return let(numbers, lambda n: _write_masks(m, n, labels, "[*:", "]"))
 
-    masked = F.filter(parts, unknown)
-    text = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    labels = F.transform(masked, lambda t: F.trim(F.regexp_replace(t, r"^\[|\]$", "")))
-    numbers = F.filter(
-        F.sequence(F.lit(first), F.lit(first) + F.size(masked)),
-        lambda n: n < F.lit(first) + F.size(masked),
-    )
-    return F.struct(text.alias("masked"), F.map_from_arrays(numbers, labels).alias("mapping"))
+    return let(marked, write)
 
 
 def expand_abbreviation(label: Column) -> Column:
@@ -282,9 +287,12 @@ def apply_tags(backbone: Column, tags: Column) -> Column:
     """Write labels on the stars at the tagged atom positions; null when a position lies
     behind the last atom. Positions holding another atom are left alone; the last tag of
     a position wins."""
-    tokens = tokenise(backbone)
+    return let(tokenise(backbone), lambda tokens: let(tags, lambda bound: _apply_tags(tokens, bound)))
+
+
+def _apply_tags(tokens: Column, tags: Column) -> Column:
     atoms = F.size(F.filter(tokens, is_atom))
-    out_of_range = F.exists(tags, lambda t: t["idx"].isNull() | (t["idx"] >= atoms))
+    out_of_range = F.array_max(F.transform(tags, lambda t: F.coalesce(t["idx"], F.lit(2147483647)))) >= atoms
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("seen"))
 
     def step(acc, token):
@@ -299,7 +307,7 @@ def apply_tags(backbone: Column, tags: Column) -> Column:
         )
 
     written = F.aggregate(tokens, start, step, lambda acc: acc["out"])
-    return F.when(~out_of_range, written)
+    return F.when(~F.coalesce(out_of_range, F.lit(False)), written)
 
 
 def convert_estring(text: Column) -> Column:
@@ -322,15 +330,17 @@ def inline_labels(text: Column) -> Column:
     labels = F.filter(F.split(note, ";"), lambda t: t != "")
     stars = F.length(structure) - F.length(F.replace(structure, F.lit("*"), F.lit("")))
     parts = F.split(structure, r"\*")
-    filled = F.aggregate(
-        F.transform(
-            parts,
-            lambda p, i: F.when(i == 0, p).otherwise(
-                F.concat(F.lit("["), F.get(labels, i - 1), F.lit("]"), p)
+    filled = let(
+        labels,
+        lambda given: F.array_join(
+            F.transform(
+                parts,
+                lambda p, i: F.when(i == 0, p).otherwise(
+                    F.concat(F.lit("["), F.get(given, i - 1), F.lit("]"), p)
+                ),
             ),
+            "",
         ),
-        F.lit(""),
-        lambda acc, p: F.concat(acc, p),
     )
     return F.when(stars == 0, structure).when(F.size(labels) >= stars, filled)
 

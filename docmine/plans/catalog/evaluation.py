@@ -179,18 +179,24 @@ def soft(t):
     return E.class_softmax(cells.withColumn("logit", logit), ["sample_id", "i", "j"])
 
 
-@query("class_softmax", f"WITH {LOGIT_SQL} SELECT sample_id, i, j, k, round(p, 6) AS p FROM soft")
+@query("class_softmax", f"WITH {LOGIT_SQL} SELECT k, count(*) AS n, round(avg(p), 6) AS p, round(max(p), 6) AS peak FROM soft GROUP BY 1")
 def class_softmax(t):
-    return soft(t).select("sample_id", "i", "j", "k", F.round("p", 6).alias("p"))
+    """Class probabilities per atom pair, summed up per class."""
+    return soft(t).groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("p"), F.round(F.max("p"), 6).alias("peak")
+    )
 
 
 @query(
     "symmetric_bond_classes",
     f"WITH {LOGIT_SQL}, m AS (SELECT a.sample_id, a.i, a.j, a.k, (a.p + b.p) / 2 AS p FROM soft a JOIN soft b ON a.sample_id = b.sample_id AND a.i = b.j AND a.j = b.i AND b.k = CASE a.k WHEN 5 THEN 6 WHEN 6 THEN 5 ELSE a.k END) "
-    "SELECT sample_id, i, j, arg_max(k, p) AS code, round(max(p), 6) AS p FROM m GROUP BY 1, 2, 3",
+    ", w AS (SELECT sample_id, i, j, arg_max(k, p) AS code, max(p) AS p FROM m GROUP BY 1, 2, 3) SELECT code, count(*) AS n, sum(i)::BIGINT AS i_sum, round(avg(p), 6) AS p FROM w GROUP BY 1",
 )
 def symmetric_bond_classes(t):
-    return E.symmetrise_edges(soft(t)).withColumn("p", F.round("p", 6))
+    """Bond classes after averaging both directions, summed up per class."""
+    return E.symmetrise_edges(soft(t)).groupBy("code").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("i").alias("i_sum"), F.round(F.avg("p"), 6).alias("p")
+    )
 
 
 TRIPLET_SQL = """

@@ -1 +1,192 @@
+"""Token-sequence queries over structures and conversations."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docmine.functions import sequences as Q
+from docmine.functions import structures as S
+from docmine.operators import sequences as O
+from docmine.plans import derive as D
+from docmine.plans.catalog.structures import QUICK
+from docmine.plans.registry import query
+
+# Stored molecule rows: coordinates as text, some of them malformed.
+ROWS_SQL = (
+    D.STRUCTURES_SQL
+    + f""",
+sized AS (SELECT mol_id, smiles, h0, len({D.atom_tokens_sql('smiles')}) AS n FROM structures),
+rows AS (SELECT mol_id, smiles, h0, n, CASE h0 % 15 WHEN 0 THEN 'not a list' WHEN 1 THEN '[]' WHEN 2 THEN '[[1,2,3]]'
+  ELSE '[' || array_to_string(list_transform(range(0, n), lambda i: '[' || ((i * 37 + h0) % 101) || ',' || ((i * 53 + h0) % 89) || ']'), ',') || ']' END AS node_coords FROM sized)"""
+)
+ALPHABET_SQL = "'" + "".join(Q.CHARACTERS) + "'"
+# Tokens to ids; list positions replace the running atom count.
+CODED_SQL = (
+    ROWS_SQL
+    + f""",
+pts AS (SELECT mol_id, h0, n, {QUICK} AS norm, CASE WHEN h0 % 15 > 2 AND n > 0 THEN list_transform(range(0, n), lambda i: [(i * 37 + h0) % 101, (i * 53 + h0) % 89]) END AS p FROM rows),
+ext AS (SELECT *, list_min(list_transform(p, lambda q: q[1])) AS x0, list_max(list_transform(p, lambda q: q[1])) AS x1, list_min(list_transform(p, lambda q: q[2])) AS y0, list_max(list_transform(p, lambda q: q[2])) AS y1 FROM pts),
+binned AS (SELECT *, {D.tokens_sql('norm')} AS toks,
+  list_transform(p, lambda q: greatest(0, least(63, floor(least(greatest((q[1] - x0) / greatest(x1 - x0, 1e-6)::DOUBLE * 384, 0), 383) / 384 * 64)))::INTEGER) AS bx,
+  list_transform(p, lambda q: greatest(0, least(63, floor(least(greatest((y1 - q[2]) / greatest(y1 - y0, 1e-6)::DOUBLE * 384, 0), 383) / 384 * 64)))::INTEGER) AS bys FROM ext),
+coded AS (SELECT mol_id, h0, norm, p, [1] || flatten(list_transform(toks, lambda t, i: list_transform(string_split(t, ''), lambda c: CASE WHEN instr({ALPHABET_SQL}, c) > 0 THEN (instr({ALPHABET_SQL}, c) + 3)::INTEGER ELSE 3 END)
+  || CASE WHEN {D.IS_ATOM_SQL.format('t')} THEN [79 + coalesce(bx[len(list_filter(toks[1:i], lambda x: {D.IS_ATOM_SQL.format('x')}))], 0), 143 + coalesce(bys[len(list_filter(toks[1:i], lambda x: {D.IS_ATOM_SQL.format('x')}))], 0)] ELSE []::INTEGER[] END)) || [2] AS ids FROM binned),
+judged AS (SELECT *, len(list_filter(ids, lambda v: v >= 143))::INTEGER AS n_atoms FROM coded)"""
+)
+STATUS_SQL = (
+    "CASE WHEN trim(norm) = '' THEN 'blank' WHEN regexp_matches(norm, '[^A-Za-z0-9\\[\\]()=#@+\\-/\\\\.%]') THEN 'foreign_character' WHEN p IS NULL THEN 'bad_coords' "
+    "WHEN n_atoms < 1 OR n_atoms > 100 THEN 'atom_count' WHEN len(ids) > 100 THEN 'too_long' ELSE 'ok' END"
+)
+
+
+def mol_rows(t):
+    n = S.count_atoms(F.col("smiles"))
+    h = F.col("h0")
+    points = F.transform(
+        F.filter(F.sequence(F.lit(0), n), lambda i: i < n),
+        lambda i: F.concat(F.lit("["), (i * 37 + h) % 101, F.lit(","), (i * 53 + h) % 89, F.lit("]")),
+    )
+    text = (
+        F.when(h % 15 == 0, "not a list").when(h % 15 == 1, "[]").when(h % 15 == 2, "[[1,2,3]]")
+        .otherwise(F.concat(F.lit("["), F.array_join(points, ","), F.lit("]")))
+    )
+    return D.structures(t.documents).select("mol_id", "smiles", "h0", text.alias("node_coords"))
+
+
+def sequences(t):
+    return O.sequence_rows(mol_rows(t), "mol_id", "smiles", "node_coords", max_length=100)
+
+
+@query(
+    "sequence_rows",
+    f"WITH {CODED_SQL} SELECT mol_id, array_to_string(ids, ' ') AS ids, n_atoms, {STATUS_SQL} AS status FROM judged WHERE p IS NOT NULL",
+)
+def sequence_rows(t):
+    """Molecule rows to token ids with a status each."""
+    out = sequences(t)
+    has_coords = mol_rows(t).filter(Q.parse_coords(F.col("node_coords")).isNotNull()).select("mol_id")
+    return out.join(has_coords, "mol_id", "left_semi").select(
+        "mol_id", F.array_join("ids", " ").alias("ids"), "n_atoms", "status"
+    )
+
+
+@query("sequence_status", f"WITH {CODED_SQL} SELECT {STATUS_SQL} AS status, count(*) AS n FROM judged GROUP BY 1")
+def sequence_status(t):
+    return sequences(t).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "atom_positions",
+    f"WITH {CODED_SQL} SELECT mol_id, array_to_string(list_filter(range(0, len(ids)), lambda i: ids[i + 1] >= 143), ' ') AS positions, n_atoms FROM judged",
+)
+def atom_positions(t):
+    pos = Q.atom_positions(F.col("ids"))
+    return sequences(t).select("mol_id", F.array_join(pos, " ").alias("positions"), "n_atoms")
+
+
+# Predictions differ from the target at hashed places.
+PAIRS_SQL = (
+    CODED_SQL
+    + """,
+flat AS (SELECT mol_id, ids, unnest(range(0, len(ids)))::INTEGER AS pos FROM judged),
+pairs AS (SELECT mol_id, pos, ids[pos + 1] AS target, CASE ('0x' || substr(md5(mol_id || '@' || pos), 1, 4))::BIGINT % 10
+  WHEN 0 THEN (ids[pos + 1] + 1) % 207 WHEN 1 THEN (ids[pos + 1] + 60) % 207 ELSE ids[pos + 1] END::INTEGER AS pred FROM flat)"""
+)
+
+
+def token_pairs(t):
+    flat = sequences(t).select("mol_id", F.posexplode("ids").alias("pos", "target"))
+    h = F.conv(F.substring(F.md5(F.concat("mol_id", F.lit("@"), "pos")), 1, 4), 16, 10).cast("bigint") % 10
+    pred = (
+        F.when(h == 0, (F.col("target") + 1) % 207).when(h == 1, (F.col("target") + 60) % 207).otherwise(F.col("target"))
+    )
+    return flat.withColumn("pred", pred.cast("int"))
+
+
+@query(
+    "token_metrics",
+    f"""WITH {PAIRS_SQL} SELECT round(avg((target = pred)::INTEGER) FILTER (target < 79 AND target <> 0), 6) AS symbol_acc, round(avg((target = pred)::INTEGER) FILTER (target >= 79), 6) AS coord_acc,
+    round(avg((target = pred)::INTEGER) FILTER (target BETWEEN 79 AND 142), 6) AS x_acc, round(avg((target = pred)::INTEGER) FILTER (target >= 143), 6) AS y_acc,
+    round(avg(abs(pred - target)) FILTER (target BETWEEN 79 AND 142 AND pred BETWEEN 79 AND 142), 6) AS x_mae, round(avg(abs(pred - target)) FILTER (target >= 143 AND pred >= 143), 6) AS y_mae FROM pairs""",
+)
+def token_metrics(t):
+    m = O.sequence_metrics(token_pairs(t))
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+BAD_PAIR = (
+    "(a BETWEEN 79 AND 142 AND NOT b >= 143) OR (a >= 143 AND b >= 79) OR (a < 79 AND b >= 143) OR (a = 1 AND NOT (b BETWEEN 4 AND 78) AND NOT b >= 143)"
+)
+
+
+@query(
+    "grammar_violations",
+    f"WITH {PAIRS_SQL}, n AS (SELECT mol_id, pred AS a, lead(pred) OVER (PARTITION BY mol_id ORDER BY pos) AS b FROM pairs) SELECT mol_id, count(*) FILTER ({BAD_PAIR})::INTEGER AS violations FROM n GROUP BY 1",
+)
+def grammar_violations(t):
+    """Order faults in perturbed sequences; the perturbation stays inside the row."""
+    ids = F.transform(
+        "ids",
+        lambda v, i: (
+            v + F.element_at(F.array(*[F.lit(x) for x in (1, 60, 0, 0, 0, 0, 0, 0, 0, 0)]), (
+                F.conv(F.substring(F.md5(F.concat(F.col("mol_id"), F.lit("@"), i)), 1, 4), 16, 10).cast("bigint") % 10 + 1
+            ).cast("int"))
+        ) % 207,
+    )
+    return sequences(t).select("mol_id", ids.alias("ids")).select(
+        "mol_id", Q.grammar_violations(F.col("ids")).alias("violations")
+    )
+
+
+@query(
+    "role_order_faults",
+    "WITH n AS (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) SELECT conv_id, count(*) FILTER (role = prev) AS repeated, count(*) FILTER (prev IS NULL AND role <> 'user') AS bad_start, count(*) AS n FROM n GROUP BY 1",
+)
+def role_order_faults(t):
+    """The grammar check on turns: the neighbour is found by turn number, not by a window."""
+    turns = t.conversations.select("conv_id", "turn", "role")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("prev"))
+    return turns.join(before, ["conv_id", "turn"], "left").groupBy("conv_id").agg(
+        F.count_if(F.col("role") == F.col("prev")).alias("repeated"),
+        F.count_if(F.col("prev").isNull() & (F.col("role") != "user")).alias("bad_start"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
+@query(
+    "decoded_sequences",
+    f"WITH {CODED_SQL} SELECT mol_id, array_to_string({D.tokens_sql('norm')}, '') AS smiles, n_atoms FROM judged WHERE NOT regexp_matches(norm, '[^A-Za-z0-9\\[\\]()=#@+\\-/\\\\.%]')",
+)
+def decoded_sequences(t):
+    """Ids back to text and atoms; equals the encoded text where all characters are known."""
+    seq = sequences(t).filter(~F.col("norm").rlike(r"[^A-Za-z0-9\[\]()=#@+\-/\\.%]"))
+    return seq.select("mol_id", Q.decode(F.col("ids")).alias("d")).select(
+        "mol_id", "d.smiles", F.size("d.atoms").alias("n_atoms")
+    )
+
+
+@query(
+    "trimmed_sequences",
+    f"WITH {CODED_SQL}, m AS (SELECT mol_id, ids, list_filter(range(0, len(ids)), lambda i: ids[i + 1] >= 143) AS pos FROM judged) SELECT mol_id, len(ids)::INTEGER AS full_len, least(len(ids), 40)::INTEGER AS cut_len, len(list_filter(pos, lambda q: q < least(len(ids), 40) - 1))::INTEGER AS kept_atoms FROM m",
+)
+def trimmed_sequences(t):
+    """Padding removed behind the end mark, then cut to 40 ids."""
+    padded = F.concat("ids", F.array(*[F.lit(Q.PAD)] * 3))
+    trimmed = sequences(t).select("mol_id", Q.trim(padded).alias("ids"))
+    cut = Q.truncate(F.col("ids"), Q.atom_positions(F.col("ids")), 40)
+    return trimmed.select("mol_id", "ids", cut.alias("c")).select(
+        "mol_id", F.size("ids").alias("full_len"), F.size("c.ids").alias("cut_len"), F.size("c.positions").alias("kept_atoms")
+    )
+
+
+@query(
+    "json_props_shape",
+    "SELECT event_type, count(*) AS n, count(try_cast(json_extract_string(props, '$.k') AS INTEGER)) AS with_k, sum(try_cast(json_extract_string(props, '$.k') AS INTEGER))::BIGINT AS k_sum, 0::BIGINT AS as_list FROM events GROUP BY 1",
+)
+def json_props_shape(t):
+    """JSON text parsed with a declared shape; text of another shape counts as missing."""
+    value = F.from_json("props", "k int")
+    return t.events.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count(value["k"]).alias("with_k"), F.sum(value["k"]).alias("k_sum"),
+        F.count(Q.parse_coords(F.col("props"))).alias("as_list"),
+    )
