@@ -57,7 +57,9 @@ def sequence_rows(
         .when(F.size("ids") > max_length, "too_long")
         .otherwise("ok")
     )
-    return counted.select(key, "norm", "ids", "n_atoms", status.alias("status"))
+    return counted.select(
+        key, "norm", "ids", "n_atoms", F.col("pts").isNotNull().alias("has_coords"), status.alias("status")
+    )
 
 
 def sequence_metrics(pairs: DataFrame, n_bins: int = 64, keys=()) -> DataFrame:

@@ -10,6 +10,7 @@ from docmine.operators import sequences as O
 from docmine.plans import derive as D
 from docmine.plans.catalog.structures import QUICK
 from docmine.plans.registry import query
+from docmine.session import materialise
 
 # Stored molecule rows: coordinates as text, some of them malformed.
 ROWS_SQL = (
@@ -54,7 +55,11 @@ def mol_rows(t):
 
 
 def sequences(t):
-    return O.sequence_rows(mol_rows(t), "mol_id", "smiles", "node_coords", max_length=100)
+    """The job ends in a stored table; every query below reads that table."""
+    rows = O.sequence_rows(
+        materialise(mol_rows(t), "molecule-rows"), "mol_id", "smiles", "node_coords", max_length=100
+    )
+    return materialise(rows, "sequences")
 
 
 @query(
@@ -63,9 +68,7 @@ def sequences(t):
 )
 def sequence_rows(t):
     """Molecule rows to token ids with a status each."""
-    out = sequences(t)
-    has_coords = mol_rows(t).filter(Q.parse_coords(F.col("node_coords")).isNotNull()).select("mol_id")
-    return out.join(has_coords, "mol_id", "left_semi").select(
+    return sequences(t).filter("has_coords").select(
         "mol_id", F.array_join("ids", " ").alias("ids"), "n_atoms", "status"
     )
 
