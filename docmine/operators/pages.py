@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docmine.functions import geometry as G
 from docmine.functions import text as T
+from docmine.functions.binding import let
 
 
 def cut_fixed_width(
@@ -71,17 +72,22 @@ def pages_from_first_hit(pages: DataFrame, rule: Column, doc: str = "doc_id", pa
 def tail_from_first_hit(page_texts: Column, hit: Callable[[Column], Column]) -> Column:
     """The same on an array of page texts held in one row: ``struct<first_hit, n_pages,
     text>``, null without a hit. No shuffle: a document is one row."""
-    flags = F.transform(page_texts, hit)
-    first = F.array_position(flags, True)
-    tail = F.slice(page_texts, first.cast("int"), F.size(page_texts))
-    return F.when(
-        first > 0,
-        F.struct(
-            (first - 1).cast("int").alias("first_hit"),
-            F.size(tail).alias("n_pages"),
-            F.array_join(tail, "\n").alias("text"),
-        ),
-    )
+
+    def cut(pages, first):
+        tail = F.slice(pages, first.cast("int"), F.size(pages))
+        return F.when(
+            first > 0,
+            F.struct(
+                (first - 1).cast("int").alias("first_hit"),
+                F.size(tail).alias("n_pages"),
+                F.array_join(tail, "\n").alias("text"),
+            ),
+        )
+
+    def search(pages):
+        return let(F.array_position(F.transform(pages, hit), True), lambda first: cut(pages, first))
+
+    return let(page_texts, search)
 
 
 def structure_pages(regions: DataFrame, doc: str = "doc_id", page: str = "page_index") -> DataFrame:

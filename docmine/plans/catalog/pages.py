@@ -150,9 +150,10 @@ def older_preamble_documents(t):
 )
 def first_hit_tail(t):
     tail = P.tail_from_first_hit(F.split("text", "\n"), lambda p: T.starts_claims(p, STARTS))
+    docs = D.spread(t.documents.select("doc_id", "text"), "doc_id")
+    found = docs.select("doc_id", F.array(tail).alias("s")).select("doc_id", F.explode("s").alias("s"))
     return (
-        t.documents.select("doc_id", tail.alias("s"))
-        .filter("s is not null")
+        found.filter("s is not null")
         .select("doc_id", "s.first_hit", "s.n_pages", F.md5("s.text").alias("text_md5"))
     )
 

@@ -69,7 +69,7 @@ BINS = {"q": [0, 10, 20, 30, 50, float("inf")], "d": [0, 3, 8, float("inf")]}
 
 
 def strata(t):
-    props = t.lineitem.select(
+    props = D.spread(t.lineitem, "l_orderkey").select(
         D.line_key(t.lineitem).alias("sample_key"),
         F.col("l_quantity").alias("q"),
         F.round(F.col("l_discount") * 100).alias("d"),
