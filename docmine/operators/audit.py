@@ -107,8 +107,8 @@ def id_subset_check(structures: DataFrame, atoms: DataFrame, key: str = "mol_id"
         key,
         F.explode(
             F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(r"\[(\d+)\*\]"), F.lit(1)))
-        ).cast("int").alias("isotope"),
-    )
+        ).alias("text"),
+    ).select(key, F.col("text").cast("int").alias("isotope"))
     have = atoms.filter("symbol = '*' and isotope > 0").select(key, "isotope").distinct()
     missing = wanted.join(have, [key, "isotope"], "left_anti").withColumn("_missing", F.lit(1))
     return (
