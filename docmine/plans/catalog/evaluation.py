@@ -161,19 +161,19 @@ def reward_summary(t):
     return s.withColumns({c: F.round(c, 6) for c in ("mean_reward", "mean_cost", "mean_log_prob", "mean_similarity")})
 
 
-LOGIT_SQL = (
-    D.BONDS_SQL
-    + """,
-logits AS (SELECT mol_id AS sample_id, i, j, k, ('0x' || substr(md5(concat_ws(',', mol_id, i, j, k)), 1, 4))::BIGINT / 10000.0::DOUBLE AS logit
-  FROM (SELECT mol_id, u AS i, v AS j FROM bonds WHERE code >= 4 UNION ALL SELECT mol_id, v, u FROM bonds WHERE code >= 4) b, (SELECT unnest(range(0, 7))::INTEGER AS k) c),
+# Neighbouring turns of a conversation stand for atom pairs; logits are hashed.
+LOGIT_SQL = """
+links AS (SELECT DISTINCT conv_id AS sample_id, turn AS i, turn + 1 AS j FROM conversations),
+logits AS (SELECT sample_id, i, j, k, ('0x' || substr(md5(concat_ws(',', sample_id, i, j, k)), 1, 4))::BIGINT / 10000.0::DOUBLE AS logit
+  FROM (SELECT sample_id, i, j FROM links UNION ALL SELECT sample_id, j, i FROM links) b, (SELECT unnest(range(0, 7))::INTEGER AS k) c),
 soft AS (SELECT sample_id, i, j, k, exp(logit - max(logit) OVER w) / sum(exp(logit)) OVER w * exp(max(logit) OVER w) AS p FROM logits WINDOW w AS (PARTITION BY sample_id, i, j))"""
-)
 
 
 def soft(t):
-    bonds = D.bonds(t.documents).filter("code >= 4")
-    ends = F.explode(F.array(F.struct(F.col("u").alias("i"), F.col("v").alias("j")), F.struct(F.col("v").alias("i"), F.col("u").alias("j"))))
-    pairs = bonds.select(F.col("mol_id").alias("sample_id"), ends.alias("e"))
+    links = t.conversations.select("conv_id", "turn").distinct()
+    u, v = F.col("turn"), F.col("turn") + 1
+    ends = F.explode(F.array(F.struct(u.alias("i"), v.alias("j")), F.struct(v.alias("i"), u.alias("j"))))
+    pairs = links.select(F.col("conv_id").alias("sample_id"), ends.alias("e"))
     cells = pairs.select("sample_id", "e.i", "e.j", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
     logit = F.conv(F.substring(F.md5(F.concat_ws(",", "sample_id", "i", "j", "k")), 1, 4), 16, 10).cast("bigint") / 10000.0
     return E.class_softmax(cells.withColumn("logit", logit), ["sample_id", "i", "j"])
