@@ -58,11 +58,12 @@ def audit_counts(pairs: DataFrame) -> DataFrame:
 def label_distribution(df: DataFrame, labels: Column, top: int = 30) -> DataFrame:
     """Most frequent labels with the totals over all labels."""
     counts = df.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(
-        F.sum("n").alias("total"), F.count(F.lit(1)).alias("unique_labels")
-    ).withColumn("_one", F.lit(1))
-    best = counts.orderBy(F.desc("n"), "label").limit(top).withColumn("_one", F.lit(1))
-    return best.join(F.broadcast(totals), "_one").drop("_one")
+    best = counts.orderBy(F.desc("n"), "label").limit(top)
+    return best.select(
+        "*",
+        counts.agg(F.sum("n")).scalar().alias("total"),
+        counts.agg(F.count(F.lit(1))).scalar().alias("unique_labels"),
+    )
 
 
 def replaced_labels(raw: Column, norm: Column) -> Column:

@@ -52,22 +52,20 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def balanced_quotas(sizes: DataFrame, n: int, strategy: str) -> DataFrame:
     """Rows wanted from each group: equal shares or shares of the square root of the size.
 
-    The totals come from one aggregate row, read as a scalar subquery by the join below.
+    The totals are scalar subqueries over the table of sizes.
     """
-    totals = sizes.agg(
-        F.count(F.lit(1)).alias("_groups"), F.sum(F.sqrt("size")).alias("_roots")
-    ).withColumn("_one", F.lit(1))
-    joined = sizes.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one")
+    groups = sizes.agg(F.count(F.lit(1))).scalar()
+    roots = sizes.agg(F.sum(F.sqrt("size"))).scalar()
     if strategy == "equal":
-        share = F.floor(F.lit(n) / F.col("_groups"))
+        share = F.floor(F.lit(n) / groups)
     elif strategy == "sqrt":
         # Guard against shares a rounding error below a whole number.
-        share = F.floor(F.lit(float(n)) * F.sqrt("size") / F.col("_roots") + 1e-9)
+        share = F.floor(F.lit(float(n)) * F.sqrt("size") / roots + 1e-9)
     else:
         raise ValueError(f"unknown strategy {strategy}")
-    return joined.withColumn(
-        "quota", F.least(F.greatest(F.lit(1), share), F.col("size")).cast("bigint")
-    ).drop("_one", "_groups", "_roots")
+    return sizes.select(
+        "*", F.least(F.greatest(F.lit(1), share), F.col("size")).cast("bigint").alias("quota")
+    )
 
 
 def _apply_quotas(df, quotas, keys, ids, seed):

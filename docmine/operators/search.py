@@ -244,10 +244,7 @@ def cluster_stats(clusters: DataFrame, total: DataFrame) -> DataFrame:
     """Rows offered, clustered and failed, and the number of clusters."""
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     done = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("processed"), F.count(F.lit(1)).alias("clusters"))
-    offered = total.agg(F.count(F.lit(1)).alias("total"))
-    one = F.lit(1).alias("_one")
-    return (
-        offered.select("*", one)
-        .join(F.broadcast(done.select("*", one)), "_one")
-        .select("total", "processed", (F.col("total") - F.col("processed")).alias("failed"), "clusters")
+    offered = total.agg(F.count(F.lit(1))).scalar()
+    return done.select(
+        offered.alias("total"), "processed", (offered - F.col("processed")).alias("failed"), "clusters"
     )

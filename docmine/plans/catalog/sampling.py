@@ -30,14 +30,9 @@ def control_group(t):
     from docmine.operators.pages import keep_allowed
 
     docs = t.documents.select("doc_id")
-    wanted = keep_allowed(docs, t.labels, "doc_id").agg(F.count(F.lit(1)).alias("_k"))
+    wanted = keep_allowed(docs, t.labels, "doc_id").agg(F.count(F.lit(1))).scalar()
     ranked = O.rank_by_hash(docs, [], ["doc_id"], 2026, "rank")
-    return (
-        ranked.withColumn("_one", F.lit(1))
-        .join(F.broadcast(wanted.withColumn("_one", F.lit(1))), "_one")
-        .filter(F.col("rank") <= F.col("_k"))
-        .select("doc_id")
-    )
+    return ranked.filter(F.col("rank") <= wanted).select("doc_id")
 
 
 @query(

@@ -115,3 +115,21 @@ def test_baseline_processor():
     assert list(out["id"]) == [1, 2] and list(out["baseline"].round(6)) == [1.0, 1.2]
     out = pd.concat(p.handleInputRows((7,), iter([pd.DataFrame({"ord": [3], "id": [3], "value": [2.2]})]), None))
     assert round(out["baseline"][0], 6) == 1.3
+
+
+def test_stream_baseline(spark, tmp_path):
+    rows = [(k, i, i, float((i * 7 + k) % 5)) for k in range(3) for i in range(20)]
+    schema = "key bigint, ord bigint, id bigint, value double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    query = (
+        jobs.stream_ema(src).writeStream.format("memory").queryName("ema").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(60)
+    got = {(r["key"], r["id"]): r["baseline"] for r in spark.table("ema").collect()}
+    for k in range(3):
+        base = None
+        for _, i, _, x in (r for r in rows if r[0] == k):
+            base = x if base is None else 0.9 * base + 0.1 * x
+            assert abs(got[(k, i)] - base) < 1e-12
