@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmine.llm import chat, decontaminate, jaccard_join, license_scan, line_dedup, packing, quality, sharding
+from docmine.llm import chat, decontaminate, html_blocks, jaccard_join, license_scan, line_dedup, packing, quality, sharding
 from docmine.plans.registry import Tables
 from docmine.session import tune
 
@@ -141,3 +141,8 @@ def op9_line_dedup(t: Tables) -> DataFrame:
 @query("op10_packing")
 def op10_packing(t: Tables) -> DataFrame:
     return packing.pack(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_html_extraction")
+def op3_html_extraction(t: Tables) -> DataFrame:
+    return html_blocks.extract_main_text(t.pages)
