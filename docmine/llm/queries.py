@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmine.llm import chat, decontaminate, html_blocks, jaccard_join, license_scan, line_dedup, packing, quality, sharding
+from docmine.llm import chat, decontaminate, html_blocks, jaccard_join, license_scan, line_dedup, packing, quality, sharding, suffix_dedup
 from docmine.plans.registry import Tables
 from docmine.session import tune
 
@@ -146,3 +146,8 @@ def op10_packing(t: Tables) -> DataFrame:
 @query("op3_html_extraction")
 def op3_html_extraction(t: Tables) -> DataFrame:
     return html_blocks.extract_main_text(t.pages)
+
+
+@query("op6_suffix_array_dedup")
+def op6_suffix_array_dedup(t: Tables) -> DataFrame:
+    return suffix_dedup.remove_repeats(t.documents, length=400).drop("kept")
