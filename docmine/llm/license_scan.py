@@ -148,7 +148,7 @@ class Scanner:
         found = []
         for k, begins in starts.items():
             t = self.templates[k]
-            n, slack = len(t.words), max(3, len(t.words) // 4)
+            n, slack = len(t.words), max(1, len(t.words) * (100 - self.percent) // 100)
             places, last = [], None
             for s in sorted(begins):
                 if last is None or s > last + slack:
@@ -156,7 +156,7 @@ class Scanner:
                     last = s
             good = []
             for s in places:
-                lo, hi = max(0, s - slack), min(len(words), s + n + 2 * slack)
+                lo, hi = max(0, s - slack), min(len(words), s + n + slack)
                 pairs = patience(words[lo:hi].tolist(), list(t.words))
                 if pairs and 100 * len(pairs) >= self.percent * n:
                     good.append((len(pairs) / n, lo + pairs[0][0], lo + pairs[-1][0]))
