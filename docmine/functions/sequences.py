@@ -136,13 +136,15 @@ def atom_positions(ids: Column, n_bins: int = DEFAULT_BINS) -> Column:
 
 def grammar_violations(ids: Column, n_bins: int = DEFAULT_BINS) -> Column:
     """Pairs of neighbours that break the order: x without y after it, a coordinate after y,
-    y without x before it, and anything but a character after the start mark."""
+    y without x before it, anything but a character after the start mark, and padding, a
+    start mark or an unknown mark behind any token (padding may follow the end and itself)."""
 
     def bad(a, b):
         ax, bx, by = is_x(a, n_bins), is_x(b, n_bins), is_y(b, n_bins)
         ay = is_y(a, n_bins)
         character = (b >= FIRST_CHAR) & (b < FIRST_X)
-        return (ax & ~by) | (ay & (bx | by)) | (~ax & ~ay & by) | ((a == SOS) & ~character & ~by)
+        stray = (b == SOS) | (b == UNK) | ((b == PAD) & ~a.isin(EOS, PAD))
+        return (ax & ~by) | (ay & (bx | by)) | (~ax & ~ay & by) | ((a == SOS) & ~character & ~by) | stray
 
     pairs = F.arrays_zip(F.slice(ids, F.lit(1), F.greatest(F.size(ids) - 1, F.lit(0))).alias("a"),
                          F.slice(ids, F.lit(2), F.size(ids)).alias("b"))

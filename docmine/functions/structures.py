@@ -237,7 +237,7 @@ def expand_abbreviation(label: Column) -> Column:
     return (
         F.when(label.isin(list(ABBREVIATIONS)), F.try_element_at(table, label))
         .when(label.rlike(r"^[A-Z]\d+$") & (label.startswith("R") | label.isin(RGROUP_SYMBOLS)),
-              F.concat(F.lit("["), F.substring(label, 2, 100), F.lit("*]")))
+              F.concat(F.lit("["), F.regexp_replace(label, "^.", ""), F.lit("*]")))
         .when(label.isin(RGROUP_SYMBOLS), "*")
         .otherwise(F.concat(F.lit("["), label, F.lit("]")))
     )

@@ -100,7 +100,7 @@ def excluded_topic(text: Column, topics: Sequence[str] = EXCLUDED_TOPICS) -> Col
 
 
 def starts_numbered_item(text: Column, pattern: str = NUMBERED_ITEM) -> Column:
-    return F.coalesce(F.trim(text).rlike(pattern), F.lit(False))
+    return F.coalesce(strip(text).rlike(pattern), F.lit(False))
 
 
 def has_marker(first: Column, second: Column, mark: str = "R") -> Column:
@@ -118,7 +118,12 @@ def is_valid_label(label: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (F.trim(text) == "")
+    return text.isNull() | (strip(text) == "")
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -127,7 +132,7 @@ def collapse_whitespace(text: Column) -> Column:
 
 def list_items(text: Column) -> Column:
     """Trimmed non-empty lines of a list-like answer."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.trim(line))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: strip(line))
     return F.filter(lines, lambda line: line != "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmine.session import materialise
+from docmine.session import materialise, release
 
 
 def _with_min(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def connected_components(
 
     A round hangs each vertex's larger neighbours on its least neighbour, then each
     vertex on its least smaller neighbour. The edge table never grows, and a round ends
-    in a stored table, so lost executors cost one round at most.
+    in a stored table, so lost executors cost one round at most; only the last one is kept.
     """
     pairs = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter(F.col("u") != F.col("v"))
     current = materialise(
@@ -39,7 +39,8 @@ def connected_components(
                 F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
             ).alias("e")
         ).select("e.u", "e.v")
-        current = materialise(hung.filter("u <> v").distinct(), "cc")
+        before, current = current, materialise(hung.filter("u <> v").distinct(), "cc")
+        release(before)
         # One summary row decides whether a round changed anything.
         state = current.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))

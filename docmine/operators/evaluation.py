@@ -124,7 +124,26 @@ def score_candidates(candidates: DataFrame, weights=(0.1, 0.5, 0.4)) -> DataFram
     return candidates.withColumn("sim", sim).withColumn("reward", reward).withColumn("cost", 1.0 - F.col("reward"))
 
 
-def distance_stats(df: DataFrame, distance: Column, valid: Column, keys: Sequence[str] = ()) -> DataFrame:
+def distance_stats(
+    df: DataFrame, distance: Column, valid: Column, keys: Sequence[str] = (), image: str | None = None
+) -> DataFrame:
+    """Distances over valid samples. The valid ratio is that of images with a valid sample
+    over all images; without an ``image`` column each row is an image of its own."""
+    if image is not None:
+        flagged = df.withColumns({"_d": distance, "_v": valid})
+        valid = F.col("_v")
+        one = flagged.groupBy(*keys, image).agg(
+            F.min(F.when(valid, F.col("_d"))).alias("_lo"), F.sum(F.when(valid, F.col("_d"))).alias("_sum"),
+            F.max(F.when(valid, F.col("_d"))).alias("_hi"), F.count_if(valid).alias("_n"),
+        )
+        share = F.avg((F.col("_n") > 0).cast("double"))
+        empty = F.lit(INVALID_DISTANCE)
+        return one.groupBy(*keys).agg(
+            F.coalesce(F.min("_lo"), empty).alias("min_distance"),
+            F.coalesce(F.try_divide(F.sum("_sum"), F.sum("_n")), empty).alias("avg_distance"),
+            F.coalesce(F.max("_hi"), empty).alias("max_distance"),
+            share.alias("valid_ratio"), (F.lit(1.0) - share).alias("invalid_ratio"),
+        )
     d = F.when(valid, distance)
     empty = F.lit(INVALID_DISTANCE)
     return df.groupBy(*keys).agg(

@@ -29,7 +29,7 @@ def bond_rows(edges: DataFrame, atom_counts: DataFrame | None = None, key: str =
     counts given, bonds with an end out of range are dropped."""
     if atom_counts is not None:
         edges = edges.join(atom_counts.select(key, F.col("n_atoms")), key).filter(
-            (F.col("u") < F.col("n_atoms")) & (F.col("v") < F.col("n_atoms"))
+            F.col("u").between(0, F.col("n_atoms") - 1) & F.col("v").between(0, F.col("n_atoms") - 1)
         ).drop("n_atoms")
     back = F.when(F.col("code") <= 4, F.col("code")).otherwise(11 - F.col("code"))
     both = F.array(
@@ -97,38 +97,16 @@ def symbol_class_counts(atoms: DataFrame, key: str = "mol_id") -> DataFrame:
     )
 
 
-def merged_atoms(bonds: DataFrame, key: str = "mol_id", small: int = 512) -> DataFrame:
+def merged_atoms(bonds: DataFrame, key: str = "mol_id") -> DataFrame:
     """Atoms minus components per molecule (``_merged``), the number of bonds that join two
-    parts. Molecules of up to ``small`` bonds are folded in one row each; larger ones go
-    through the distributed closure, so no molecule is too large."""
-    sizes = bonds.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    few = bonds.join(sizes.filter(F.col("_n") <= small).select(key), key, "left_semi")
-    lists = few.groupBy(key).agg(F.collect_list(F.struct("u", "v")).alias("e"))
-    last = F.array_max(F.transform("e", lambda b: F.greatest(b["u"], b["v"])))
-    start = F.struct(F.sequence(F.lit(0), last).alias("part"), F.lit(0).alias("merged"))
-
-    def step(acc, bond):
-        a, b = F.get(acc["part"], bond["u"]), F.get(acc["part"], bond["v"])
-        moved = F.transform(acc["part"], lambda p: F.when(p == b, a).otherwise(p))
-        return F.struct(
-            F.when(a == b, acc["part"]).otherwise(moved).alias("part"),
-            (acc["merged"] + F.when(a == b, 0).otherwise(1)).alias("merged"),
-        )
-
-    folded = lists.select(
-        key, F.aggregate("e", start, step, lambda acc: acc["merged"]).cast("bigint").alias("_merged")
-    )
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= small:
-        return folded
-    many = bonds.join(sizes.filter(F.col("_n") > small).select(key), key, "left_semi")
+    parts, from the distributed closure over (molecule, atom) vertices."""
     vertex = lambda c: F.struct(F.col(key).alias("m"), F.col(c).alias("i"))
-    roots = connected_components(many.select(vertex("u").alias("a"), vertex("v").alias("b")), "a", "b")
-    closed = (
+    roots = connected_components(bonds.select(vertex("u").alias("a"), vertex("v").alias("b")), "a", "b")
+    return (
         roots.filter(F.col("vertex") != F.col("component"))
         .groupBy(F.col("vertex.m").alias(key))
         .agg(F.count(F.lit(1)).alias("_merged"))
     )
-    return folded.unionByName(closed)
 
 
 def graph_counts(atoms: DataFrame, bonds: DataFrame, key: str = "mol_id") -> DataFrame:

@@ -355,11 +355,12 @@ def chain_lines(
 
 
 def mine_claim_regions(
-    lines: DataFrame, blocks: DataFrame, page_width: float, page_height: float, **rules
+    lines: DataFrame, blocks: DataFrame, page_width: float, page_height: float, documents: DataFrame | None = None, **rules
 ) -> tuple[DataFrame, DataFrame]:
     """Noise bands, isolated and covered lines removed, reading order, claim span, crops.
 
-    Returns (document statuses, crop regions). The cleaned lines and the claim pages are
+    Returns (document statuses, crop regions): one status for each of ``documents`` (default:
+    those with a line), ``no_claim`` for one without a line left. The cleaned lines and the claim pages are
     read more than once, so each is stored as a stage table.
     """
     kept = lines.filter(~G.in_noise_band(G.box(), F.lit(float(page_width))))
@@ -371,5 +372,7 @@ def mine_claim_regions(
     pages = materialise(
         claim_pages(reading_order(items, page_width), page_width, **rules), "claim-pages"
     )
-    documents = claim_documents(pages)
-    return documents, crop_regions(claim_span_rows(pages, documents), page_width, page_height)
+    settled = claim_documents(pages)
+    offered = (lines if documents is None else documents).select("doc_id").distinct()
+    statuses = offered.join(settled, "doc_id", "left").withColumn("status", F.coalesce("status", F.lit("no_claim")))
+    return statuses, crop_regions(claim_span_rows(pages, settled), page_width, page_height)

@@ -207,8 +207,14 @@ def ema_baseline(
     over; a block decays the older past by (1-a)**block, which leaves the double range
     after a fixed number of blocks, so the carry reads only that many.
     """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must lie in (0, 1]")
     keep = 1.0 - alpha
     ranked = rank_in_order(df, keys, buckets, [F.col(c) for c in order], "_rank")
+    if keep == 0:
+        return ranked.withColumn(out, F.col(value).cast("double")).withColumnRenamed("_rank", "step")
+    # Inside a block values are scaled by up to keep**-block, which must stay a double.
+    block = max(1, min(block, int(500 / -math.log(keep))))
     staged = ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / block)).withColumn(
         "_pos", ((F.col("_rank") - 1) % block + 1).cast("double")
     )

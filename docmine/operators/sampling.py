@@ -35,14 +35,16 @@ def take_per_group(
 def train_val_split(
     df: DataFrame, ids: Sequence[str], val_fraction: float, seed: int | str = 42
 ) -> DataFrame:
-    """Exact-size split, both sides non-empty; fewer than two rows is an error."""
+    """Exact-size split, both sides non-empty; fewer than two rows, also none, is an error."""
     ranked = rank_by_hash(df, [], ids, seed, "_r", "_n")
     wanted = F.greatest(F.lit(1), F.floor(F.col("_n") * (1 - val_fraction)))
     n_train = F.least(wanted, F.col("_n") - 1)
-    checked = F.when(
-        F.col("_n") < 2, F.raise_error("a split needs at least two rows").cast("string")
-    ).when(F.col("_r") <= n_train, "train").otherwise("val")
-    return ranked.withColumn("split", checked).drop("_r", "_n")
+    side = F.when(F.col("_r") <= n_train, "train").otherwise("val")
+    out = ranked.withColumn("split", side).drop("_r", "_n")
+    # The guard adds no row; it is there to fail, which an empty table's own rows cannot.
+    short = F.when(F.col("_n") < 2, F.raise_error("a split needs at least two rows").cast("boolean"))
+    guard = df.agg(F.count(F.lit(1)).alias("_n")).filter(short.otherwise(F.lit(False)))
+    return out.unionByName(guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema]))
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:

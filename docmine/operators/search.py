@@ -14,23 +14,19 @@ from docmine.functions import scalars as N
 from docmine.operators.components import connected_components
 from docmine.session import materialise
 
-COMMON_BITS = 512
 
+def rare_first(fingerprints: DataFrame, frequency: DataFrame) -> DataFrame:
+    """The rows with their bits in one global order, rare ones first, by a table (bit, n).
 
-def common_bits(fingerprints: DataFrame, limit: int = COMMON_BITS) -> list[int]:
-    """The most frequent bits, rarest of them first. Only an ordering hint, so a fixed
-    number is enough; the rows collected are that many."""
-    counts = fingerprints.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "bit").limit(limit).collect()
-    return [r["bit"] for r in reversed(top)]
+    A row's list is as long as its own bits."""
+    exploded = fingerprints.select("id", F.explode("bits").alias("bit")).join(frequency, "bit", "left")
+    item = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "bit")
+    listed = exploded.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("o"))
+    return listed.select("id", F.transform("o", lambda x: x["bit"]).alias("bits"))
 
 
-def rare_first(bits: Column, common: list[int]) -> Column:
-    """Bits in one global order, frequent ones last."""
-    if not common:
-        return F.sort_array(bits)
-    known = F.array(*[F.lit(b) for b in common])
-    return F.concat(F.sort_array(F.array_except(bits, known)), F.array_intersect(known, bits))
+def bit_frequency(fingerprints: DataFrame) -> DataFrame:
+    return fingerprints.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fold_copies(fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,13 +61,13 @@ def similarity_range(
     folded, members = fold_copies(db)
     folded = folded.filter(F.size("bits") > 0)
     right = materialise(folded, "fingerprints")
-    common = common_bits(right)
+    frequency = materialise(bit_frequency(right), "bit-frequency")
 
     def prefix(df, name, whole):
         n = F.size("bits")
         length = n if whole else n - _overlap_needed(n, lo) + 1
-        bits = F.slice(rare_first(F.col("bits"), common), F.lit(1), length.cast("int"))
-        return df.select(F.col("id").alias(name), n.alias(f"{name}_n"), F.explode(bits).alias("bit"))
+        bits = F.slice(F.col("bits"), F.lit(1), length.cast("int"))
+        return (df if whole else rare_first(df, frequency)).select(F.col("id").alias(name), n.alias(f"{name}_n"), F.explode(bits).alias("bit"))
 
     candidates = prefix(left, "query_id", False).join(
         prefix(right, "id", metric == "euclid-sub"), "bit"
@@ -101,13 +97,14 @@ def similarity_range(
 
 def substructure_screen(query: DataFrame, db: DataFrame) -> DataFrame:
     """(query_id, id) where all bits of the query occur in the row. Each query is looked up
-    by its rarest bit only. Queries without bits screen nothing and are left out."""
+    by its rarest bit only. A query without bits, which every row would match, is refused."""
     folded, members = fold_copies(db)
     rows = materialise(folded, "fingerprints")
-    common = common_bits(rows)
-    keyed = materialise(query, "query-bits").filter(F.size("bits") > 0).select(
-        F.col("id").alias("query_id"), F.col("bits").alias("_q"), rare_first(F.col("bits"), common)[0].alias("bit")
-    )
+    asked = materialise(query, "query-bits")
+    refused = F.when(F.size("bits") == 0, F.raise_error("a query without bits matches everything").cast("boolean"))
+    asked = asked.filter(refused.otherwise(F.lit(True)))
+    first = rare_first(asked, bit_frequency(rows)).select("id", F.get("bits", 0).alias("bit"))
+    keyed = asked.join(first, "id").select(F.col("id").alias("query_id"), F.col("bits").alias("_q"), "bit")
     postings = rows.select("id", F.explode("bits").alias("bit"))
     pairs = keyed.join(postings, "bit").select("query_id", "_q", "id")
     checked = pairs.join(rows.select("id", F.col("bits").alias("_d")), "id").filter(
@@ -184,15 +181,23 @@ def lsh_candidates(fingerprints: DataFrame, threshold: float = 0.5, verify: bool
     return joined.select("id", "hub", N.tanimoto(F.col("bits"), F.col("_h")).alias("sim"))
 
 
+def with_bits(fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with bits, the others as (id, null cluster))."""
+    some = F.coalesce(F.size("bits") > 0, F.lit(False))
+    kind = fingerprints.schema["id"].dataType
+    return fingerprints.filter(some), fingerprints.filter(~some).select("id", F.lit(None).cast(kind).alias("cluster"))
+
+
 def component_clusters(fingerprints: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(id, cluster): closure of the bucket links; a row without links is its own cluster."""
-    slim, members = fold_copies(fingerprints)
+    """(id, cluster): closure of the bucket links; a row without links is its own cluster,
+    one without bits has failed and has none."""
+    usable, failed = with_bits(fingerprints)
+    slim, members = fold_copies(usable)
     slim = materialise(slim, "fingerprints")
     closed = connected_components(star_edges(lsh_buckets(slim, threshold)), "id", "hub")
     renamed = closed.select(F.col("vertex").alias("rep"), "component")
-    return members.join(renamed, "rep", "left").select(
-        "id", F.coalesce("component", "rep").alias("cluster")
-    )
+    named = members.join(renamed, "rep", "left").select("id", F.coalesce("component", "rep").alias("cluster"))
+    return named.unionByName(failed)
 
 
 def founders(buckets: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -230,19 +235,21 @@ def founders(buckets: DataFrame, max_rounds: int = 1000) -> DataFrame:
 
 def leader_clusters(fingerprints: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(id, cluster) as if rows were added one by one in id order: the cluster is the least
-    earlier founder sharing a bucket, or the row itself."""
-    slim, members = fold_copies(fingerprints)
+    earlier founder sharing a bucket, or the row itself; a row without bits has none."""
+    usable, failed = with_bits(fingerprints)
+    slim, members = fold_copies(usable)
     buckets = materialise(lsh_buckets(slim, threshold), "buckets")
     lead = founders(buckets)
     posts = buckets.join(lead, "id", "left_semi").groupBy("bucket").agg(F.min("id").alias("cluster"))
     owner = buckets.join(posts, "bucket").groupBy("id").agg(F.min("cluster").alias("cluster"))
     renamed = owner.select(F.col("id").alias("rep"), "cluster")
-    return members.join(renamed, "rep", "left").select("id", F.coalesce("cluster", "rep").alias("cluster"))
+    named = members.join(renamed, "rep", "left").select("id", F.coalesce("cluster", "rep").alias("cluster"))
+    return named.unionByName(failed)
 
 
 def cluster_stats(clusters: DataFrame, total: DataFrame) -> DataFrame:
     """Rows offered, clustered and failed, and the number of clusters."""
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    sizes = clusters.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     done = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("processed"), F.count(F.lit(1)).alias("clusters"))
     offered = total.agg(F.count(F.lit(1))).scalar()
     return done.select(

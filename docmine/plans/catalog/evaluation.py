@@ -237,10 +237,11 @@ def embedding_same_flag(t):
 @query(
     "distance_stats",
     f"WITH {TRIPLET_SQL} SELECT hard, round(coalesce(min(d_neg) FILTER (d_neg < 1.45), 2), 6) AS min_distance, round(coalesce(avg(d_neg) FILTER (d_neg < 1.45), 2), 6) AS avg_distance, round(coalesce(max(d_neg) FILTER (d_neg < 1.45), 2), 6) AS max_distance, "
-    "round(avg((d_neg < 1.45)::INTEGER), 6) AS valid_ratio, round(avg((d_neg >= 1.45)::INTEGER), 6) AS invalid_ratio FROM dist GROUP BY 1",
+    "round(count(DISTINCT anchor % 50) FILTER (d_neg < 1.45) / count(DISTINCT anchor % 50), 6) AS valid_ratio, round(1 - count(DISTINCT anchor % 50) FILTER (d_neg < 1.45) / count(DISTINCT anchor % 50), 6) AS invalid_ratio FROM dist GROUP BY 1",
 )
 def distance_stats(t):
-    s = E.distance_stats(distances(t), F.col("d_neg"), F.col("d_neg") < 1.45, ["hard"])
+    images = distances(t).withColumn("image", F.col("anchor") % 50)
+    s = E.distance_stats(images, F.col("d_neg"), F.col("d_neg") < 1.45, ["hard"], "image")
     return s.select("hard", *[F.round(c, 6).alias(c) for c in s.columns if c != "hard"])
 
 

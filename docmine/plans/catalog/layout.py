@@ -75,7 +75,7 @@ page_status AS (SELECT s.doc_id, s.page_index, claim, image, stop,
 doc_first AS (SELECT doc_id, min(page_index) FILTER (status IN ('saved', 'no_image', 'topic_excluded', 'no_marker')) AS p,
   coalesce(bool_or(status = 'cross_page'), false) AS cross_page, coalesce(bool_or(status = 'no_text'), false) AS bare FROM page_status GROUP BY 1),
 doc_status AS (SELECT d.doc_id, CASE WHEN p IS NOT NULL THEN s.status WHEN cross_page THEN 'cross_page' WHEN bare THEN 'no_text' ELSE 'no_claim' END AS status,
-  p AS page_index FROM doc_first d LEFT JOIN page_status s ON s.doc_id = d.doc_id AND s.page_index = d.p),
+  p AS page_index FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN doc_first f ON f.doc_id = d.doc_id LEFT JOIN page_status s ON s.doc_id = d.doc_id AND s.page_index = f.p),
 span AS (
   SELECT p.doc_id, p.page_index, p.pos, p.x0, p.y0, p.x1, p.y1 FROM padded p JOIN doc_status d ON p.doc_id = d.doc_id AND p.page_index = d.page_index AND d.status = 'saved'
     JOIN stops s ON s.doc_id = p.doc_id AND s.page_index = p.page_index WHERE p.pos BETWEEN s.claim AND s.image
@@ -172,7 +172,7 @@ def page_reading_order(t):
     f"WITH {D.LAYOUT_SQL}, {CLAIM_SQL} SELECT doc_id, status, page_index FROM doc_status",
 )
 def claim_document_status(t):
-    return L.mine_claim_regions(*tables(t), W, H)[0]
+    return L.mine_claim_regions(*tables(t), W, H, t.documents)[0]
 
 
 @query(
@@ -180,7 +180,7 @@ def claim_document_status(t):
     f"WITH {D.LAYOUT_SQL}, {CLAIM_SQL} SELECT status, count(*) AS n FROM doc_status GROUP BY 1",
 )
 def claim_funnel(t):
-    return P.funnel(L.mine_claim_regions(*tables(t), W, H)[0])
+    return P.funnel(L.mine_claim_regions(*tables(t), W, H, t.documents)[0])
 
 
 @query("claim_crop_regions", f"WITH {D.LAYOUT_SQL}, {CROP_SQL}")
@@ -254,5 +254,5 @@ def chained_lines(t):
     """Lines continued below each claim line; the fold depends on the data, so it is
     checked against a plain loop in the tests instead of SQL."""
     lines = tables(t)[0]
-    seed = F.when(F.col("text").startswith("What is claimed is: "), F.substring("text", 21, 100000))
+    seed = F.when(F.col("text").startswith("What is claimed is: "), F.regexp_replace("text", "^What is claimed is: ", ""))
     return L.chain_lines(lines, seed, v_gap=120, h_tol=200)

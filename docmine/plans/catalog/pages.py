@@ -150,7 +150,7 @@ def older_preamble_documents(t):
 )
 def first_hit_tail(t):
     tail = P.tail_from_first_hit(F.split("text", "\n"), lambda p: T.starts_claims(p, STARTS))
-    docs = D.spread(t.documents.select("doc_id", "text"), "doc_id")
+    docs = t.documents.select("doc_id", "text")
     found = docs.select("doc_id", F.array(tail).alias("s")).select("doc_id", F.explode("s").alias("s"))
     return (
         found.filter("s is not null")
@@ -462,7 +462,7 @@ def mined_names_fail_rate(t):
 
 @query(
     "list_output_rows",
-    f"WITH {LINES_SQL} SELECT doc_id, count(*) AS n FROM lines WHERE trim(text) <> '' GROUP BY doc_id",
+    f"WITH {LINES_SQL} SELECT doc_id, count(*) AS n FROM lines WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY doc_id",
 )
 def list_output_rows(t):
     return t.documents.select("doc_id", F.size(T.list_items(F.col("text"))).cast("bigint").alias("n")).filter("n > 0")

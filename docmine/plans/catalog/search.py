@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docmine.functions import scalars as N
+from docmine.functions import structures as S
 from docmine.functions.text import collapse_whitespace
 from docmine.operators import pages as P
 from docmine.operators import sampling as M
 from docmine.operators import search as C
 from docmine.plans import derive as D
 from docmine.plans import jobs as J
+from docmine.plans.catalog.structures import KEY_SQL
 from docmine.plans.registry import query
 
 SLOTS = 1 << 20
@@ -24,8 +26,7 @@ def bits_sql(name, table, key, n=3, slots=SLOTS):
 
 
 def text_bits(df, key, n=3):
-    slim = D.spread(df.select(F.col(key).alias("id"), "text"), "id")
-    words = slim.select("id", D.words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
+    words = df.select(F.col(key).alias("id"), D.words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
     return words.select("id", N.shingle_bits(F.col("ws"), n, SLOTS).alias("bits"))
 
 
@@ -141,15 +142,16 @@ def exact_key_dupes(t):
 
 @query(
     "exact_structure_search",
-    f"""WITH {D.STRUCTURES_SQL}, first AS (SELECT min(mol_id) AS query_id, smiles FROM structures GROUP BY smiles)
-    SELECT query_id, mol_id AS id FROM first JOIN structures USING (smiles)""",
+    f"""WITH {D.STRUCTURES_SQL}, keyed AS (SELECT mol_id, {KEY_SQL.replace('@S@', 'smiles')} AS key FROM structures),
+    first AS (SELECT min(mol_id) AS query_id, key FROM keyed GROUP BY key)
+    SELECT query_id, mol_id AS id FROM first JOIN keyed USING (key)""",
 )
 def exact_structure_search(t):
-    """Structures equal to a query structure on their text; each distinct query once."""
-    rows = D.structures(t.documents)
-    wanted = C.exact_groups(rows, F.col("smiles"), "mol_id")
-    q = wanted.select(F.col("rep").alias("id"), F.col("key").alias("smiles"))
-    return C.exact_search(q, rows.select(F.col("mol_id").alias("id"), "smiles"), "smiles")
+    """Structures equal to a query structure on their comparison key; each distinct query once."""
+    rows = D.structures(t.documents).select("mol_id", S.text_key(F.col("smiles")).alias("text_key"))
+    wanted = C.exact_groups(rows, F.col("text_key"), "mol_id")
+    q = wanted.select(F.col("rep").alias("id"), F.col("key").alias("text_key"))
+    return C.exact_search(q, rows.select(F.col("mol_id").alias("id"), "text_key"), "text_key")
 
 
 @query(

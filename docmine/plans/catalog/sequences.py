@@ -118,7 +118,7 @@ def token_metrics(t):
 
 
 BAD_PAIR = (
-    "(a BETWEEN 79 AND 142 AND NOT b >= 143) OR (a >= 143 AND b >= 79) OR (a < 79 AND b >= 143) OR (a = 1 AND NOT (b BETWEEN 4 AND 78) AND NOT b >= 143)"
+    "(a BETWEEN 79 AND 142 AND NOT b >= 143) OR (a >= 143 AND b >= 79) OR (a < 79 AND b >= 143) OR (a = 1 AND NOT (b BETWEEN 4 AND 78) AND NOT b >= 143) OR b IN (1, 3) OR (b = 0 AND a NOT IN (0, 2))"
 )
 
 

@@ -74,23 +74,25 @@ def stored_metrics(t):
 
 @query(
     "page_function",
-    "SELECT doc_id, CASE WHEN n_chars > 20000 THEN '' ELSE upper(text[1:1]) END AS text, CASE WHEN n_chars > 20000 THEN 'too long' END AS error FROM documents",
+    "SELECT doc_id, CASE WHEN lang = 'fr' THEN '' ELSE replace(text, 'e', '3') END AS text, CASE WHEN lang = 'fr' THEN 'not read: fr' END AS error FROM documents",
 )
 def page_function(t):
     """A user function per document; its failures are reported in the row."""
 
-    def first_letter(value):
-        if len(value) > 20000:
-            raise ValueError("too long")
-        return value[:1].upper()
+    def with_digits(value):
+        lang, _, text = value.partition(":")
+        if lang == "fr":
+            raise ValueError("not read: fr")
+        return text.replace("e", "3")
 
-    return B.apply_per_page(D.spread(t.documents.select("doc_id", "text"), "doc_id"), first_letter, "text", ["doc_id"])
+    pages = t.documents.select("doc_id", F.concat_ws(":", "lang", "text").alias("text"))
+    return B.apply_per_page(pages, with_digits, "text", ["doc_id"])
 
 
 @query("batch_lengths", "SELECT doc_id, length(text)::BIGINT AS result, true AS success FROM documents")
 def batch_lengths(t):
     """A model stand-in loaded once per task and called on chunks."""
-    slim = D.spread(t.documents.select("doc_id", "text"), "doc_id")
+    slim = t.documents.select("doc_id", "text")
     return B.batch_infer(slim, lambda: len, lambda model, values: [model(v) for v in values], "text", "doc_id", "bigint")
 
 

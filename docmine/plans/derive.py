@@ -14,6 +14,8 @@ from docmine.functions import structures as S
 from docmine.functions.text import hash_int
 
 WORDS_PER_STRUCTURE = 12
+#: Runs that an array of words can hold at most: fewer than 2**31 words of twelve each.
+RUNS = 1 << 28
 # Fragments a word can stand for, and labels for bare stars.
 FRAGMENTS = (
     "C", "CC", "N", "O", "c1ccccc1", "C(=O)O", "*", "[2*]", "Cl", "Br", "[NH3+]",
@@ -30,18 +32,9 @@ def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table stored in fewer pieces than there are; a table of many
-    files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(2 * cores, key)
-
-
 def doc_lines(documents: DataFrame) -> DataFrame:
     """One row per text line: (doc_id, line_id, text, lang, source)."""
-    return spread(documents.select("doc_id", "lang", "source", "text"), "doc_id").select(
+    return documents.select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_id", "text")
     )
 
@@ -52,8 +45,7 @@ def words(text: Column) -> Column:
 
 def structures(documents: DataFrame) -> DataFrame:
     """Every run of twelve words becomes one structure string with its star labels."""
-    slim = spread(documents.select("doc_id", "source", "text"), "doc_id")
-    listed = slim.select("doc_id", "source", words(F.col("text")).alias("words")).filter(
+    listed = documents.select("doc_id", "source", words(F.col("text")).alias("words")).filter(
         F.size("words") > 0
     )
     runs = listed.select(
@@ -70,7 +62,7 @@ def structures(documents: DataFrame) -> DataFrame:
         ).alias("part"),
     )
     hashed = runs.select(
-        (F.col("doc_id") * 100000 + F.floor(F.col("part.start") / WORDS_PER_STRUCTURE)).alias("mol_id"),
+        (F.col("doc_id") * RUNS + F.floor(F.col("part.start") / WORDS_PER_STRUCTURE)).alias("mol_id"),
         "doc_id",
         "source",
         F.transform("part.run", lambda w: hash_int(w)).alias("h"),
@@ -103,7 +95,7 @@ runs AS (
   SELECT doc_id, source, words, unnest(range(0, len(words), {WORDS_PER_STRUCTURE})) AS start
   FROM doc_words WHERE len(words) > 0),
 hashed AS (
-  SELECT doc_id * 100000 + start // {WORDS_PER_STRUCTURE} AS mol_id, doc_id, source,
+  SELECT doc_id * {RUNS} + start // {WORDS_PER_STRUCTURE} AS mol_id, doc_id, source,
     list_transform(words[start + 1 : start + {WORDS_PER_STRUCTURE}],
       lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT) AS h
   FROM runs),

@@ -32,11 +32,15 @@ def build_session(app: str = "docmine", master: str | None = None, **conf) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is configured (tests)."""
+    """The cluster's shared folder. In local mode, where one machine is all there is, a
+    private folder stands in when none is configured; elsewhere that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -50,7 +54,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder; it outlives lost executors."""
     path = scratch_path(df.sparkSession, tag)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.scratch = path
+    return stored
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def check_schema(df: DataFrame, expected: T.StructType, name: str = "input") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,14 +32,6 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_corpus(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def write_structure_lines(df: DataFrame, path: str, smiles: str = "smiles", name: str | None = None) -> None:
     line = F.col(smiles) if name is None else F.concat_ws(" ", smiles, name)
     df.select(line.alias("value")).write.mode("append").text(path)
@@ -57,19 +51,17 @@ def reuse_or_build(
 ) -> DataFrame:
     """A stored stage when its parameters and input count agree, else a fresh one.
 
-    The parameters are written after the data, so a broken write is never reused."""
+    Every set of parameters has a folder of its own, and a marker is written behind the data:
+    data without a marker are those of a broken write and are built anew."""
     wanted = json.dumps({"params": params, "n_items": n_items}, sort_keys=True)
+    own = f"{path}/{hashlib.md5(wanted.encode()).hexdigest()}"
     try:
-        stored = spark.read.text(f"{path}/params").first()
-        if stored is not None and stored[0] == wanted:
-            return spark.read.parquet(f"{path}/data")
-    except Exception:  # noqa: BLE001 - nothing stored yet
-        pass
-    build().write.mode("overwrite").parquet(f"{path}/data")
-    one = spark.range(1).select(F.lit(wanted).alias("value"))
-    one.write.mode("overwrite").text(f"{path}/params")
-    return spark.read.parquet(f"{path}/data")
-
-
-def metrics_record(*cols: str | Column) -> Column:
-    return F.to_json(F.struct(*cols))
+        stored = spark.read.text(f"{own}/params").first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = None
+    if stored is None or stored[0] != wanted:
+        build().write.mode("overwrite").parquet(f"{own}/data")
+        spark.range(1).select(F.lit(wanted).alias("value")).write.mode("overwrite").text(f"{own}/params")
+    return spark.read.parquet(f"{own}/data")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -58,7 +59,9 @@ class FounderTable:
         empty = spark.createDataFrame([], self.schema)
         try:
             table = spark.read.schema(self.schema).parquet(f"{self.path}/founders")
-        except Exception:  # noqa: BLE001 - no batch yet
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return empty
         return table.filter(F.col("batch") < before)
 
@@ -82,7 +85,8 @@ class FounderTable:
         lead_buckets.write.mode("overwrite").parquet(f"{self.path}/founders/{folder}")
         posts = lead_buckets.groupBy("bucket").agg(F.min("id").alias("cluster"))
         new = rest.join(posts, "bucket").groupBy("id").agg(F.min("cluster").alias("cluster"))
-        joined.unionByName(new).write.mode("overwrite").parquet(f"{self.path}/clusters/{folder}")
+        failed = search.with_bits(batch_df)[1]
+        joined.unionByName(new).unionByName(failed.select(F.col("id").cast("bigint").alias("id"), F.col("cluster").cast("bigint").alias("cluster"))).write.mode("overwrite").parquet(f"{self.path}/clusters/{folder}")
 
     def clusters(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/clusters").select("id", "cluster")

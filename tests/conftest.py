@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,7 @@ def spark():
 
     session = build_session(
         "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-        spark__ui__showConsoleProgress="false", spark__driver__memory="6g",
+        spark__ui__showConsoleProgress="false", spark__driver__memory="6g", spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
         spark__sql__streaming__stateStore__providerClass=(
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
         ),

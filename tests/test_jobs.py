@@ -89,7 +89,7 @@ def test_components(spark):
     assert got == want
 
 
-def test_graph_counts_both_paths(spark):
+def test_merged_atoms(spark):
     rng = random.Random(3)
     atoms, bonds = [], []
     for m in range(40):
@@ -102,9 +102,10 @@ def test_graph_counts_both_paths(spark):
     for m in range(40):
         roots = union_find([(u, v) for mm, u, v, _ in bonds if mm == m])
         merged[m] = sum(1 for x, r in roots.items() if x != r)
-    for small in (512, 5):
-        got = {r["mol_id"]: r["_merged"] for r in graphs.merged_atoms(b, small=small).collect()}
-        assert {k: v for k, v in merged.items() if v} == {k: v for k, v in got.items() if v}
+    got = {r["mol_id"]: r["_merged"] for r in graphs.merged_atoms(b).collect()}
+    assert {k: v for k, v in merged.items() if v} == {k: v for k, v in got.items() if v}
+    far = spark.createDataFrame([(1, 0, 2147483646, 1)], "mol_id int, u int, v int, code int")
+    assert [tuple(r) for r in graphs.merged_atoms(far).collect()] == [(1, 1)]
 
 
 def shuffled_sets(seed, n):
