@@ -130,6 +130,21 @@ def exact_search(query: DataFrame, db: DataFrame, key: str) -> DataFrame:
     return query.select(F.col("id").alias("query_id"), key).join(db.select("id", key), key).select("query_id", "id")
 
 
+def rows_by_id(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of a structure table with one of the ids."""
+    return table.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def without_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """A new version of the table without the rows of the ids."""
+    return table.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def with_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """A new version of the table with the rows added; a row replaces one of the same id."""
+    return without_ids(table, rows, key).unionByName(rows)
+
+
 # --- near-duplicate clusters ---------------------------------------------------------
 
 

@@ -418,46 +418,38 @@ def label_fail_rate(t):
     return rates.withColumn("fail_rate", F.round("fail_rate", 6))
 
 
-@query(
-    "mined_names",
-    f"""WITH {LINES_SQL},
-    names AS (SELECT doc_id, trim(n) AS name FROM (SELECT doc_id, unnest(string_split(text, '.')) AS n FROM lines) WHERE trim(n) <> ''),
-    resolver AS (SELECT word AS name, max(p_brand) AS structure FROM (SELECT p_name, p_brand, upper(substr(p_name, 1, 1)) AS word FROM part) GROUP BY 1)
-    SELECT DISTINCT n.doc_id, upper(substr(n.name, 1, 1)) AS name, r.structure FROM names n JOIN resolver r ON upper(substr(n.name, 1, 1)) = r.name""",
+NAMES_SQL = (
+    LINES_SQL
+    + """,
+names AS (SELECT doc_id, regexp_replace(n, '^\\s+|\\s+$', '', 'g') AS name FROM (SELECT doc_id, unnest(string_split(text, '.')) AS n FROM lines)),
+named AS (SELECT * FROM names WHERE name <> ''),
+resolver AS (SELECT DISTINCT name, substr(md5(name), 1, 8) AS structure FROM named WHERE ('0x' || substr(md5(name), 9, 4))::BIGINT % 3 = 0)"""
 )
+
+
+def name_tables(t):
+    """(answers with their names one per line, lookup table of a third of all names)."""
+    response = F.replace(F.col("text"), F.lit("."), F.lit("\n"))
+    answers = t.documents.select("doc_id", response.alias("response"))
+    names = answers.select(F.explode(T.list_items(F.col("response"))).alias("name")).distinct()
+    known = names.filter(T.hash_int(F.col("name"), 9, 4) % 3 == 0)
+    return answers, known.select("name", F.substring(F.md5("name"), 1, 8).alias("structure"))
+
+
+@query("mined_names", f"WITH {NAMES_SQL} SELECT DISTINCT doc_id, name, structure FROM named JOIN resolver USING (name)")
 def mined_names(t):
     """List-like answers split into names, resolved by a lookup table, each once."""
-    initials = F.transform(
-        T.list_items(F.replace(F.col("text"), F.lit("."), F.lit("\n"))),
-        lambda s: F.upper(F.substring(s, 1, 1)),
-    )
-    answers = t.documents.select("doc_id", F.array_join(initials, "\n").alias("response"))
-    resolver = t.part.select(
-        F.upper(F.substring("p_name", 1, 1)).alias("name"), F.col("p_brand").alias("structure")
-    )
-    return P.mine_names(answers, resolver)[0]
+    return P.mine_names(*name_tables(t))[0]
 
 
 @query(
     "mined_names_fail_rate",
-    f"""WITH {LINES_SQL},
-    names AS (SELECT doc_id, trim(n) AS name FROM (SELECT doc_id, unnest(string_split(text, '.')) AS n FROM lines) WHERE trim(n) <> ''),
-    resolver AS (SELECT DISTINCT upper(substr(p_name, 1, 1)) AS name FROM part)
-    SELECT count(*) FILTER (r.name IS NULL) AS failed, count(*) AS attempts,
-      round(count(*) FILTER (r.name IS NULL) / count(*), 6) AS fail_rate
-    FROM names n LEFT JOIN resolver r ON upper(substr(n.name, 1, 1)) = r.name""",
+    f"""WITH {NAMES_SQL}
+    SELECT count(*) FILTER (r.name IS NULL) AS failed, count(*) AS attempts, round(count(*) FILTER (r.name IS NULL) / count(*), 6) AS fail_rate
+    FROM named n LEFT JOIN resolver r ON n.name = r.name""",
 )
 def mined_names_fail_rate(t):
-    initials = F.transform(
-        T.list_items(F.replace(F.col("text"), F.lit("."), F.lit("\n"))),
-        lambda s: F.upper(F.substring(s, 1, 1)),
-    )
-    answers = t.documents.select("doc_id", F.array_join(initials, "\n").alias("response"))
-    resolver = t.part.select(
-        F.upper(F.substring("p_name", 1, 1)).alias("name"), F.col("p_brand").alias("structure")
-    )
-    rate = P.mine_names(answers, resolver)[1]
-    return rate.withColumn("fail_rate", F.round("fail_rate", 6))
+    return P.mine_names(*name_tables(t))[1].withColumn("fail_rate", F.round("fail_rate", 6))
 
 
 @query(
@@ -603,3 +595,75 @@ def text_like_components(t):
 )
 def structure_region_pages(t):
     return P.structure_pages(regions(t))
+
+
+# Phrases put before the lines, so that the fixed rules meet hits for each of their patterns
+# and near misses. The lines are cut to ASCII, where word boundaries are the same in all engines.
+PHRASED = (
+    "R1 is hydrogen", "an R-group", "the R group", "R(2)methyl",
+    "selected from the group consisting essentially of", "selected from the group comprising", "selected from a group of",
+    "wherein R2 is", "wherein said substituents are", "R1 to R4", "each R1 is a C1-4 alkyl", "group consisting essentially of",
+    "What is claimed is:", "the following claims:", "that which is claimed is", "We claim:",
+    "claims: 1", "what is claim is", "what are claims is", "the invention claimed is",
+    "Rx group", "selected for the group", "claimed what", "we claimed it",
+)
+PHRASED_SQL = (
+    LINES_SQL
+    + f""",
+phrased AS (SELECT doc_id, page_index, p[(h // 65536) % {len(PHRASED)} + 1] || ' ' || p[h % 65536 % {len(PHRASED)} + 1] || chr(10) || regexp_replace(text, '[^ -~]', '', 'g') AS text
+  FROM (SELECT *, ('0x' || substr(md5('phrase' || doc_id || ':' || page_index), 1, 8))::BIGINT AS h, {list(PHRASED)!r} AS p FROM lines))"""
+)
+
+
+def phrased(t):
+    h = T.hash_int(F.concat(F.lit("phrase"), F.col("doc_id"), F.lit(":"), F.col("page_index")))
+    table = F.array(*[F.lit(p) for p in PHRASED])
+    pick = lambda k: F.get(table, (k % len(PHRASED)).cast("int"))
+    plain = F.regexp_replace("text", "[^ -~]", "")
+    return lines(t).withColumn("h", h).select(
+        "doc_id", "page_index",
+        F.concat(pick(F.floor(F.col("h") / 65536)), F.lit(" "), pick(F.col("h") % 65536), F.lit("\n"), plain).alias("text"),
+    )
+
+
+@query(
+    "fixed_page_rules",
+    f"""WITH {PHRASED_SQL} SELECT doc_id, page_index,
+      {any_sql('text', T.PLACEHOLDERS)} AND {any_sql('text', T.DEFINITIONS)} AS defines,
+      {any_sql('lower(text)', T.CLAIM_PREAMBLES, '(?im)')} AS claims, {any_sql('lower(text)', T.CLAIM_PREAMBLES_OLD, '(?im)')} AS claims_old FROM phrased""",
+)
+def fixed_page_rules(t):
+    """The variable-definition rule and both claim-start rules with their own fixed lists."""
+    text = F.col("text")
+    return phrased(t).select(
+        "doc_id", "page_index", T.has_variable_definition(text).alias("defines"), T.starts_claims(text).alias("claims"),
+        T.starts_claims(text, T.CLAIM_PREAMBLES_OLD).alias("claims_old"),
+    )
+
+
+@query(
+    "fixed_rule_hits",
+    f"""WITH {PHRASED_SQL} SELECT rule, nr, count(*) AS n FROM ("""
+    + " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule, {i} AS nr FROM phrased WHERE regexp_matches({expr}, '{flags}{p}')"
+        for rule, expr, flags, patterns in (
+            ("placeholder", "text", "(?i)", T.PLACEHOLDERS), ("definition", "text", "(?i)", T.DEFINITIONS),
+            ("claims", "lower(text)", "(?im)", T.CLAIM_PREAMBLES), ("claims_old", "lower(text)", "(?im)", T.CLAIM_PREAMBLES_OLD),
+        )
+        for i, p in enumerate(patterns)
+    )
+    + ") GROUP BY ALL",
+)
+def fixed_rule_hits(t):
+    """Lines that each single pattern of the fixed lists matches."""
+    text = F.col("text")
+    rules = (
+        ("placeholder", text, "(?i)", T.PLACEHOLDERS), ("definition", text, "(?i)", T.DEFINITIONS),
+        ("claims", F.lower(text), "(?im)", T.CLAIM_PREAMBLES), ("claims_old", F.lower(text), "(?im)", T.CLAIM_PREAMBLES_OLD),
+    )
+    hits = [
+        F.when(T.matches_any(expr, [p], flags), F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("nr")))
+        for rule, expr, flags, patterns in rules
+        for i, p in enumerate(patterns)
+    ]
+    return phrased(t).select(F.explode(F.array_compact(F.array(*hits))).alias("h")).groupBy("h.rule", "h.nr").agg(F.count(F.lit(1)).alias("n"))

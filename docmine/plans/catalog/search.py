@@ -156,16 +156,24 @@ def exact_structure_search(t):
 
 @query(
     "table_versions",
-    "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_size <> 7 UNION ALL SELECT 1000000 + s_suppkey, s_name, s_acctbal FROM supplier",
+    "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_size <> 7 AND p_partkey NOT IN (SELECT 2 * s_suppkey FROM supplier) UNION ALL SELECT 2 * s_suppkey, s_name, s_acctbal FROM supplier",
 )
 def table_versions(t):
-    """A new version of a table: rows deleted by key, rows inserted."""
-    gone = t.part.filter("p_size = 7").select("p_partkey")
-    kept = P.exclude_already(t.part.select("p_partkey", "p_name", "p_retailprice"), gone, "p_partkey")
-    added = t.supplier.select(
-        (F.col("s_suppkey") + 1000000).alias("p_partkey"), F.col("s_name").alias("p_name"), F.col("s_acctbal").alias("p_retailprice")
-    )
-    return kept.unionByName(added)
+    """New versions of a table: rows deleted by id, rows inserted, some over rows of their id."""
+    table = t.part.select("p_partkey", "p_name", "p_retailprice")
+    kept = C.without_ids(table, t.part.filter("p_size = 7"), "p_partkey")
+    added = t.supplier.select((F.col("s_suppkey") * 2).alias("p_partkey"), F.col("s_name").alias("p_name"), F.col("s_acctbal").alias("p_retailprice"))
+    return C.with_rows(kept, added, "p_partkey")
+
+
+@query(
+    "table_rows_by_id",
+    "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)",
+)
+def table_rows_by_id(t):
+    """Rows of a table fetched by a table of ids."""
+    ids = t.lineitem.filter("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
+    return C.rows_by_id(t.part.select("p_partkey", "p_name"), ids, "p_partkey")
 
 
 SIG_SQL = (
