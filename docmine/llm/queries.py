@@ -26,7 +26,24 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_sharding")
+OP1_SQL = """
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i::UBIGINT FROM range(0, 256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+docs AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n, md5(coalesce(text, '')) AS d,
+  list_transform(string_split(hex(encode(coalesce(text, ''))), ''), lambda c: ('0x' || c)::UBIGINT) AS nibbles FROM documents),
+coded AS (SELECT doc_id, d, n + 8 AS size, xor(list_reduce(list_prepend(4294967295::UBIGINT,
+    list_transform(range(0, n), lambda i: nibbles[2 * i + 1] * 16 + nibbles[2 * i + 2])),
+    lambda crc, b: xor(crc >> 8, t[((xor(crc, b) & 255) + 1)::BIGINT])), 4294967295)::BIGINT AS crc FROM docs, tab),
+laid AS (SELECT *, sum(size) OVER (ORDER BY d, doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM coded),
+placed AS (SELECT *, least(23, (2 * upto - size) * 24 // (2 * total))::INTEGER AS shard FROM laid)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY d, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM placed
+"""
+
+
+@query("op1_sharding", OP1_SQL)
 def op1_sharding(t: Tables) -> DataFrame:
     return sharding.shard_documents(t.documents, shards=24)
 
@@ -148,6 +165,23 @@ def op3_html_extraction(t: Tables) -> DataFrame:
     return html_blocks.extract_main_text(t.pages)
 
 
-@query("op6_suffix_array_dedup")
+OP6_SQL = """
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+sized AS (SELECT *, octet_length(b)::BIGINT AS n FROM docs),
+windows AS (SELECT r, i, md5(b[i + 1 : i + 400]) AS h FROM (SELECT r, b, unnest(range(0, n - 399)) AS i FROM sized WHERE n >= 400)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM windows) WHERE c > 1),
+runs AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM twice)),
+spans AS (SELECT r, min(i) AS a, max(i) + 400 AS z FROM runs GROUP BY r, run),
+gaps AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS z FROM spans UNION ALL SELECT r, max(z), NULL FROM spans GROUP BY r),
+kept AS (SELECT r, list(b[gaps.a + 1 : coalesce(gaps.z, n)] ORDER BY gaps.a) AS parts FROM gaps JOIN sized USING (r) GROUP BY r),
+sums AS (SELECT r, sum(z - a) AS removed, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(CASE WHEN parts IS NULL THEN b ELSE list_reduce(parts, lambda x, y: x || y) END) AS kept_sha256
+FROM sized LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+@query("op6_suffix_array_dedup", OP6_SQL)
 def op6_suffix_array_dedup(t: Tables) -> DataFrame:
     return suffix_dedup.remove_repeats(t.documents, length=400).drop("kept")
