@@ -52,13 +52,16 @@ OP2_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
-shingles AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
-sizes AS (SELECT doc_id, len(s) AS n FROM shingles),
-rows AS (SELECT doc_id, unnest(s) AS g FROM shingles),
-common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM rows a JOIN rows b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-links AS (SELECT x, y FROM common JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * c >= 85 * (p.n + q.n - c)),
+listed AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM words WHERE len(w) >= 4),
+runs AS (SELECT doc_id, x || ' ' || lead(x, 1) OVER p || ' ' || lead(x, 2) OVER p || ' ' || lead(x, 3) OVER p AS g
+  FROM listed WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+rows AS (SELECT DISTINCT doc_id, g FROM runs WHERE g IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 3),
+sizes AS (SELECT words.doc_id, count(g) AS n FROM words LEFT JOIN rows USING (doc_id) GROUP BY 1),
+held AS (SELECT doc_id, n, g FROM (SELECT rows.doc_id, n, g, count(*) OVER (PARTITION BY g) AS times FROM rows JOIN sizes USING (doc_id)) WHERE times > 1),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS p, any_value(b.n) AS q, count(*) AS c FROM held a JOIN held b
+  ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT x, y FROM common WHERE 100 * c >= 85 * (p + q - c)),
 reach AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT links.y, reach.c FROM reach JOIN links ON links.x = reach.v)
 SELECT doc_id, n AS n_shingles, min(c) AS component_id FROM sizes JOIN reach ON v = doc_id GROUP BY doc_id, n
 """
