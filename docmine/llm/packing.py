@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,18 +22,48 @@ from docmine.llm import texts
 from docmine.session import materialise
 
 #: Unicode white space; a space joins the word behind it, other white space stands alone.
-_WHITE = "\t-\r \x85\xa0  -     　"
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-#: Encoded chunks a worker remembers at a time.
-CACHE = 300_000
+#: White space that is not a lone space or line feed between two words.
+_ODD = re.compile("[ \n]{2}|^[ \n]|[ \n]\\Z|[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Chunks a worker remembers; when there are more, the older half goes.
+CACHE = 900_000
+# Fixed value: the pattern by which a byte-level tokenizer splits a text before it merges.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ranked(definition: str) -> tuple[tiktoken.Encoding, np.ndarray] | None:
+    """The same vocabulary for a faster merger, with the bytes of each id, if the tokenizer
+    is plain byte-level BPE whose merges come in the order of their ids; else None."""
+    spec = json.loads(definition)
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not spec["normalizer"] and not any(
+        model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    )
+    if not plain or cut.get("type") != "ByteLevel" or cut["add_prefix_space"] or not cut["use_regex"]:
+        return None
+    vocab = model["vocab"]
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if merged != sorted(merged) or len(merged) + 256 != len({*vocab} - {t["content"] for t in spec["added_tokens"]}):
+        return None
+    # Printable bytes stand for themselves, the others for letters from 256 up.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, i in ranks.items():
+        sizes[i] = len(token)
+    return tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
 class Encoder:
     """Ids of whole texts, as little-endian 32-bit blobs.
 
     A byte-level tokenizer splits at white space before it merges, so a text is encoded as
-    the concatenation of its chunks, and a chunk seen before comes from memory. Texts that
-    hold an added token's string go through the tokenizer whole.
+    the concatenation of its chunks, and a chunk seen before comes from memory. A chunk is a
+    word with the space or line feed before it; new ones are merged in one go (``ranked``). Texts with other white space are cut by
+    pattern; texts that hold an added token's string go through the tokenizer whole.
     """
 
     def __init__(self, definition: str):
@@ -40,19 +74,61 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.seen: dict[str, bytes] = {}
+        self.ranked = ranked(definition)
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _chunks(self, text: str) -> list[str] | None:
+        """Chunks named by themselves, but for those behind a space, which go without it."""
+        if self.special and self.special.search(text):
+            return None
+        if not text or _ODD.search(text):
+            return [c[1:] if c[0] == " " and len(c) > 1 and c[1] not in " \n" else f"\0{c}" for c in _CHUNK.findall(text)]
+        chunks = text.replace("\n", " \n").split(" ")
+        chunks[0] = f"\0{chunks[0]}"
+        return chunks
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode many chunks as one text; each begins with white space, so none affects another."""
+        for i in range(0, len(chunks), 4000):
+            part = chunks[i : i + 4000]
+            spelled = [c if c[0] == "\n" else f" {c}" for c in part]
+            if self.ranked:
+                merger, sizes = self.ranked
+                found = np.array(merger.encode_ordinary("".join(spelled)), "<u4")
+                ends = np.cumsum([len(c.encode()) for c in spelled])
+                cut = np.searchsorted(np.cumsum(sizes[found]), ends) + 1
+            else:
+                encoded = self.tokenizer.encode("".join(spelled), add_special_tokens=False)
+                found = np.array(encoded.ids, "<u4")
+                ends = np.cumsum([len(c) for c in spelled])
+                cut = np.searchsorted(np.array([a for a, _ in encoded.offsets]), ends)
+            ids, cut = found.tobytes(), (4 * cut).tolist()
+            self.seen.update(zip(part, (ids[a:b] for a, b in zip([0, *cut], cut, strict=False)), strict=True))
+
     def encode(self, batch: list[str]) -> list[bytes]:
-        chunks = [None if self.special and self.special.search(t) else _CHUNK.findall(t) for t in batch]
+        chunks = [None if "\0" in t else self._chunks(t) for t in batch]
         if len(self.seen) > CACHE:
-            self.seen.clear()
-        new = list({c for part in chunks if part for c in part if c not in self.seen})
-        self.seen.update(zip(new, self._ids(new), strict=True))
-        look = self.seen.__getitem__
-        return [self._ids([t])[0] if c is None else b"".join(map(look, c)) for t, c in zip(batch, chunks, strict=True)]
+            for old in list(islice(self.seen, len(self.seen) // 2)):
+                del self.seen[old]
+        parts = [None if c is None else list(map(self.seen.get, c)) for c in chunks]
+        holes = [None if p is None else [i for i, x in enumerate(p) if x is None] for p in parts]
+        new = {c[i] for c, hole in zip(chunks, holes, strict=True) if hole for i in hole}
+        alone = [c for c in new if c[0] == "\0"]
+        self.seen.update(zip(alone, self._ids([c[1:] for c in alone]), strict=True))
+        self._learn([c for c in new if c[0] != "\0"])
+        for c, p, hole in zip(chunks, parts, holes, strict=True):
+            for i in hole or ():
+                p[i] = self.seen[c[i]]
+        return [self._ids([t])[0] if p is None else b"".join(p) for t, p in zip(batch, parts, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(definition: str) -> Encoder:
+    """One encoder per worker, which keeps its memory from task to task."""
+    return Encoder(definition)
 
 
 class OpenWindows:
@@ -105,7 +181,7 @@ def _pack_partition(definition, size: int, places: int, key_type: pa.DataType):
     columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "offset", "open")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows = Encoder(definition.value), OpenWindows(size, places)
+        encoder, windows = encoder_of(definition.value), OpenWindows(size, places)
         base, count = TaskContext.get().partitionId() << 32, 0
 
         def batch(rows):
