@@ -52,7 +52,8 @@ def test_byte_shards_of_nothing(none):
 
 
 @pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80), (1, 60)])
-def test_join_components(docs, words, percent):
+def test_join_components(docs, monkeypatch, words, percent):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 500 if words == 4 else 1 << 18)
     out = jaccard_join.link_components(docs, words, percent).collect()
     assert len(out) == len(ROWS)
     expect = fx.components(PAIRS, words, percent)
