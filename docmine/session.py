@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,6 +68,13 @@ def release(*stored: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished jobs. It does so when the driver's
+    garbage is collected, which a driver with little to do puts off while disks fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def check_schema(df: DataFrame, expected: T.StructType, name: str = "input") -> DataFrame:
     """Fail early when a column is missing or has another type."""
     have = {f.name: f.dataType for f in df.schema}
