@@ -27,7 +27,7 @@ from docmine.session import materialise
 _U = np.uint64
 GRAM = 32
 #: Bytes of pieces sorted together; a key with more is sorted in one larger shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Tuples that a queue holds in memory, and tuples scanned at a time.
 QUEUE_TUPLES = 1 << 18
 
@@ -331,7 +331,7 @@ def _pieces(rows: DataFrame, length: int, only_keys: bool) -> DataFrame:
     a..b of row ``row`` of document ``doc``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in texts.slices(batches, "text"):
+        for batch in texts.slices(batches, "text", 1 << 20):
             data, offsets = texts.utf8(batch.column("text"))
             keys, row, first, last, sums = _windows(data, offsets, length)
             if not len(keys):
