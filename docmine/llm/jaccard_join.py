@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from docmine.llm import texts
 from docmine.operators.components import connected_components
-from docmine.session import materialise
+from docmine.session import drop_finished_shuffles, materialise
 
 _U = np.uint64
 #: Sets whose signatures a task remembers having sent.
 SENT = 200_000
+#: Set elements in a block when the documents of a family are compared block against block.
+BLOCK = 1 << 18
 
 
 @lru_cache
@@ -40,7 +42,7 @@ def band_parameters(high: int, percent: int) -> tuple[int, int]:
     return k, 1 if k == 0 else k // 2 + 2 + k // 24
 
 
-def signatures(elements: np.ndarray, percent: int, second: int = 2) -> np.ndarray:
+def signatures(elements: np.ndarray, percent: int, second: int = 3) -> np.ndarray:
     """PartEnum signatures of one set of 64-bit hashes, for its own size band and the next.
 
     The domain is cut into n1 parts by the upper bits, each into ``second`` sub-parts by
@@ -150,43 +152,80 @@ def shingle_arrays(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, set array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by exact intersection of the whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    needed = docs.join(wanted, docs["_doc"] == wanted["doc"], "left_semi")
-    sets = materialise(shingle_arrays(needed, words), "sets")
-    left, right = sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    union = F.size("x") + F.size("y") - F.col("common")
-    return both.filter(100 * F.col("common") >= percent * union).select("a", "b").distinct()
-
-
-def _labels(edges: DataFrame, copies: DataFrame) -> DataFrame:
-    """(vertex, component) over the verified links and the links between equal sets."""
-    return materialise(connected_components(edges.unionByName(copies), "a", "b"), "labels")
-
-
-def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Signature groups that still hold documents of different components."""
-    named = shared.join(labels, shared["doc"] == labels["vertex"], "left").select(
-        "sig", "doc", F.coalesce("component", "doc").alias("comp")
-    )
-    mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-    return named.join(mixed, "sig")
+def _tile_links(tile: pa.Table, percent: int) -> pa.Table:
+    """Links between a tile's two blocks (or within one), as many as join its documents."""
+    docs = tile.column("doc").to_numpy()
+    second = tile.column("second").to_numpy(zero_copy_only=False)
+    sets = tile.column("set").combine_chunks()
+    sizes = sets.value_lengths().to_numpy().astype(np.int64)
+    _, place = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    rows, one = np.flatnonzero(~second), not second.any()
+    cols = rows if one else np.flatnonzero(second)
+    body = np.concatenate([place[starts[j] : starts[j + 1]] for j in cols])
+    heads = np.concatenate([[0], np.cumsum(sizes[cols])])[:-1]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    held, found = np.zeros(int(place.max()) + 1, np.int32), []
+    for i in rows:
+        own = place[starts[i] : starts[i + 1]]
+        held[own] = 1
+        common = np.add.reduceat(held[body], heads)
+        held[own] = 0
+        near = 100 * common >= percent * (sizes[i] + sizes[cols] - common)
+        for j in cols[near]:
+            x, y = root(int(docs[i])), root(int(docs[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((docs[i], docs[j]))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def family_links(shared: DataFrame, sized: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links among the documents of signature groups (sig, doc, hub), verified exactly.
+
+    Groups with one hub form a family; documents that share a signature share its hub, so
+    they meet in that family. A family is sorted by set size and cut into blocks of about
+    ``BLOCK`` elements; a task compares two blocks whose sizes can link, set against set, and
+    gives the links that join them. A family of any size is spread over its pairs of blocks,
+    and a pair of documents is never a row."""
+    families = materialise(shared.select("hub", "doc").distinct(), "families")
+    sizes = sized.filter("n > 0").select(F.col("doc").alias("d"), "n").distinct()
+    members = families.join(sizes, F.col("doc") == F.col("d"))
+    before = Window.partitionBy("hub").orderBy("n", "d").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / BLOCK)
+    members = materialise(members.select(F.col("hub").alias("family"), "doc", "n", block.alias("block")), "members")
+
+    blocks = members.groupBy("family", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    left = blocks.select("family", F.col("block").alias("x"), F.col("most").alias("x_most"))
+    right = blocks.select("family", F.col("block").alias("y"), F.col("least").alias("y_least"))
+    tiles = left.join(right, "family").filter((F.col("x") <= F.col("y")) & (100 * F.col("x_most") >= percent * F.col("y_least")))
+    sides = tiles.select("family", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+
+    # The list of documents has no bound, so it is merged with the texts at every size.
+    wanted = families.select(F.col("doc").alias("w")).distinct()
+    sets = shingle_arrays(rows.join(wanted.hint("merge"), rows["_doc"] == wanted["w"], "left_semi"), words)
+    sets = sets.select(F.col("doc").alias("s"), "set").filter("size(set) > 0")
+    filled = sides.join(members, ["family", "block"]).join(sets, F.col("doc") == F.col("s"))
+    filled = filled.select("family", "x", "y", "doc", (F.col("block") > F.col("x")).alias("second"), "set")
+    return filled.groupBy("family", "x", "y").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long").distinct()
 
 
 def link_components(
-    docs: DataFrame, words: int = 5, percent: int = 80, second: int = 2, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, words: int = 5, percent: int = 80, second: int = 3, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(key, n_shingles, component_id) of every row: components of the links between
     documents whose shingle sets have 100 * intersection >= percent * union.
 
-    Documents that link share a PartEnum signature. Each signature group sends its members
-    to its least member; equal sets are linked by digest beforehand. The pairs are verified
-    exactly and joined into components. Groups whose members ended up in different
-    components are then compared once more around a second member, and what is still apart
-    is compared pair by pair across components, so no link between components is missed
-    while members already together are never paired.
+    Documents that link share a PartEnum signature. Each signature group ties its members to
+    its least member, around which sets are compared exactly, block against block (see
+    ``family_links``), so no link is missed. Equal sets are linked by
+    digest, and one of them stands for all that a task met.
 
     Words are runs without ASCII white space, A-Z folded. Null and empty texts have no set
     and link with nothing, nor do rows without an id, whose component is null. Rows that
@@ -205,39 +244,10 @@ def link_components(
     so_far = group.rowsBetween(Window.unboundedPreceding, 0)
     near = sent.withColumns({"hub": F.first("doc").over(so_far), "more": F.lead("doc").over(group)})
     shared = materialise(near.filter("more IS NOT NULL OR hub <> doc").select("sig", "doc", "hub"), "shared")
+    drop_finished_shuffles(docs.sparkSession)
 
-    def to_pairs(found: DataFrame) -> DataFrame:
-        """Candidate pairs (a, b) between representatives of equal sets."""
-        names = copies.select(F.col("a").alias("doc"), F.col("b").alias("rep"))
-        for side in ("a", "b"):
-            found = (
-                found.join(names, found[side] == names["doc"], "left")
-                .withColumn(side, F.coalesce("rep", side)).select("a", "b")
-            )
-        return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    stars = shared.filter("hub <> doc").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    pairs = materialise(to_pairs(stars), "pairs")
-    edges = materialise(verified(pairs, rows, words, percent).select("a", "b"), "links")
-    labels = _labels(edges, copies)
-
-    apart = materialise(_apart(shared, labels), "apart")
-    if not apart.isEmpty():
-        around = Window.partitionBy("sig").orderBy(F.xxhash64("sig", "comp"), F.xxhash64("sig", "doc"), "doc")
-        second_hub = apart.withColumns({"a": F.first("doc").over(around), "ca": F.first("comp").over(around)})
-        again = second_hub.filter("comp <> ca").select("a", F.col("doc").alias("b")).distinct()
-        again = materialise(to_pairs(again).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        edges = materialise(edges.unionByName(verified(again, rows, words, percent)), "links")
-        labels = _labels(edges, copies)
-        apart = materialise(_apart(apart.select("sig", "doc"), labels), "apart")
-        pairs = pairs.unionByName(again)
-        if not apart.isEmpty():
-            x = apart.select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"))
-            y = apart.select("sig", F.col("doc").alias("b"), F.col("comp").alias("cb"))
-            cross = x.join(y, "sig").filter("ca < cb").select("a", "b").distinct()
-            last = materialise(to_pairs(cross).join(pairs, ["a", "b"], "left_anti"), "pairs")
-            edges = materialise(edges.unionByName(verified(last, rows, words, percent)), "links")
-            labels = _labels(edges, copies)
+    links = family_links(shared, sized, rows, words, percent)
+    labels = materialise(connected_components(links.unionByName(copies), "a", "b"), "labels")
     named = sized.join(labels, sized["doc"] == labels["vertex"], "left")
     return named.select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"),
