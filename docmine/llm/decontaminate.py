@@ -1,14 +1,15 @@
-"""Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming search.
+"""Benchmark passages in documents: item-sized windows, verified on weighted shingles.
 
-DataFrame functions only. A passage is found in four steps: windows as long as a benchmark
-item are laid wherever a document shares a shingle with an item of that length; each window
-gets a 64-bit SimHash of its weighted shingles; blocks of the fingerprint meet the blocks of
-the items' fingerprints; pairs within the radius are verified on the weighted shingles.
+DataFrame functions only. A passage is found in three steps: windows as long as a benchmark
+item are laid wherever a document shares a shingle with an item of that length; a window
+meets the items of its length of whose rarest shingles it holds one (so many of them that a
+passage must); these pairs are verified exactly. SimHash fingerprints can thin the pairs out
+on request, at the price of missed passages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmine.functions.binding import let
@@ -47,32 +48,30 @@ def simhash(weighted: DataFrame, keys: list[str]) -> DataFrame:
     return weighted.groupBy(*keys).agg(*sums, F.sum("weight").alias("total")).select(*keys, "total", bits.alias("fp"))
 
 
-def hamming_blocks(fingerprints: DataFrame, radius: int) -> DataFrame:
-    """One row per block of the fingerprint: two fingerprints within the radius agree in one
-    of radius + 1 blocks."""
-    edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    blocks = [
-        F.struct(
-            F.lit(i).alias("no"),
-            F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value"),
-        )
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))
-    ]
-    return fingerprints.withColumn("_b", F.explode(F.array(*blocks))).withColumns(
-        {"no": F.col("_b.no"), "value": F.col("_b.value")}
-    ).drop("_b")
+def rarest(item_weights: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(item, size, h, item_total): per item its shingles held by the fewest windows, with a
+    weight of more than what a passage may lack (100 - percent of the item's)."""
+    of_item = Window.partitionBy("item", "size")
+    ranked = item_weights.join(held, ["size", "h"], "left").withColumns(
+        {
+            "item_total": F.sum("weight").over(of_item),
+            "upto": F.sum("weight").over(of_item.orderBy(F.coalesce("n_windows", F.lit(0)), "h").rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    )
+    return ranked.filter(100 * (F.col("upto") - F.col("weight")) <= (100 - percent) * F.col("item_total")).select("item", "size", "h", "item_total")
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int = 12,
+    docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int | None = None,
     key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, similarity, word_start, n_windows): documents holding a passage whose
     shingles of ``width`` words, weighted by their number, have 100 * common >= percent * all.
 
     Words are lower-case runs of letters and digits. An item shorter than ``width`` is one
-    shingle of its own length; an item without words matches nothing. All windows whose
-    fingerprint lies within ``radius`` bits of an item of the same length are verified.
+    shingle of its own length; an item without words matches nothing. Every laid window is
+    verified with every item of its length that it can match; with a ``radius`` only those
+    whose 64-bit SimHashes differ in so many bits at most, which misses some passages.
     A window that shares no shingle with any item has similarity 0 and is never laid.
     Null texts hold nothing; rows without an id and items without one are left out; rows
     that share an id are one document; empty tables give no rows.
@@ -91,9 +90,8 @@ def find_leaks(
         one = items.filter(F.col("width") == v).select("item", "size", "width", F.posexplode(shingles_of(F.col("w"), v)).alias("at", "h"))
         item_shingles = one if item_shingles is None else item_shingles.unionByName(one)
     item_shingles = materialise(item_shingles, "item-shingles")
-    places = item_shingles.select("h", "size", "at", "width").distinct()
-    if item_shingles.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
+    small = F.broadcast if item_shingles.count() <= BROADCAST_ROWS else lambda frame: frame
+    places = small(item_shingles.select("h", "size", "at", "width").distinct())
 
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), words_of(F.col(text)).alias("words"))
     windows = None
@@ -108,20 +106,22 @@ def find_leaks(
     wid = ["doc", "start", "size", "tag"]
     window_shingles = None
     for v in widths:
-        one = windows.filter(F.col("width") == v).select(*wid, F.explode(shingles_of(F.col("w"), v)).alias("h"))
+        one = windows.filter(F.col("width") == v).withColumn("total", F.size("w") - (v - 1))
+        one = one.select(*wid, "total", F.explode(shingles_of(F.col("w"), v)).alias("h"))
         window_shingles = one if window_shingles is None else window_shingles.unionByName(one)
-    window_weights = materialise(window_shingles.groupBy(*wid, "h").agg(F.count(F.lit(1)).alias("weight")), "window-weights")
+    window_weights = materialise(window_shingles.groupBy(*wid, "total", "h").agg(F.count(F.lit(1)).alias("weight")), "window-weights")
     item_weights = item_shingles.groupBy("item", "size", "h").agg(F.count(F.lit(1)).alias("weight"))
 
-    left = hamming_blocks(simhash(window_weights, wid), radius)
-    right = hamming_blocks(simhash(item_weights, ["item", "size"]), radius)
-    right = right.select("no", "value", F.col("size").alias("item_size"), "item", F.col("fp").alias("item_fp"), F.col("total").alias("item_total"))
-    near = left.join(right, (left["no"] == right["no"]) & (left["value"] == right["value"]) & (left["size"] == right["item_size"]))
-    near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select(*wid, "item", "total", "item_total").distinct()
+    held = window_weights.join(small(item_weights.select("size", "h").distinct()), ["size", "h"]).groupBy("size", "h").agg(F.count(F.lit(1)).alias("n_windows"))
+    keys = materialise(rarest(item_weights, held, percent), "item-keys")
+    near = window_weights.join(small(keys), ["size", "h"]).select(*wid, "item", "item_total").distinct()
+    if radius is not None:
+        item_fps = simhash(item_weights, ["item", "size"]).select("item", "size", F.col("fp").alias("item_fp"))
+        near = near.join(simhash(window_weights, wid).select(*wid, "fp"), wid).join(item_fps, ["item", "size"])
+        near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).drop("fp", "item_fp")
 
-    weights = item_weights.select("item", "h", F.col("weight").alias("item_weight"))
-    common = near.join(window_weights, wid).join(weights, ["item", "h"]).groupBy(*wid, "item", "total", "item_total")
+    weights = small(item_weights.select("item", "size", "h", F.col("weight").alias("item_weight")))
+    common = near.join(window_weights, wid).join(weights, ["item", "size", "h"]).groupBy(*wid, "item", "total", "item_total")
     common = common.agg(F.sum(F.least("weight", "item_weight")).alias("common"))
     union = F.col("total") + F.col("item_total") - F.col("common")
     found = common.filter(100 * F.col("common") >= percent * union).withColumn("similarity", F.col("common") / union)

@@ -231,6 +231,23 @@ def test_leaks_against_all_windows(spark):
     assert {(r.doc_id, r.item_id) for r in out.collect()} == expect
 
 
+def test_edited_items_are_all_found_by_default(spark):
+    rng = np.random.default_rng(21)
+    items, rows = [], []
+    for k in range(400):
+        w = [f"w{x}" for x in rng.integers(0, 50_000, 49 + k % 12)]
+        edited = list(w)
+        edited[int(rng.integers(4, len(w) - 4))] = "edit"  # five shingles of 45 to 56 differ: 0.80 to 0.84
+        items.append((k, " ".join(w)))
+        rows.append((k, " ".join(["before"] * 7 + edited + ["behind"] * 7)))
+    out = decontaminate.find_leaks(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    found = {(r.doc_id, r.item_id): r.similarity for r in out.collect()}
+    assert set(found) == {(k, k) for k in range(400)}
+    assert all(0.8 <= s < 0.85 for s in found.values())
+
+
 TOKENS = "byte_bpe_50k.json"
 
 
