@@ -362,52 +362,126 @@ class Reader:
         self.buffer, self.spans = self.buffer[end + len("<|im_end|>\n") :], []
 
 
-FORMATTED = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+FORMATTED = "formatted string, spans array<struct<start:bigint,end:bigint>>"
+DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+KEY_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+#: Rows and characters after which a batch goes out.
+BATCH_ROWS, BATCH_CHARS = 1000, 1 << 20
 
 
-def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in ("_conv", "role", "text")), strict=True)
+        yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, chars: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows in batches bounded by number and by the length of the column at ``chars``."""
+    done, held = [], 0
+    for row in rows:
+        done.append(dict(zip(schema.names, row, strict=True)))
+        held += 0 if chars is None else len(row[chars])
+        if len(done) == BATCH_ROWS or held >= BATCH_CHARS:
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
+            done, held = [], 0
+    yield pa.RecordBatch.from_pylist(done, schema=schema)
+
+
+def render_turns(messages: Iterator[dict], render: Callable[[dict], Iterator[Piece]]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """(formatted text, spans under the loss mask) per message, as the messages come. What a
+    template puts before the first message or after the last one is part of that turn's text."""
+    ready: list[tuple[str, list[tuple[int, int]]]] = []
+    parts, spans, length = [], [], 0
+
+    def cut() -> None:
+        nonlocal parts, spans, length
+        ready.append(("".join(parts), spans))
+        parts, spans, length = [], [], 0
+
+    def given() -> Iterator[dict]:
+        for i, message in enumerate(messages):
+            if i:
+                cut()
+            yield message
+
+    for piece, masked in render({"messages": given()}):
+        yield from ready
+        ready.clear()
+        if masked and piece:
+            spans.append((length, length + len(piece)))
+        parts.append(piece)
+        length += len(piece)
+    cut()
+    yield from ready
 
 
-def format_conversations(rows: DataFrame, template: str = CHATML, key: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """(key, digest of what is read back from the formatted conversation) per conversation.
+def format_turns(rows: DataFrame, template: str = CHATML, key: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """(key, turn_no, formatted, spans): the formatted conversations, one row per turn; in
+    order of ``turn_no`` (from 0) the texts of a conversation make up its whole text. A span
+    (start, end) under the loss mask counts characters of its row's text.
 
     Rows are dealt by key and sorted by turn (then role and text, so ties have one order;
-    nulls first). A conversation is rendered and read back turn by turn as its rows stream
-    by: a conversation of any length takes the memory of one turn. Null roles and texts are
-    empty; rows without a key form one conversation; repeated rows are turns of their own;
-    an empty table gives no rows; other columns are left out.
+    nulls first). A conversation is rendered turn by turn as its rows stream by: one of any
+    length takes the memory of one turn and one batch. Null roles and texts are empty; rows
+    without a key form one conversation; repeated rows are turns of their own; an empty
+    table gives no rows; other columns are left out.
     """
     empty = F.lit("")
     turns = rows.select(
         F.col(key).alias("_conv"), F.col(turn).alias("_turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")
     )
     kind = turns.schema["_conv"].dataType.simpleString()
+    schema = pa.schema([("_conv", KEY_TYPES[kind]), ("turn_no", pa.int64()), ("formatted", pa.string()), ("spans", SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render, done = compile_template(template), []
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, d, strict=True)) for d in done], schema=schema)
-
-        for conv, group in groupby(_turns(batches), lambda t: t[0]):
-            reader = Reader()
-            for text, masked in render({"messages": ({"role": r, "text": t} for _, r, t in group)}):
-                reader.feed(text, masked)
-            done.append((conv, reader.n_turns, reader.turns.hexdigest(), reader.loss_chars, reader.loss.hexdigest(), reader.done))
-            if len(done) == 1000:
-                yield batch()
-                done.clear()
-        yield batch()
-
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+        render = compile_template(template)
+
+        def formatted() -> Iterator[tuple]:
+            for conv, group in groupby(_rows(batches, "_conv", "role", "text"), lambda t: t[0]):
+                for no, (text, spans) in enumerate(render_turns(({"role": r, "text": t} for _, r, t in group), render)):
+                    yield conv, no, text, [{"start": a, "end": b} for a, b in spans]
+
+        yield from _batches(formatted(), schema, chars=2)
+
+    dealt = turns.repartition("_conv").sortWithinPartitions("_conv", "_turn", "role", "text").select("_conv", "role", "text")
+    return dealt.mapInArrow(run, f"_conv {kind}, turn_no long, {FORMATTED}").withColumnRenamed("_conv", key)
+
+
+def read_back(formatted: DataFrame, key: str = "conv_id", dealt: bool = False) -> DataFrame:
+    """(key, digest of the turns and the loss read from its text and spans) per conversation
+    of ``format_turns``. ``dealt`` says that rows still lie as that operator left them; rows
+    of a stored table are dealt and sorted again."""
+    rows = formatted.withColumnRenamed(key, "_conv").select("_conv", "turn_no", "formatted", "spans")
+    kind = rows.schema["_conv"].dataType.simpleString()
     schema = pa.schema(
-        [("_conv", key_type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
+        [("_conv", KEY_TYPES[kind]), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
          ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
     )
-    dealt = turns.repartition("_conv").sortWithinPartitions("_conv", "_turn", "role", "text").select("_conv", "role", "text")
-    return dealt.mapInArrow(run, f"_conv {kind}, {FORMATTED}").withColumnRenamed("_conv", key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def digests() -> Iterator[tuple]:
+            for conv, group in groupby(_rows(batches, "_conv", "formatted", "spans"), lambda t: t[0]):
+                reader = Reader()
+                for _, text, spans in group:
+                    at = 0
+                    for span in spans:
+                        reader.feed(text[at : span["start"]], False)
+                        reader.feed(text[span["start"] : span["end"]], True)
+                        at = span["end"]
+                    reader.feed(text[at:], False)
+                yield conv, reader.n_turns, reader.turns.hexdigest(), reader.loss_chars, reader.loss.hexdigest(), reader.done
+
+        yield from _batches(digests(), schema)
+
+    if not dealt:
+        rows = rows.repartition("_conv").sortWithinPartitions("_conv", "turn_no")
+    return rows.mapInArrow(run, f"_conv {kind}, {DIGESTS}").withColumnRenamed("_conv", key)
+
+
+def format_conversations(rows: DataFrame, template: str = CHATML, key: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """(key, digest of what is read back from the formatted conversation) per conversation;
+    see ``format_turns`` for the formatted rows themselves and for what becomes of odd rows."""
+    return read_back(format_turns(rows, template, key, turn), key, dealt=True)
 
 
 def render_conversation(messages: list[dict], template: str = CHATML) -> tuple[str, list[tuple[int, int]]]:

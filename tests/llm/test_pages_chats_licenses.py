@@ -115,6 +115,28 @@ def test_conversations(spark):
     assert chat.format_conversations(data.limit(0)).collect() == []
 
 
+def test_formatted_turns_are_rows(spark):
+    rows = [(c, i, ("user", "assistant")[i % 2], f"turn {i} of {c} <|im_end|> é日" if i % 5 else None) for c in (1, 2, None) for i in range(7)]
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    formatted = chat.format_turns(data)
+    out = formatted.collect()
+    assert len(out) == len(rows)
+    for conv in (1, 2, None):
+        own = sorted((r for r in out if r.conv_id == conv), key=lambda r: r.turn_no)
+        assert [r.turn_no for r in own] == list(range(7))
+        text, spans, at = "", [], 0
+        for r in own:
+            spans += [(at + s.start, at + s.end) for s in r.spans]
+            text += r.formatted
+            at = len(text)
+        assert (text, spans) == chat.render_conversation([{"role": r, "text": x or ""} for c, _, r, x in rows if c == conv])
+    digests = lambda frame: sorted(frame.collect(), key=str)
+    assert digests(chat.read_back(formatted.repartition(4, "turn_no"))) == digests(chat.format_conversations(data))
+    framed = chat.format_turns(data, "<s>{% for m in messages %}[{{ m.role }}]{% endfor %}</s>").filter("conv_id = 1").orderBy("turn_no").collect()
+    assert [r.formatted for r in framed] == ["<s>[user]", *["[assistant]", "[user]"] * 2, "[assistant]", "[user]</s>"]
+    assert chat.format_turns(data.limit(0)).collect() == []
+
+
 def test_patience_is_a_common_subsequence():
     rng = random.Random(6)
     for _ in range(300):
