@@ -28,6 +28,17 @@ INLINE = frozenset(
     ("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark",
      "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img")
 )
+#: Elements of formulas: part of the sentence around them, their tags only part the words.
+MATH = frozenset(
+    ("math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded",
+     "mphantom", "mfenced", "menclose", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts",
+     "mprescripts", "none", "mtable", "mtr", "mlabeledtr", "mtd", "maction", "semantics", "annotation", "annotation-xml")
+)
+#: Elements of drawings that hold no text of their own, so that an icon parts no sentence.
+DRAWN = frozenset(
+    ("svg", "g", "path", "circle", "ellipse", "line", "rect", "polygon", "polyline", "use", "defs", "symbol", "image", "marker",
+     "mask", "pattern", "filter", "clippath", "lineargradient", "radialgradient", "stop", "animate", "tspan", "textpath")
+)
 VOID = frozenset(
     ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 )
@@ -56,9 +67,9 @@ FURNITURE = (
     "<noscript>{1}</noscript>", '<div role="navigation"><a href="#">{0}</a></div>', '<p class="notice">{1}</p>',
 )
 
-_RAW = "script|style|template|textarea|svg|math"
+_RAW = "script|style|template|textarea"
 _PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|(?P<open><(?P<raw>{_RAW})\b[^>]*>).*?(?:</(?P=raw)\s*>|\Z)"
     r"|(?P<tag></?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|<[!?][^>]*>)|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -78,7 +89,8 @@ def _read_tag(tag: str) -> tuple[bool, str, tuple[str, ...]]:
 
 def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
     """(text, path, characters inside links) of the leaf blocks in page order; a path is the
-    open elements as (name, marks). References are decoded, white space is one space."""
+    open elements as (name, marks). References are decoded, white space is one space. Formulas
+    are text of the element around them; texts of drawings are blocks under ``svg``."""
     blocks: list[tuple[str, tuple, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -93,7 +105,9 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
         parts.clear()
         linked = 0
 
-    for m in _PIECE.finditer(page):
+    at = 0
+    while m := _PIECE.match(page, at):
+        at = m.end()
         if m["text"] is not None:
             if not parts or not path:
                 path = tuple(stack)
@@ -101,6 +115,9 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
             linked += len(m["text"]) if links else 0
             continue
         if m["tag"] is None:
+            # In a drawing, unlike elsewhere, such an element can close itself.
+            if m["raw"] and m["open"].endswith("/>") and any(n == "svg" for n, _ in stack):
+                at = m.end("open")
             continue
         closing, name, marks = known.get(m["tag"]) or known.setdefault(m["tag"], _read_tag(m["tag"]))
         if not name:
@@ -108,8 +125,14 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
         if name == "br":
             parts.append(" ")
             continue
-        if name not in INLINE:
+        if name in MATH:
+            if parts:
+                parts.append(" ")
+            continue
+        if name not in INLINE and name not in DRAWN:
             close()
+        if m["tag"].endswith("/>") and (name in DRAWN or any(n == "svg" for n, _ in stack)):
+            continue
         if name == "a":
             links = 0 if closing else 1
         if closing:
@@ -118,11 +141,11 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
                 del stack[len(names) - 1 - names[::-1].index(name) :]
         elif name not in VOID:
             if name in CLOSES_ITSELF:
-                for at in range(len(stack) - 1, -1, -1):
-                    if stack[at][0] == name:
-                        del stack[at:]
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        del stack[k:]
                         break
-                    if stack[at][0] not in INLINE and stack[at][0] not in CLOSES_ITSELF:
+                    if stack[k][0] not in INLINE and stack[k][0] not in DRAWN and stack[k][0] not in CLOSES_ITSELF:
                         break
             stack.append((name, marks))
     close()

@@ -22,6 +22,21 @@ def test_leaf_blocks():
     assert [b[0] for b in html_blocks.leaf_blocks("plain &lt;b&gt;\xa0text")] == ["plain <b> text"]
 
 
+def test_formulas_and_drawings_are_walked():
+    texts = lambda page: [b[0] for b in html_blocks.leaf_blocks(page)]
+    assert texts('<article><p>before</p><svg class="i"/><p>after the icon</p></article>') == ["before", "after the icon"]
+    assert texts("<article><p>a <math/> b</p><p>c</p></article>") == ["a b", "c"]
+    formula = "<math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math>"
+    blocks = html_blocks.leaf_blocks(f"<article><p>That {formula} holds.</p><p>{formula}</p></article>")
+    assert [(b[0], b[1][-1][0]) for b in blocks] == [("That E = m c 2 holds.", "p"), ("E = m c 2", "p")]
+    icon = '<svg viewBox="0 0 1 1"><g><path d="M0"/><circle r="1"></circle></g></svg>'
+    assert texts(f"<p>one {icon} two</p>") == ["one two"]
+    blocks = html_blocks.leaf_blocks("<p>one</p><svg><style/><title>Chart</title><text>x <tspan>axis</tspan></text></svg><p>two</p>")
+    assert [(b[0], "svg" in [n for n, _ in b[1]]) for b in blocks] == [("one", False), ("Chart", True), ("x axis", True), ("two", False)]
+    assert texts("<p>one</p><svg><path d='M0'><p>two</p>") == ["one", "two"]
+    assert texts("<p>a</p><script>x<svg></script><template><p>no</p></template><textarea>no</textarea><p>b</p>") == ["a", "b"]
+
+
 def test_gradient_agrees_with_differences():
     rng = np.random.default_rng(0)
     pages = [rng.normal(size=(n, 5)).astype(np.float64) for n in (3, 1, 6)]
