@@ -365,11 +365,16 @@ def extract_main_text(
     empty table gives no rows.
     """
     spark = pages.sparkSession
-    # A draw of about four times the sample by hash, so that few rows reach the driver.
-    draw = min(1.0, 4.0 * sample_pages / max(1, pages.count()))
+    # A draw of about four times the sample by hash, so that few rows are ordered. A draw that
+    # falls short (copies of few pages share their hashes) gives way to the least hashes of all.
     placed = pages.filter(F.length(html) > 0).withColumn("__dm_h", F.xxhash64(key, html))
-    some = placed.filter(F.shiftright("__dm_h", 32) <= int(draw * ((1 << 32) - 1)) - (1 << 31)).orderBy("__dm_h").limit(sample_pages)
-    sample = [r[0] for r in some.select(html).collect()]
+    n_pages = placed.count()
+    draw = min(1.0, 4.0 * sample_pages / max(1, n_pages))
+    drawn = placed.filter(F.shiftright("__dm_h", 32) <= int(draw * ((1 << 32) - 1)) - (1 << 31))
+    for some in (drawn, placed):
+        sample = [r[0] for r in some.orderBy("__dm_h").limit(sample_pages).select(html).collect()]
+        if len(sample) >= min(sample_pages, n_pages):
+            break
     model = spark.sparkContext.broadcast(train(sample) if sample else None)
     rows = pages.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(html).alias("_html"))
 

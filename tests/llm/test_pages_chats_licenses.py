@@ -75,6 +75,20 @@ def test_extraction(spark):
     assert html_blocks.extract_main_text(pages.limit(0)).collect() == []
 
 
+def test_sample_is_full_among_empty_pages(spark, monkeypatch):
+    drawn, train = [], html_blocks.train
+    monkeypatch.setattr(html_blocks, "train", lambda sample: drawn.append(len(sample)) or train(sample))
+    rng = random.Random(4)
+    full = [(i, _page(rng, i)) for i in range(30)]
+    sparse = full + [(i, ("", None)[i % 2]) for i in range(30, 4000)]
+    copies = [(1, full[0][1])] * 300 + [(2, full[1][1])] * 300  # two hashes: the draw may hold neither
+    for rows in (sparse, copies):
+        pages = spark.createDataFrame(rows, "page_id long, html string").repartition(3)
+        out = html_blocks.extract_main_text(pages, sample_pages=20, keep=()).collect()
+        assert len(out) == len(rows) and sum(r.n_chars > 0 for r in out) == sum(bool(h) for _, h in rows)
+    assert drawn == [20, 20]
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
 def test_held_out_accuracy(spark):
     pages = [r[0] for r in spark.read.parquet(f"{FOLDER}/pages.parquet").select("html").collect()]
