@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmine.llm import chat, decontaminate, html_blocks, jaccard_join, license_scan, line_dedup, packing, quality, sharding, suffix_dedup
+from docmine.llm import (
+    chat, complement_packing, decontaminate, html_blocks, jaccard_join, license_scan, line_dedup, packing, quality, sharding, shallot, spelling,
+    suffix_dedup,
+)
 from docmine.plans.registry import Tables
 from docmine.session import tune
 
@@ -188,3 +191,70 @@ FROM sized LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
 @query("op6_suffix_array_dedup", OP6_SQL)
 def op6_suffix_array_dedup(t: Tables) -> DataFrame:
     return suffix_dedup.remove_repeats(t.documents, length=400).drop("kept")
+
+
+def _op11_sql(rounds: int = 10) -> str:
+    """The rounds written one after the other."""
+    nearest = """r{i} AS MATERIALIZED (SELECT vec_id, v, c AS cluster, d FROM (
+  SELECT vec_id, v, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM (
+    SELECT r, vec_id, v, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT AS d FROM kept, c{i})) WHERE place = 1)"""
+    moved = """c{j} AS MATERIALIZED (SELECT c, coalesce(mean, m) AS m FROM c{i} LEFT JOIN (
+  SELECT cluster, list(mean ORDER BY k) AS mean FROM (
+    SELECT cluster, k, (s - ((s % n) + n) % n) // n AS mean FROM (
+      SELECT cluster, k, sum(x)::BIGINT AS s, count(*) AS n FROM (
+        SELECT cluster, unnest(v) AS x, unnest(range(0, 64)) AS k FROM r{i}) GROUP BY cluster, k)) GROUP BY cluster) ON cluster = c)"""
+    steps = [step for i in range(rounds) for step in (nearest.format(i=i), moved.format(i=i, j=i + 1))]
+    return (
+        """WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT v, sha256('3:' || vec_id) AS h FROM kept ORDER BY h LIMIT 8)),
+"""
+        + ",\n".join([*steps, nearest.format(i=rounds)])
+        + f"""
+SELECT vec_id, cluster::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM r{rounds} JOIN c{rounds} ON c = cluster"""
+    )
+
+
+@query("op11_centroid_clustering", _op11_sql())
+def op11_centroid_clustering(t: Tables) -> DataFrame:
+    return shallot.cluster(t.embeddings)
+
+
+@query("op12_best_fit_packing")
+def op12_best_fit_packing(t: Tables) -> DataFrame:
+    return complement_packing.pack(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i::UBIGINT FROM range(0, 256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY 1, 2),
+hexed AS (SELECT *, string_split(hex(encode(concat(doc_id, ':', run))), '') AS nibbles FROM runs),
+coded AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295::UBIGINT,
+    list_transform(range(0, len(nibbles) // 2), lambda i: (('0x' || nibbles[2 * i + 1])::UBIGINT * 16 + ('0x' || nibbles[2 * i + 2])::UBIGINT))),
+    lambda crc, b: xor(crc >> 8, t[((xor(crc, b) & 255) + 1)::BIGINT])), 4294967295)::BIGINT AS h FROM hexed, tab),
+words AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT times, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM coded)
+  WHERE length(word) >= 6 GROUP BY 1 HAVING sum(times) >= 5),
+shorter AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM shorter a JOIN words b ON a.s = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM shorter a JOIN words b ON a.s = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form,
+  CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS here, 0 AS k FROM forms UNION ALL SELECT chain.word, forms.form, k + 1 FROM chain JOIN forms ON chain.here = forms.word WHERE forms.form IS NOT NULL),
+ends AS (SELECT word, last(here ORDER BY k) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
+
+@query("op13_spelling_variant_grouping", OP13_SQL)
+def op13_spelling_variant_grouping(t: Tables) -> DataFrame:
+    return spelling.group_variants(t.documents)
