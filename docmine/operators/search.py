@@ -161,13 +161,17 @@ def minhash(fingerprints: DataFrame, n: int = 128) -> DataFrame:
     return exploded.groupBy("id").agg(*mins)
 
 
-def band_keys(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, bucket): one 128-bit bucket key per band."""
-    keys = [
+def band_columns(bands: int, rows: int) -> list[Column]:
+    """One 128-bit bucket key per band."""
+    return [
         F.unhex(F.md5(F.concat_ws(",", F.lit(b), *[F.col(f"s{b * rows + r}") for r in range(rows)])))
         for b in range(bands)
     ]
-    return signatures.select("id", F.explode(F.array(*keys)).alias("bucket"))
+
+
+def band_keys(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(id, bucket): the bucket keys of every row."""
+    return signatures.select("id", F.explode(F.array(*band_columns(bands, rows))).alias("bucket"))
 
 
 def lsh_buckets(fingerprints: DataFrame, threshold: float = 0.5, n: int = 128) -> DataFrame:
@@ -183,17 +187,43 @@ def star_edges(buckets: DataFrame) -> DataFrame:
     )
 
 
-def lsh_candidates(fingerprints: DataFrame, threshold: float = 0.5, verify: bool = False) -> DataFrame:
-    """Candidate edges (id, hub) with their Tanimoto similarity when verified. Edges stand
-    for the bucket's pairs: two members of a bucket are linked through its hub."""
-    edges = star_edges(lsh_buckets(fingerprints, threshold))
-    if not verify:
-        return edges
-    bits = fingerprints.select("id", "bits")
-    joined = edges.join(bits, "id").join(
-        bits.select(F.col("id").alias("hub"), F.col("bits").alias("_h")), "hub"
-    )
-    return joined.select("id", "hub", N.tanimoto(F.col("bits"), F.col("_h")).alias("sim"))
+def lsh_candidates(fingerprints: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Candidate edges (id, hub). Edges stand for the bucket's pairs: two members of a bucket
+    are linked through its hub."""
+    return star_edges(lsh_buckets(fingerprints, threshold))
+
+
+def verified_pairs(fingerprints: DataFrame, threshold: float = 0.5, least: float | None = None, tile: int = 256) -> DataFrame:
+    """(id, other, sim), id < other: all pairs that share a bucket and have a Tanimoto
+    similarity of ``least`` (``threshold`` if not given) and up.
+
+    A bucket is cut into blocks of about ``tile`` members, and blocks meet block by block,
+    so a bucket of any size is spread over its pairs of blocks. Pairs are compared inside
+    the join and only similar ones leave it, each in the first band that its two rows share.
+    Fold copies first: ids of equal bits are pairs of similarity 1.
+    """
+    least = threshold if least is None else least
+    bands, rows = N.band_shape(threshold, 128)
+    signed = minhash(fingerprints, bands * rows)
+    keyed = signed.select("id", F.array(*band_columns(bands, rows)).alias("keys")).join(fingerprints.select("id", "bits"), "id")
+    keyed = materialise(keyed, "band-keys")
+    buckets = keyed.select("id", F.posexplode("keys").alias("band", "bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    shared = buckets.join(sizes, "bucket").select("id", "band", "bucket", F.ceil(F.col("_n") / tile).alias("blocks"))
+    members = shared.join(keyed, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    last = F.col("blocks") - 1
+    left = members.select("bucket", "band", "id", "bits", "keys", F.col("block").alias("x"), F.explode(F.sequence("block", last)).alias("y"))
+    right = members.select(
+        "bucket", F.col("id").alias("o_id"), F.col("bits").alias("o_bits"), F.col("keys").alias("o_keys"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("x"), F.col("block").alias("y"),
+    )
+    small, large = F.least(F.size("bits"), F.size("o_bits")), F.greatest(F.size("bits"), F.size("o_bits"))
+    earlier = F.size(F.array_intersect(F.slice("keys", F.lit(1), F.col("band")), F.slice("o_keys", F.lit(1), F.col("band"))))
+    sim = N.tanimoto(F.col("bits"), F.col("o_bits"))
+    once = ((F.col("x") < F.col("y")) & (F.col("id") != F.col("o_id"))) | (F.col("id") < F.col("o_id"))
+    met = left.join(right, ["bucket", "x", "y"]).filter(once & (small >= large * least - 1e-9))
+    met = met.filter(F.when(earlier == 0, sim).otherwise(-1.0) >= least - 1e-12)
+    return met.select(F.least("id", "o_id").alias("id"), F.greatest("id", "o_id").alias("other"), sim.alias("sim"))
 
 
 def with_bits(fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:

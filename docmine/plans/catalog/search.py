@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docmine.functions import scalars as N
 from docmine.functions import structures as S
 from docmine.functions.text import collapse_whitespace
+from docmine.operators import dense
 from docmine.operators import pages as P
 from docmine.operators import sampling as M
 from docmine.operators import search as C
@@ -105,9 +106,9 @@ def document_near_copies(t):
     f"WITH {SIGN_BITS}, {range_sql('signs', 'signs', 'sim >= 0.6 AND query_id <> k.id'.replace('k.id', 'id'))} SELECT query_id, id, round(sim, 6) AS sim FROM hits",
 )
 def embedding_sign_range(t):
-    """The same search on a caller's own fingerprint: signs of embedding components."""
+    """The same search on a caller's own dense fingerprint: signs of embedding components."""
     rows = sign_rows(t)
-    hits = C.similarity_range(rows, rows, 0.6)
+    hits = dense.dense_range(rows, rows, 0.6)
     return hits.filter("query_id <> id").select("query_id", "id", F.round("sim", 6).alias("sim"))
 
 
@@ -117,7 +118,7 @@ def embedding_sign_range(t):
 )
 def embedding_topn(t):
     rows = sign_rows(t)
-    best = M.top_n(C.similarity_range(rows, rows, 0.55), ["query_id"], 3, "sim", ["id"])
+    best = M.top_n(dense.dense_range(rows, rows, 0.55), ["query_id"], 3, "sim", ["id"])
     return best.select("query_id", "id", F.round("sim", 6).alias("sim"), "rank")
 
 
@@ -222,13 +223,14 @@ def lsh_pairs(t):
 
 @query(
     "lsh_pairs_verified",
-    f"WITH {SIG_SQL} SELECT e.id, hub, round(len(list_intersect(a.bits, b.bits))::DOUBLE / (len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits))), 6) AS sim "
-    "FROM edges e JOIN reps a ON a.id = e.id JOIN reps b ON b.id = hub",
+    f"WITH {SIG_SQL}, met AS (SELECT DISTINCT a.id, b.id AS other FROM buckets a JOIN buckets b USING (band, bucket) WHERE a.id < b.id), "
+    "shared AS (SELECT m.id, other, len(list_intersect(a.bits, b.bits))::DOUBLE AS c, len(a.bits) + len(b.bits) AS n FROM met m JOIN reps a ON a.id = m.id JOIN reps b ON b.id = other) "
+    "SELECT id, other, round(c / (n - c), 6) AS sim FROM shared WHERE c / (n - c) >= 0.5",
 )
 def lsh_pairs_verified(t):
+    """All pairs of distinct texts that share a bucket and are similar."""
     slim, _ = C.fold_copies(text_bits(t.documents, "doc_id"))
-    edges = C.lsh_candidates(slim, 0.5, verify=True)
-    return edges.select("id", "hub", F.round("sim", 6).alias("sim"))
+    return C.verified_pairs(slim, 0.5).select("id", "other", F.round("sim", 6).alias("sim"))
 
 
 @query("near_dupe_components", f"WITH RECURSIVE {COMP_SQL} SELECT id, cluster FROM clusters")

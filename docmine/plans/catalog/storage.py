@@ -8,7 +8,7 @@ from docmine.functions import batch as B
 from docmine.plans import derive as D
 from docmine.plans.registry import query
 from docmine.session import scratch_path
-from docmine.sources import store, text
+from docmine.sources import archives, store, text
 
 
 @query("stored_key_list", "SELECT DISTINCT o_custkey::VARCHAR AS value FROM orders")
@@ -104,3 +104,24 @@ def batch_counters(t):
         lambda part: {"n": len(part), "last_id": int(part["event_id"].max())},
         {"n": "sum", "last_id": "max"}, "n bigint, last_id bigint",
     )
+
+
+ARCHIVED_SQL = "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, sha256(coalesce(text, '')) AS sha FROM documents"
+
+
+@query("archived_documents", f"{ARCHIVED_SQL} WHERE doc_id IN (SELECT doc_id FROM labels)")
+def archived_documents(t):
+    """Documents written into tar and zip archives beside other members; those on a key list
+    are found by the archives' directories and read from their places."""
+    path = scratch_path(t.spark, "archives")
+    stem = F.col("doc_id").cast("string")
+    # An archive holds a bounded run of ids, whatever their source.
+    box = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 4096).cast("string"))
+    name = F.concat(box, F.when(F.crc32(box) % 2 == 0, ".tar").otherwise(".zip"))
+    rows = t.documents.select(name.alias("archive"), stem.alias("stem"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    texts = rows.select("archive", F.concat(F.lit("texts/"), "stem", F.lit(".TXT")).alias("member"), "content")
+    other = rows.select("archive", F.concat(F.lit("notes/"), "stem", F.lit(".md")).alias("member"), F.lit(b"-").alias("content"))
+    archives.write_archives(texts.unionByName(other), path)
+    keys = t.labels.select(F.col("doc_id").cast("string").alias("stem"))
+    found = archives.read_archive_members(t.spark, path, ".txt", keys)
+    return found.select(F.col("stem").cast("bigint").alias("doc_id"), F.octet_length("content").cast("bigint").alias("n_bytes"), F.sha2("content", 256).alias("sha"))

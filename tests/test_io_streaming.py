@@ -1,8 +1,10 @@
 import io
+import random
 import tarfile
 import zipfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from docmine.functions import batch
@@ -34,6 +36,39 @@ def test_archives(spark, tmp_path):
     assert archives.read_archive_members(spark, str(tmp_path), ".pdf").count() == 3
 
 
+def test_written_archives_are_read_by_place(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(f"b{i % 3}.{('tar', 'zip')[i % 2]}", f"d/{i}.{('txt', 'bin')[i % 5 == 0]}", rng.randbytes(rng.randrange(0, 4000))) for i in range(300)]
+    members = spark.createDataFrame(rows, "archive string, member string, content binary")
+    path = str(tmp_path / "boxes")
+    written = archives.write_archives(members.repartition(5), path)
+    assert {r["archive"]: r["n_members"] for r in written.collect()} == {a: 50 for a, _, _ in rows}
+    assert sorted(p.name for p in (tmp_path / "boxes").iterdir()) == sorted({a for a, _, _ in rows})
+    with zipfile.ZipFile(tmp_path / "boxes" / "b1.zip") as box:
+        assert box.testzip() is None
+    index = archives.archive_index(spark, path, ".txt")
+    assert index.count() == 240
+    # A few bytes to a task: one archive is read by many tasks.
+    contents = archives.member_contents(index, path, task_bytes=20_000)
+    assert contents.rdd.getNumPartitions() > 10
+    got = {(r["archive"].split("/")[-1], r["member"]): bytes(r["content"]) for r in contents.collect()}
+    assert got == {(a, m): c for a, m, c in rows if m.endswith("txt")}
+
+
+def test_only_wanted_bytes_are_read(spark, tmp_path):
+    """A member that is not asked for may be broken; one that is asked for may not."""
+    with zipfile.ZipFile(tmp_path / "w.zip", "w") as box:
+        box.writestr("1.txt", b"a" * 1000)
+        box.writestr("2.txt", b"b" * 1000)
+    data = (tmp_path / "w.zip").read_bytes()
+    (tmp_path / "w.zip").write_bytes(data.replace(b"bbbb", b"bxbb", 1))
+    read = lambda k: archives.read_archive_members(spark, str(tmp_path), ".txt", spark.createDataFrame([(k,)], "stem string")).collect()
+    assert [bytes(r["content"]) for r in read("1")] == [b"a" * 1000]
+    with pytest.raises(Exception, match="checksum"):
+        read("2")
+    assert read("3") == []
+
+
 def test_delimited_and_sdf(spark, tmp_path):
     (tmp_path / "n.csv").write_text("patent_no; page; iupac\n1; 0; a,b-c\n1; 0; a,b-c\n")
     df = text.read_delimited(spark, str(tmp_path / "n.csv"), "patent_no bigint, page int, iupac string", ";")
