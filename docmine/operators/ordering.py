@@ -200,28 +200,39 @@ def ema_baseline(
     alpha: float = 0.1,
     out: str = "baseline",
     block: int = 256,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Running baseline ``b = (1-a) b + a x``, started by the first value, after each row.
 
     The recurrence is affine, so it is folded per block of ``block`` rows and carried
     over; a block decays the older past by (1-a)**block, which leaves the double range
-    after a fixed number of blocks, so the carry reads only that many.
+    after a fixed number of blocks, so the carry reads only that many. With ``start``, a
+    table (keys, start, seen), a key goes on from the baseline ``start`` after ``seen`` rows.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must lie in (0, 1]")
     keep = 1.0 - alpha
     ranked = rank_in_order(df, keys, buckets, [F.col(c) for c in order], "_rank")
+    if start is None:
+        ranked = ranked.withColumns({"_start": F.lit(None).cast("double"), "_seen": F.lit(0).cast("bigint")})
+    else:
+        renamed = start.select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.col("start").alias("_start"), F.col("seen").alias("_seen"))
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+        ranked = ranked.join(renamed, cond, "left").drop(*[f"_g_{k}" for k in keys]).withColumn("_seen", F.coalesce("_seen", F.lit(0)))
+    step = (F.col("_seen") + F.col("_rank")).alias("step")
+    own = [F.col(c) for c in df.columns]
     if keep == 0:
-        return ranked.withColumn(out, F.col(value).cast("double")).withColumnRenamed("_rank", "step")
+        return ranked.select(*own, step, F.col(value).cast("double").alias(out))
     # Inside a block values are scaled by up to keep**-block, which must stay a double.
     block = max(1, min(block, int(500 / -math.log(keep))))
     staged = ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / block)).withColumn(
         "_pos", ((F.col("_rank") - 1) % block + 1).cast("double")
     )
-    # The first row weighs 1, every later one alpha.
-    weighted = staged.withColumn(
-        "_w", F.when(F.col("_rank") == 1, F.col(value)).otherwise(F.col(value) * alpha)
-    )
+    # The first row of all weighs 1, every later one alpha.
+    first = (F.col("_rank") == 1) & F.col("_start").isNull()
+    weighted = staged.withColumn("_w", F.when(first, F.col(value)).otherwise(F.col(value) * alpha))
     inner = (
         Window.partitionBy(*keys, "_block").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -246,7 +257,6 @@ def ema_baseline(
         cond = cond & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
     return (
         local.join(carry, cond)
-        .withColumn(out, F.col("_local") + F.col("_carry") * F.pow(F.lit(keep), F.col("_pos")))
-        .drop("_block", "_pos", "_w", "_local", "_carry", "_g_block", *[f"_g_{k}" for k in keys])
-        .withColumnRenamed("_rank", "step")
+        .withColumn("_before", F.coalesce("_start", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_rank").cast("double")))
+        .select(*own, step, (F.col("_local") + F.col("_carry") * F.pow(F.lit(keep), F.col("_pos")) + F.col("_before")).alias(out))
     )

@@ -10,5 +10,6 @@ from docmine.plans.catalog import (  # noqa: F401
     evaluation,
     sequences,
     storage,
+    streams,
 )
 from docmine.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -3,14 +3,10 @@ import random
 import tarfile
 import zipfile
 
-import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from docmine.functions import batch
-from docmine.operators import search
 from docmine.sources import archives, store, text
-from docmine.streaming import jobs
 
 
 def test_fixed_width(spark, tmp_path):
@@ -100,71 +96,3 @@ def test_failed_chunk(spark):
     df = spark.createDataFrame([(1, 1), (2, -1), (3, 3)], "id int, v int").coalesce(1)
     got = batch.batch_infer(df, lambda: 10, predict, "v", "id", "bigint", batch=1).collect()
     assert {r["id"]: (r["result"], r["success"]) for r in got} == {1: (11, True), 2: (None, False), 3: (13, True)}
-
-
-def test_stream_pages_and_funnel(spark, tmp_path):
-    rows = [(i, 0, "hit" if i % 2 else "none") for i in range(10)]
-    spark.createDataFrame(rows, "doc_id int, page_index int, text string").write.parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema("doc_id int, page_index int, text string").parquet(str(tmp_path / "in"))
-    allow = spark.range(6).withColumnRenamed("id", "doc_id")
-    rule = F.col("text") == "hit"
-    jobs.stream_mine_pages(src, allow, rule, str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination(60)
-    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("doc_id").collect()) == [1, 3, 5]
-    status = src.select(F.when(rule, "saved").otherwise("no_text_hit").alias("status"))
-    jobs.stream_funnel(status, "funnel", str(tmp_path / "c2")).awaitTermination(60)
-    assert dict(tuple(r) for r in spark.table("funnel").collect()) == {"saved": 5, "no_text_hit": 5}
-
-
-def test_stream_clusters_equal_leader(spark, tmp_path):
-    from tests.test_jobs import shuffled_sets
-
-    rows = shuffled_sets(8, 24)
-    df = spark.createDataFrame(rows, "id bigint, bits array<int>")
-    want = {r["id"]: r["cluster"] for r in search.leader_clusters(df).collect()}
-    table = jobs.FounderTable(spark, str(tmp_path / "t"))
-    half = len(rows) // 2
-    for n, part in enumerate((rows[:half], rows[half:])):
-        table.assign(spark.createDataFrame(part, "id bigint, bits array<int>"), n)
-    # A repeated batch changes nothing.
-    table.assign(spark.createDataFrame(rows[half:], "id bigint, bits array<int>"), 1)
-    assert {r["id"]: r["cluster"] for r in table.clusters().collect()} == want
-
-
-def test_baseline_processor():
-    class Value:
-        v = None
-
-        def exists(self):
-            return self.v is not None
-
-        def get(self):
-            return self.v
-
-        def update(self, v):
-            self.v = v
-
-    p = jobs._Baseline(0.1)
-    p.state = Value()
-    first = pd.DataFrame({"ord": [2, 1], "id": [2, 1], "value": [3.0, 1.0]})
-    out = pd.concat(p.handleInputRows((7,), iter([first]), None))
-    assert list(out["id"]) == [1, 2] and list(out["baseline"].round(6)) == [1.0, 1.2]
-    out = pd.concat(p.handleInputRows((7,), iter([pd.DataFrame({"ord": [3], "id": [3], "value": [2.2]})]), None))
-    assert round(out["baseline"][0], 6) == 1.3
-
-
-def test_stream_baseline(spark, tmp_path):
-    rows = [(k, i, i, float((i * 7 + k) % 5)) for k in range(3) for i in range(20)]
-    schema = "key bigint, ord bigint, id bigint, value double"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    query = (
-        jobs.stream_ema(src).writeStream.format("memory").queryName("ema").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination(60)
-    got = {(r["key"], r["id"]): r["baseline"] for r in spark.table("ema").collect()}
-    for k in range(3):
-        base = None
-        for _, i, _, x in (r for r in rows if r[0] == k):
-            base = x if base is None else 0.9 * base + 0.1 * x
-            assert abs(got[(k, i)] - base) < 1e-12
