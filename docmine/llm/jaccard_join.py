@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 
 from docmine.llm import texts
 from docmine.operators.components import connected_components
-from docmine.session import drop_finished_shuffles, materialise
+from docmine.session import drop_finished_shuffles, materialise, release
 
 _U = np.uint64
 #: Sets whose signatures a task remembers having sent.
 SENT = 200_000
 #: Set elements in a block when the documents of a family are compared block against block.
 BLOCK = 1 << 18
+#: Cuts of the domain that a set with many empty parts goes through.
+DRAWS = 6
 
 
 @lru_cache
@@ -35,21 +38,22 @@ def size_bands(percent: int, top: int) -> tuple[tuple[int, int], ...]:
 def band_parameters(high: int, percent: int) -> tuple[int, int]:
     """(differences k that two linked sets of at most ``high`` elements can have, parts).
 
-    Linked sets of sizes a and b differ in at most (100-p)(a+b)/(100+p) elements. Of n1
-    first-level parts, all but k//2 hold at most one difference. Some parts to spare let
-    most sets do without signatures of empty parts (see ``signatures``)."""
+    Linked sets of sizes a and b differ in at most (100-p)(a+b)/(100+p) elements, so of k + 1
+    parts with elements one is the same in both. Some parts to spare make up for parts that
+    get no element (see ``signatures``)."""
     k = (100 - percent) * 2 * high // (100 + percent)
-    return k, 1 if k == 0 else k // 2 + 2 + k // 24
+    return k, 1 if k == 0 else k + 2 + k // 24 + isqrt(k) // 2
 
 
-def signatures(elements: np.ndarray, percent: int, second: int = 3) -> np.ndarray:
+def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     """PartEnum signatures of one set of 64-bit hashes, for its own size band and the next.
 
-    The domain is cut into n1 parts by the upper bits, each into ``second`` sub-parts by
-    the lower bits. A part with at most one difference leaves ``second`` - 1 sub-parts
-    equal, so a signature is made for every such subset of every part. A subset without
-    elements says nothing and would meet all sets; it is left out wherever the set has more
-    than k//2 parts whose subsets all have elements, since then one of those must agree.
+    The domain is cut into parts, and of every subset of all but k parts one could be the
+    same; with parts as small as these it is enough to enumerate single ones. An empty part
+    says nothing and would meet all sets. It is left out if more than k parts have elements,
+    since one of those is then without a difference, and filled in the other set too. Of two
+    linked sets that both have fewer filled parts, both go on to the next of ``DRAWS`` cuts;
+    only a set with as few under every cut sends its empty parts.
     """
     n = len(elements)
     if not n:
@@ -57,30 +61,26 @@ def signatures(elements: np.ndarray, percent: int, second: int = 3) -> np.ndarra
     bands = size_bands(percent, n)
     out = []
     weight = texts.mix(elements ^ _U(0x5BF03635))
-    upper = elements >> _U(32)
-    sub = (elements & _U(0xFFFF)) % _U(second)
     for b in (len(bands), len(bands) + 1):
         high = bands[-1][1] if b == len(bands) else (bands[-1][1] + 1) * 100 // percent
-        k, n1 = band_parameters(high, percent)
+        k, parts = band_parameters(high, percent)
         tag = texts.mix(np.array([b], _U))
         if k == 0:
             out.append(texts.mix(weight.sum(dtype=_U, keepdims=True) ^ tag))
             continue
-        part = ((upper * _U(n1)) >> _U(32)).astype(np.int64)
-        edges = np.arange(n1 + 1)
-        sums, counts = np.zeros((second, n1), _U), np.zeros((second, n1), np.int64)
-        for s in range(second):
-            mine = sub == _U(s)
-            cut = np.searchsorted(part[mine], edges)
-            run = np.concatenate([np.zeros(1, _U), np.cumsum(weight[mine], dtype=_U)])
-            sums[s], counts[s] = run[cut[1:]] - run[cut[:-1]], np.diff(cut)
-        # Subset s leaves sub-part s out.
-        value = sums.sum(axis=0, dtype=_U) - sums
-        filled = counts.sum(axis=0) - counts > 0
-        label = np.arange(second * n1, dtype=_U).reshape(second, n1)
-        sig = texts.mix(texts.mix(value + tag) ^ texts.mix(label + tag))
-        plenty = np.count_nonzero(filled.all(axis=0)) > k // 2
-        out.append(sig[filled] if plenty else sig.ravel())
+        for draw in range(DRAWS):
+            place = elements if draw == 0 else texts.mix(elements + _U(draw))
+            part = (((place >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
+            order = None if draw == 0 else np.argsort(part, kind="stable")
+            run = np.concatenate([np.zeros(1, _U), np.cumsum(weight if order is None else weight[order], dtype=_U)])
+            cut = np.searchsorted(part if order is None else part[order], np.arange(parts + 1))
+            value, filled = run[cut[1:]] - run[cut[:-1]], np.diff(cut) > 0
+            label = texts.mix(np.arange(draw * parts, (draw + 1) * parts, dtype=_U) + tag)
+            sig = texts.mix(texts.mix(value + tag) ^ label)
+            enough = np.count_nonzero(filled) > k
+            out.append(sig if draw == DRAWS - 1 and not enough else sig[filled])
+            if enough:
+                break
     return np.concatenate(out)
 
 
@@ -110,7 +110,7 @@ def set_sizes(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, d1 long, d2 long")
 
 
-def signature_rows(docs: DataFrame, words: int, percent: int, second: int) -> DataFrame:
+def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(sig, doc); a set met before in the same task sends nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,7 @@ def signature_rows(docs: DataFrame, words: int, percent: int, second: int) -> Da
                 if len(sent) >= SENT:
                     sent.clear()
                 sent.add(digest)
-                sigs = signatures(elements, percent, second)
+                sigs = signatures(elements, percent)
                 found.append(sigs)
                 owners.append(np.full(len(sigs), doc, np.int64))
             if found:
@@ -153,7 +153,8 @@ def shingle_arrays(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _tile_links(tile: pa.Table, percent: int) -> pa.Table:
-    """Links between a tile's two blocks (or within one), as many as join its documents."""
+    """Links between a tile's two blocks (or within one), as many as join its documents. A
+    document is not compared with those that earlier links have joined it to."""
     docs = tile.column("doc").to_numpy()
     second = tile.column("second").to_numpy(zero_copy_only=False)
     sets = tile.column("set").combine_chunks()
@@ -162,44 +163,34 @@ def _tile_links(tile: pa.Table, percent: int) -> pa.Table:
     starts = np.concatenate([[0], np.cumsum(sizes)])
     rows, one = np.flatnonzero(~second), not second.any()
     cols = rows if one else np.flatnonzero(second)
-    body = np.concatenate([place[starts[j] : starts[j + 1]] for j in cols])
-    heads = np.concatenate([[0], np.cumsum(sizes[cols])])[:-1]
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
+    _, joined = np.unique(docs, return_inverse=True)
     held, found = np.zeros(int(place.max()) + 1, np.int32), []
     for i in rows:
+        open_ = cols[joined[cols] != joined[i]]
+        if not len(open_):
+            continue
         own = place[starts[i] : starts[i + 1]]
         held[own] = 1
-        common = np.add.reduceat(held[body], heads)
+        body = np.concatenate([place[starts[j] : starts[j + 1]] for j in open_])
+        common = np.add.reduceat(held[body], np.cumsum(sizes[open_]) - sizes[open_])
         held[own] = 0
-        near = 100 * common >= percent * (sizes[i] + sizes[cols] - common)
-        for j in cols[near]:
-            x, y = root(int(docs[i])), root(int(docs[j]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
+        for j in open_[100 * common >= percent * (sizes[i] + sizes[open_] - common)]:
+            if joined[j] != joined[i]:
+                joined[joined == joined[j]] = joined[i]
                 found.append((docs[i], docs[j]))
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
-def family_links(shared: DataFrame, sized: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links among the documents of signature groups (sig, doc, hub), verified exactly.
+def family_links(families: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links among the documents of families (hub, doc, n), verified exactly.
 
-    Groups with one hub form a family; documents that share a signature share its hub, so
-    they meet in that family. A family is sorted by set size and cut into blocks of about
-    ``BLOCK`` elements; a task compares two blocks whose sizes can link, set against set, and
-    gives the links that join them. A family of any size is spread over its pairs of blocks,
-    and a pair of documents is never a row."""
-    families = materialise(shared.select("hub", "doc").distinct(), "families")
-    sizes = sized.filter("n > 0").select(F.col("doc").alias("d"), "n").distinct()
-    members = families.join(sizes, F.col("doc") == F.col("d"))
-    before = Window.partitionBy("hub").orderBy("n", "d").rowsBetween(Window.unboundedPreceding, -1)
+    A family is sorted by set size and cut into blocks of about ``BLOCK`` elements; a task
+    compares two blocks whose sizes can link, set against set, and gives the links that join
+    them. A family of any size is spread over its pairs of blocks, and a pair of documents is
+    never a row."""
+    before = Window.partitionBy("hub").orderBy("n", "doc").rowsBetween(Window.unboundedPreceding, -1)
     block = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / BLOCK)
-    members = materialise(members.select(F.col("hub").alias("family"), "doc", "n", block.alias("block")), "members")
+    members = materialise(families.select(F.col("hub").alias("family"), "doc", "n", block.alias("block")), "members")
 
     blocks = members.groupBy("family", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     left = blocks.select("family", F.col("block").alias("x"), F.col("most").alias("x_most"))
@@ -208,28 +199,31 @@ def family_links(shared: DataFrame, sized: DataFrame, rows: DataFrame, words: in
     sides = tiles.select("family", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
 
     # The list of documents has no bound, so it is merged with the texts at every size.
-    wanted = families.select(F.col("doc").alias("w")).distinct()
+    wanted = members.select(F.col("doc").alias("w")).distinct()
     sets = shingle_arrays(rows.join(wanted.hint("merge"), rows["_doc"] == wanted["w"], "left_semi"), words)
     sets = sets.select(F.col("doc").alias("s"), "set").filter("size(set) > 0")
     filled = sides.join(members, ["family", "block"]).join(sets, F.col("doc") == F.col("s"))
     filled = filled.select("family", "x", "y", "doc", (F.col("block") > F.col("x")).alias("second"), "set")
-    return filled.groupBy("family", "x", "y").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long").distinct()
+    links = filled.groupBy("family", "x", "y").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long")
+    stored = materialise(links.distinct(), "links")
+    release(members)
+    return stored
 
 
 def link_components(
-    docs: DataFrame, words: int = 5, percent: int = 80, second: int = 3, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(key, n_shingles, component_id) of every row: components of the links between
     documents whose shingle sets have 100 * intersection >= percent * union.
 
     Documents that link share a PartEnum signature. Each signature group ties its members to
     its least member, around which sets are compared exactly, block against block (see
-    ``family_links``), so no link is missed. Equal sets are linked by
-    digest, and one of them stands for all that a task met.
+    ``family_links``), so no link is missed. Equal sets are linked by digest, and one of
+    them stands for all that a task met.
 
     Words are runs without ASCII white space, A-Z folded. Null and empty texts have no set
-    and link with nothing, nor do rows without an id, whose component is null. Rows that
-    share an id are one vertex. An empty table gives no rows.
+    and link with nothing, nor do rows without an id, whose component is null. Ids are cast
+    to long. Rows that share an id are one vertex. An empty table gives no rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text"))
     sized = materialise(set_sizes(rows, words), "set-sizes")
@@ -238,16 +232,20 @@ def link_components(
     reps = known.join(least, ["d1", "d2"]).select("doc", "rep").distinct()
     copies = materialise(reps.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")), "copies")
 
-    sent = signature_rows(rows, words, percent, second)
+    sent = signature_rows(rows, words, percent)
     group = Window.partitionBy("sig").orderBy("doc")
     # Members come sorted, so the first is the hub; a hub without a next member is alone.
     so_far = group.rowsBetween(Window.unboundedPreceding, 0)
     near = sent.withColumns({"hub": F.first("doc").over(so_far), "more": F.lead("doc").over(group)})
-    shared = materialise(near.filter("more IS NOT NULL OR hub <> doc").select("sig", "doc", "hub"), "shared")
+    met = materialise(near.filter("more IS NOT NULL OR hub <> doc").select("hub", "doc").distinct(), "met")
     drop_finished_shuffles(docs.sparkSession)
+    sizes = sized.filter("n > 0").select(F.col("doc").alias("d"), "n").distinct()
+    families = materialise(met.join(sizes, F.col("doc") == F.col("d")).select("hub", "doc", "n"), "families")
+    release(met)
 
-    links = family_links(shared, sized, rows, words, percent)
+    links = family_links(families, rows, words, percent)
     labels = materialise(connected_components(links.unionByName(copies), "a", "b"), "labels")
+    release(families, links, copies)
     named = sized.join(labels, sized["doc"] == labels["vertex"], "left")
     return named.select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"),
