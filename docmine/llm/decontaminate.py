@@ -1,10 +1,10 @@
 """Benchmark passages in documents: item-sized windows, verified on weighted shingles.
 
-DataFrame functions only. A passage is found in three steps: windows as long as a benchmark
-item are laid wherever a document shares a shingle with an item of that length; a window
-meets the items of its length of whose rarest shingles it holds one (so many of them that a
-passage must); these pairs are verified exactly. SimHash fingerprints can thin the pairs out
-on request, at the price of missed passages.
+DataFrame functions only. A document and an item are held against each other if the document
+has one of the item's rarest shingles (so many of them that a passage must have one). Windows
+as long as the item are then laid at every shingle of the item's in the document, and each is
+verified exactly. A window that begins elsewhere is never better than the one at the next
+such shingle, so this judges all windows.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmine.functions.binding import let
-from docmine.session import materialise
+from docmine.session import materialise, release
 
-BITS = 64
 #: Item shingles up to which their table is broadcast (24 bytes each); beyond it is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -36,47 +35,38 @@ def shingles_of(words: Column, width: int) -> Column:
     )
 
 
-def simhash(weighted: DataFrame, keys: list[str]) -> DataFrame:
-    """``fp``: the 64-bit SimHash per key of rows (keys, h, weight)."""
-    sums = [
-        F.sum(F.when(F.col("h").bitwiseAND(F.lit(1 << b if b < 63 else -(1 << 63))) != 0, F.col("weight")).otherwise(-F.col("weight"))).alias(f"_b{b}")
-        for b in range(BITS)
-    ]
-    bits = F.lit(0).cast("long")
-    for b in range(BITS):
-        bits = bits.bitwiseOR(F.when(F.col(f"_b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long"))
-    return weighted.groupBy(*keys).agg(*sums, F.sum("weight").alias("total")).select(*keys, "total", bits.alias("fp"))
-
-
 def rarest(item_weights: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """(item, size, h, item_total): per item its shingles held by the fewest windows, with a
-    weight of more than what a passage may lack (100 - percent of the item's)."""
+    """(item, size, width, h, item_total): per item its shingles held at the fewest places, with
+    a weight of more than what a passage may lack (100 - percent of the item's)."""
     of_item = Window.partitionBy("item", "size")
-    ranked = item_weights.join(held, ["size", "h"], "left").withColumns(
+    ranked = item_weights.join(held, ["width", "h"], "left").withColumns(
         {
             "item_total": F.sum("weight").over(of_item),
-            "upto": F.sum("weight").over(of_item.orderBy(F.coalesce("n_windows", F.lit(0)), "h").rowsBetween(Window.unboundedPreceding, 0)),
+            "upto": F.sum("weight").over(of_item.orderBy(F.coalesce("places", F.lit(0)), "h").rowsBetween(Window.unboundedPreceding, 0)),
         }
     )
-    return ranked.filter(100 * (F.col("upto") - F.col("weight")) <= (100 - percent) * F.col("item_total")).select("item", "size", "h", "item_total")
+    return ranked.filter(100 * (F.col("upto") - F.col("weight")) <= (100 - percent) * F.col("item_total")).select(
+        "item", "size", "width", "h", "item_total"
+    )
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int | None = None,
+    docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80,
     key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, similarity, word_start, n_windows): documents holding a passage whose
     shingles of ``width`` words, weighted by their number, have 100 * common >= percent * all.
 
-    Words are lower-case runs of letters and digits. An item shorter than ``width`` is one
-    shingle of its own length; an item without words matches nothing. Every laid window is
-    verified with every item of its length that it can match; with a ``radius`` only those
-    whose 64-bit SimHashes differ in so many bits at most, which misses some passages.
-    A window that shares no shingle with any item has similarity 0 and is never laid.
+    Words are lower-case runs of letters and digits. A passage is a window of as many words as
+    the item, or of those that are left at the document's end. ``word_start`` is where the
+    first of the most similar windows begins, ``n_windows`` how many windows that begin with a
+    shingle of the item's are over the bar. An item shorter than ``width`` is one shingle of
+    its own length; an item without words matches nothing.
+
     Null texts hold nothing; rows without an id and items without one are left out; rows
-    that share an id are one document; empty tables give no rows.
+    that share an id are judged by themselves and reported as one document; empty tables give
+    no rows.
     """
-    spark = docs.sparkSession
     items = benchmark.filter(F.col(item).isNotNull()).select(F.col(item).alias("item"), words_of(F.col(item_text)).alias("w"))
     items = materialise(
         items.withColumn("size", F.size("w")).filter("size > 0").withColumn("width", F.least(F.lit(width), "size")), "items"
@@ -87,51 +77,52 @@ def find_leaks(
         widths = [width]
     item_shingles = None
     for v in widths:
-        one = items.filter(F.col("width") == v).select("item", "size", "width", F.posexplode(shingles_of(F.col("w"), v)).alias("at", "h"))
+        one = items.filter(F.col("width") == v).select("item", "size", "width", F.explode(shingles_of(F.col("w"), v)).alias("h"))
         item_shingles = one if item_shingles is None else item_shingles.unionByName(one)
-    item_shingles = materialise(item_shingles, "item-shingles")
-    small = F.broadcast if item_shingles.count() <= BROADCAST_ROWS else lambda frame: frame
-    places = small(item_shingles.select("h", "size", "at", "width").distinct())
+    item_weights = materialise(item_shingles.groupBy("item", "size", "width", "h").agg(F.count(F.lit(1)).alias("weight")), "item-weights")
+    small = F.broadcast if item_weights.count() <= BROADCAST_ROWS else lambda frame: frame
 
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), words_of(F.col(text)).alias("words"))
-    windows = None
-    for v in widths:
-        hits = rows.select("doc", "words", F.posexplode(shingles_of(F.col("words"), v)).alias("pos", "h"))
-        laid = hits.join(places.filter(F.col("width") == v), "h").withColumn("start", F.greatest(F.col("pos") - F.col("at"), F.lit(0)))
-        laid = laid.select("doc", "start", "size", "width", F.slice("words", F.col("start") + 1, F.col("size")).alias("w"))
-        windows = laid if windows is None else windows.unionByName(laid)
-    windows = windows.withColumn("tag", F.xxhash64("w")).groupBy("doc", "start", "size", "width", "tag").agg(F.first("w").alias("w"))
-    windows = materialise(windows, "windows")
-
-    wid = ["doc", "start", "size", "tag"]
-    window_shingles = None
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("row"), words_of(F.col(text)).alias("words"))
+    hits = None
     for v in widths:
-        one = windows.filter(F.col("width") == v).withColumn("total", F.size("w") - (v - 1))
-        one = one.select(*wid, "total", F.explode(shingles_of(F.col("w"), v)).alias("h"))
-        window_shingles = one if window_shingles is None else window_shingles.unionByName(one)
-    window_weights = materialise(window_shingles.groupBy(*wid, "total", "h").agg(F.count(F.lit(1)).alias("weight")), "window-weights")
-    item_weights = item_shingles.groupBy("item", "size", "h").agg(F.count(F.lit(1)).alias("weight"))
-
-    held = window_weights.join(small(item_weights.select("size", "h").distinct()), ["size", "h"]).groupBy("size", "h").agg(F.count(F.lit(1)).alias("n_windows"))
-    keys = materialise(rarest(item_weights, held, percent), "item-keys")
-    near = window_weights.join(small(keys), ["size", "h"]).select(*wid, "item", "item_total").distinct()
-    if radius is not None:
-        item_fps = simhash(item_weights, ["item", "size"]).select("item", "size", F.col("fp").alias("item_fp"))
-        near = near.join(simhash(window_weights, wid).select(*wid, "fp"), wid).join(item_fps, ["item", "size"])
-        near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).drop("fp", "item_fp")
-
-    weights = small(item_weights.select("item", "size", "h", F.col("weight").alias("item_weight")))
-    common = near.join(window_weights, wid).join(weights, ["item", "size", "h"]).groupBy(*wid, "item", "total", "item_total")
-    common = common.agg(F.sum(F.least("weight", "item_weight")).alias("common"))
-    union = F.col("total") + F.col("item_total") - F.col("common")
+        held = item_weights.filter(F.col("width") == v).select("h").distinct()
+        n = F.greatest(F.size("words") - (v - 1), F.lit(0)).alias("n")
+        one = rows.select("doc", "row", n, F.posexplode(shingles_of(F.col("words"), v)).alias("pos", "h")).join(small(held), "h")
+        one = one.select("doc", "row", "n", F.lit(v).alias("width"), "pos", "h")
+        hits = one if hits is None else hits.unionByName(one)
+    # Equal rows under one id are one.
+    hits = materialise(hits.distinct(), "hits")
+
+    places = hits.groupBy("width", "h").agg(F.count(F.lit(1)).alias("places"))
+    keys = materialise(rarest(item_weights, places, percent), "item-keys")
+    near = hits.join(small(keys), ["width", "h"]).select("doc", "row", "width", "item", "size", "item_total").distinct()
+    own = near.join(hits, ["doc", "row", "width"]).join(small(item_weights), ["item", "size", "width", "h"])
+    own = own.select("doc", "row", "item", "size", "n", "item_total", "pos", "h", "weight", F.floor(F.col("pos") / F.col("item_total")).alias("bucket"))
+    own = materialise(own, "own-hits")
+
+    # A window has at most as many places as the item has shingles, so it lies in two buckets.
+    pair = ["doc", "row", "item", "size"]
+    counts = own.groupBy(*pair, "bucket", "item_total").agg(F.count(F.lit(1)).alias("c"))
+    both = counts.select(*pair, "item_total", "c", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))
+    full = both.groupBy(*pair, "bucket", "item_total").agg(F.sum("c").alias("c")).filter(100 * F.col("c") >= percent * F.col("item_total"))
+    starts = own.join(full.select(*pair, "bucket"), [*pair, "bucket"], "left_semi")
+    starts = starts.select(*pair, "n", "item_total", F.col("pos").alias("start"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    inside = starts.join(own.select(*pair, "bucket", "pos", "h", "weight"), [*pair, "bucket"])
+    inside = inside.filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("item_total")))
+    window = [*pair, "start", "n", "item_total"]
+    shared = inside.groupBy(*window, "h", "weight").agg(F.count(F.lit(1)).alias("times"))
+    common = shared.groupBy(*window).agg(F.sum(F.least("times", "weight")).alias("common"))
+    union = F.least(F.col("item_total"), F.col("n") - F.col("start")) + F.col("item_total") - F.col("common")
     found = common.filter(100 * F.col("common") >= percent * union).withColumn("similarity", F.col("common") / union)
     best = found.groupBy("doc", "item").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("near_start"))).alias("b"), F.count(F.lit(1)).alias("n_windows")
     )
-    return best.select(
+    out = materialise(best, "leaks").select(
         F.col("doc").alias(key), F.col("item").alias(item), F.col("b.similarity").alias("similarity"),
         (-F.col("b.near_start")).alias("word_start"), "n_windows",
     )
+    release(items, item_weights, hits, keys, own)
+    return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:

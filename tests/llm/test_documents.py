@@ -236,11 +236,38 @@ def test_leaks_against_all_windows(spark):
                     expect.add((d, k))
     out = decontaminate.find_leaks(
         spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string"),
-        spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"), radius=40,
+        spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"),
     )
     assert {(r.doc_id, r.item_id) for r in out.collect()} == expect
 
 
+def test_swapped_halves_insertions_and_short_items_are_found(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{x}" for x in rng.permutation(4000)]
+    item, short, pad = words[:60], words[100:103], words[1000:1100]
+    gone = words[200:260]
+    rows = [
+        (1, pad + item[30:] + item[:30] + pad), (2, pad + item + pad), (3, item[:30] + ["x"] + item[30:]), (4, pad + short + pad),
+        (5, pad[:50] + item + pad + item), (6, item[5:]), (7, pad + gone[:20] + pad + gone[20:]), (8, pad * 40 + item + item * 30),
+    ]
+    gram = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    expect = set()
+    for d, w in rows:
+        for k, it in ((10, item), (11, short), (12, gone)):
+            n = min(5, len(it))
+            for s in range(len(w)):
+                x, y = gram(w[s : s + len(it)], n), gram(it, n)
+                if 100 * (x & y).total() >= 80 * (x | y).total() > 0:
+                    expect.add((d, k))
+    assert (1, 10) in expect and (4, 11) in expect and (7, 12) not in expect
+    docs = spark.createDataFrame([(d, " ".join(w), 1, "a", 2, 3) for d, w in rows], "doc_id long, text string, h int, doc string, n int, pos int")
+    items = spark.createDataFrame([(10, " ".join(item), 5), (11, " ".join(short), 5), (12, " ".join(gone), 5)], "item_id long, text string, size int")
+    out = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs, items).collect()}
+    assert set(out) == expect
+    assert (out[2, 10].similarity, out[2, 10].word_start) == (1.0, 100) and out[5, 10].word_start == 50
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()} == {7}
+
+
 def test_edited_items_are_all_found_by_default(spark):
     rng = np.random.default_rng(21)
     items, rows = [], []
