@@ -359,6 +359,62 @@ def brackets_balanced(text: Column) -> Column:
     return F.aggregate(marks, start, step, lambda acc: acc["ok"] & (acc["depth"] == 0))
 
 
+#: Marks of structure text: atoms (brackets, two-letter and one-letter symbols, stars), ring
+#: closures, bonds, branches and the dot between parts. Anything else is no structure.
+MARK_PATTERN = r"(\[[^\[\]]+\]|Br|Cl|[BCNOPSFIbcnops*]|%\d\d|\d|[-=#$:/\\~]|[().])"
+
+
+def is_valid_structure(structure: Column) -> Column:
+    """Whether a structure string can be read: only known marks, brackets and branches that
+    close, ring numbers in pairs and never on one atom, every bond with an atom before it and
+    an atom or ring number behind it, no empty branch or part. One pass over the marks with
+    the open branches and rings as state. Text in brackets may be a label; valence and
+    aromaticity are not judged. Null and empty text is not valid."""
+    return F.coalesce(let(structure, _reads), F.lit(False))
+
+
+def _reads(text: Column) -> Column:
+    marks = F.regexp_extract_all(text, F.lit(MARK_PATTERN), F.lit(1))
+    start = F.struct(
+        F.lit(True).alias("ok"), F.lit("start").alias("last"), F.lit(0).alias("atoms"), F.lit(0).alias("here"),
+        F.array().cast("array<int>").alias("branches"), F.array().cast("array<struct<ring:int,atom:int>>").alias("rings"),
+    )
+
+    def step(acc, m):
+        first = F.substring(m, 1, 1)
+        kind = (
+            F.when(first == "(", "open").when(first == ")", "close").when(first == ".", "dot")
+            .when(first.isin("-", "=", "#", "$", ":", "/", "\\", "~"), "bond").when(first.rlike("[0-9%]"), "ring").otherwise("atom")
+        )
+        after_atom = acc["last"].isin("atom", "ring", "close")
+        fits = (
+            F.when(kind == "atom", True).when(kind == "bond", after_atom | (acc["last"] == "open"))
+            .when(kind == "ring", after_atom | ((acc["last"] == "bond") & (acc["here"] > 0)))
+            .when(kind == "close", after_atom & (F.size(acc["branches"]) > 0)).otherwise(after_atom)
+        )
+        number = F.replace(m, F.lit("%"), F.lit("")).try_cast("int")
+        partner = F.filter(acc["rings"], lambda r: r["ring"] == number)
+        itself = (kind == "ring") & F.coalesce(F.get(partner, F.lit(0))["atom"] == acc["here"], F.lit(False))
+        rings = F.when(kind != "ring", acc["rings"]).when(
+            F.size(partner) > 0, F.filter(acc["rings"], lambda r: r["ring"] != number)
+        ).otherwise(F.array_append(acc["rings"], F.struct(number.alias("ring"), acc["here"].alias("atom"))))
+        atoms = acc["atoms"] + F.when(kind == "atom", 1).otherwise(0)
+        depth = F.size(acc["branches"])
+        branches = F.when(kind == "open", F.array_append(acc["branches"], acc["here"])).when(
+            (kind == "close") & (depth > 0), F.slice(acc["branches"], F.lit(1), depth - 1)
+        ).otherwise(acc["branches"])
+        here = F.when(kind == "atom", atoms).when((kind == "close") & (depth > 0), F.get(acc["branches"], depth - 1)).otherwise(acc["here"])
+        return F.struct(
+            (acc["ok"] & fits & ~itself).alias("ok"), kind.alias("last"), atoms.alias("atoms"), here.alias("here"),
+            branches.alias("branches"), rings.alias("rings"),
+        )
+
+    done = lambda acc: (
+        acc["ok"] & acc["last"].isin("atom", "ring", "close") & (F.size(acc["branches"]) == 0) & (F.size(acc["rings"]) == 0)
+    )
+    return (F.array_join(marks, "") == text) & F.aggregate(marks, start, step, done)
+
+
 def dot_count(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("."), F.lit("")))).cast("int")
 

@@ -189,10 +189,10 @@ def running_baseline(t):
 
 @query(
     "stratified_structures",
-    f"""WITH {D.STRUCTURES_SQL},
+    f"""WITH RECURSIVE {D.VALID_SQL},
     counted AS (SELECT mol_id,
       len(list_filter({D.atom_tokens_sql('smiles')}, lambda t: NOT regexp_matches(t, '^\\[\\d*H[+-]?\\d*\\]$'))) AS a,
-      len(list_filter({D.tokens_sql('smiles')}, lambda t: regexp_matches(t, '^(%\\d\\d|\\d)$'))) // 2 AS k FROM structures),
+      len(list_filter({D.tokens_sql('smiles')}, lambda t: regexp_matches(t, '^(%\\d\\d|\\d)$'))) // 2 AS k FROM structures WHERE mol_id IN (SELECT mol_id FROM valid)),
     binned AS (SELECT mol_id, ((a >= 0)::INT + (a >= 10)::INT + (a >= 20)::INT + (a >= 30)::INT + (a >= 50)::INT + (a >= 100)::INT - 1)::INTEGER AS num_atoms_bin,
       ((k >= 0)::INT + (k >= 1)::INT + (k >= 2)::INT + (k >= 3)::INT + (k >= 5)::INT - 1)::INTEGER AS num_rings_bin FROM counted),
     sizes AS (SELECT num_atoms_bin, num_rings_bin, count(*) AS size FROM binned GROUP BY 1, 2),
@@ -203,7 +203,7 @@ def running_baseline(t):
     SELECT mol_id, num_atoms_bin, num_rings_bin FROM ranked WHERE r <= quota ORDER BY md5('42-cut|' || mol_id), mol_id LIMIT 2000""",
 )
 def stratified_structures(t):
-    """Structures stratified by heavy atoms and rings, the default bins."""
+    """Readable structures stratified by heavy atoms and rings, the default bins."""
     from docmine.plans.jobs import structure_strata
 
     rows, keys = structure_strata(D.structures(t.documents))

@@ -321,3 +321,15 @@ def formula_parts(t):
         F.lit("C"), F.col("p_size"), F.lit("H"), F.col("p_size") * 2, F.lit("O(MeO2)"), F.col("p_partkey") % 9, F.lit("TsCl3")
     )
     return t.part.select("p_partkey", F.inline(S.formula_parts(text)))
+
+
+@query(
+    "readable_structures",
+    f"WITH RECURSIVE {D.VALID_SQL} SELECT source, count(*) AS offered, count(valid.mol_id) AS readable, count(*) - count(valid.mol_id) AS failed "
+    "FROM structures LEFT JOIN valid USING (mol_id) GROUP BY source",
+)
+def readable_structures(t):
+    """Structures offered, readable and failed, per source."""
+    rows = D.structures(t.documents).select("source", S.is_valid_structure(F.col("smiles")).alias("ok"))
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("offered"), F.count_if("ok").alias("readable"))
+    return counts.select("source", "offered", "readable", (F.col("offered") - F.col("readable")).alias("failed"))

@@ -348,3 +348,29 @@ candidates AS (
     l_returnflag <> 'R' AS valid, l_discount * 10 AS sim, l_linestatus = 'F' AND l_tax = 0 AS exact
   FROM lineitem)"""
 
+
+
+# The same reading in SQL, one row per mark: a string each for open branches and open rings.
+VALID_SQL = (
+    STRUCTURES_SQL
+    + f""",
+marked AS (SELECT mol_id, smiles, regexp_extract_all(smiles, '{S.MARK_PATTERN}', 1) AS ms FROM structures),
+kinds AS (SELECT mol_id, list_transform(ms, lambda m: CASE WHEN m = '(' THEN 'open' WHEN m = ')' THEN 'close' WHEN m = '.' THEN 'dot'
+    WHEN m IN ('-', '=', '#', '$', ':', '/', '\\', '~') THEN 'bond' WHEN regexp_matches(m, '^[0-9%]') THEN 'ring' ELSE 'atom' END) AS ks,
+  list_transform(ms, lambda m: CASE WHEN regexp_matches(m, '^[0-9%]') THEN ltrim(replace(m, '%', ''), '0') END) AS ns,
+  smiles <> '' AND array_to_string(ms, '') = smiles AS whole FROM marked),
+reading(mol_id, i, ok, last, atoms, here, branches, rings) AS (
+  SELECT mol_id, 0, whole, 'start', 0, 0, []::INT[], ''::VARCHAR FROM kinds
+  UNION ALL
+  SELECT r.mol_id, i + 1,
+    ok AND CASE k WHEN 'atom' THEN true WHEN 'bond' THEN last IN ('atom', 'ring', 'close', 'open')
+      WHEN 'ring' THEN (last IN ('atom', 'ring', 'close') OR (last = 'bond' AND here > 0)) AND NOT contains(rings, ';' || n || '@' || here || ';')
+      WHEN 'close' THEN last IN ('atom', 'ring', 'close') AND len(branches) > 0 ELSE last IN ('atom', 'ring', 'close') END,
+    k, atoms + (k = 'atom')::INT,
+    CASE WHEN k = 'atom' THEN atoms + 1 WHEN k = 'close' AND len(branches) > 0 THEN branches[-1] ELSE here END,
+    CASE WHEN k = 'open' THEN list_append(branches, here) WHEN k = 'close' AND len(branches) > 0 THEN branches[1 : len(branches) - 1] ELSE branches END,
+    CASE WHEN k <> 'ring' THEN rings WHEN contains(rings, ';' || n || '@') THEN regexp_replace(rings, ';' || n || '@[0-9]+;', '') ELSE rings || ';' || n || '@' || here || ';' END
+  FROM (SELECT reading.*, ks[i + 1] AS k, ns[i + 1] AS n FROM reading JOIN kinds USING (mol_id) WHERE i < len(ks) AND ok) r),
+valid AS (SELECT mol_id FROM reading JOIN kinds USING (mol_id)
+  WHERE i = len(ks) AND ok AND last IN ('atom', 'ring', 'close') AND len(branches) = 0 AND rings = '')"""
+)

@@ -11,8 +11,9 @@ from docmine.operators import sampling, search
 
 
 def structure_strata(structures: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Heavy-atom and ring bins of structure strings."""
-    counted = structures.withColumns(
+    """Heavy-atom and ring bins of the structure strings that can be read; the others have
+    failed and are in no stratum."""
+    counted = structures.filter(S.is_valid_structure(F.col("smiles"))).withColumns(
         {"num_atoms": S.heavy_atoms(F.col("smiles")), "num_rings": S.ring_count(F.col("smiles"))}
     )
     return sampling.add_strata(counted, sampling.DEFAULT_BINS)

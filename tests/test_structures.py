@@ -85,3 +85,69 @@ def test_formula(spark):
     got = one(spark, [("C2H4O",), ("CH(CH3)2",)], "s string", S.formula_parts(F.col("s")))
     assert [tuple(p) for p in got[0]] == [("C", 2), ("H", 4), ("O", 1)]
     assert [tuple(p) for p in got[1]] == [("C", 1), ("H", 1), ("(CH3)", 2)]
+
+
+def loop_reads(text):
+    """The same grammar by recursive descent over characters."""
+    marks = re.findall(r"\[[^\[\]]+\]|Br|Cl|[BCNOPSFIbcnops*]|%\d\d|\d|[-=#$:/\\\\~]|[().]", text)
+    if not text or "".join(marks) != text:
+        return False
+    rings, state = {}, {"i": 0, "atoms": 0}
+
+    def peek():
+        return marks[state["i"]] if state["i"] < len(marks) else ""
+
+    def chain(bond_first, base):
+        here = base
+        if bond_first and peek() and peek() in "-=#$:/\\~":
+            state["i"] += 1
+        while True:
+            m = peek()
+            if not m or m in "-=#$:/\\~().%" or m[0] in "0123456789%":
+                return False
+            state["i"] += 1
+            state["atoms"] += 1
+            here = state["atoms"]
+            while True:
+                m = peek()
+                if not m or m == ")":
+                    return True
+                if m == "(":
+                    state["i"] += 1
+                    if not chain(True, here) or peek() != ")":
+                        return False
+                    state["i"] += 1
+                    continue
+                if m == ".":
+                    state["i"] += 1
+                    break
+                if m in "-=#$:/\\~":
+                    state["i"] += 1
+                    m = peek()
+                    if not m or m[0] not in "0123456789%":
+                        break
+                if m[0] in "0123456789%":
+                    state["i"] += 1
+                    n = int(m.replace("%", ""))
+                    if rings.get(n) == here:
+                        return False
+                    if rings.pop(n, None) is None:
+                        rings[n] = here
+                    continue
+                break
+
+    return chain(False, 0) and state["i"] == len(marks) and not rings
+
+
+def test_readable_structures_against_descent(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = ["CC[", "C(C", "C1CC", "CC", "C(=O)O", "C()C", "c1ccccc1", "C11", "C1(C)1", "C=", "=C", "C.C", ".C", "C..C", "C(.C)", "[R]C[Ar]", "", "C%12CC%12", "C%01CC1", "C)C", "Cx", "C((C))", "C=1CC=1", "C(C)1CC1", "[]", "C[[N]]", "C-=C", "Cl", "(C)"]
+    bits = ["C", "c", "[NH3+]", "(", ")", "1", "2", "%12", "=", ".", "Br", "*", "/", "[R]"]
+    for _ in range(1500):
+        rows.append("".join(rng.choice(bits[: rng.choice([3, 8, 14])]) for _ in range(rng.randrange(1, 10))))
+    got = one(spark, [(r,) for r in rows] + [(None,)], "s string", S.is_valid_structure(F.col("s")))
+    want = [loop_reads(r) for r in rows]
+    assert [(r, g) for r, g, w in zip(rows, got, want) if g != w] == []
+    assert got[-1] is False and 100 < sum(want) < 1400
