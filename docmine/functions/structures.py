@@ -375,9 +375,11 @@ def is_valid_structure(structure: Column) -> Column:
 
 def _reads(text: Column) -> Column:
     marks = F.regexp_extract_all(text, F.lit(MARK_PATTERN), F.lit(1))
-    start = F.struct(
-        F.lit(True).alias("ok"), F.lit("start").alias("last"), F.lit(0).alias("atoms"), F.lit(0).alias("here"),
-        F.array().cast("array<int>").alias("branches"), F.array().cast("array<struct<ring:int,atom:int>>").alias("rings"),
+    # Names as arguments: a filter's condition loses the aliases inside it.
+    named = lambda **parts: F.named_struct(*[c for name, part in parts.items() for c in (F.lit(name), part)])
+    start = named(
+        ok=F.lit(True), last=F.lit("start"), atoms=F.lit(0), here=F.lit(0), branches=F.array().cast("array<int>"),
+        rings=F.array().cast("array<struct<ring:int,atom:int>>"),
     )
 
     def step(acc, m):
@@ -397,17 +399,14 @@ def _reads(text: Column) -> Column:
         itself = (kind == "ring") & F.coalesce(F.get(partner, F.lit(0))["atom"] == acc["here"], F.lit(False))
         rings = F.when(kind != "ring", acc["rings"]).when(
             F.size(partner) > 0, F.filter(acc["rings"], lambda r: r["ring"] != number)
-        ).otherwise(F.array_append(acc["rings"], F.struct(number.alias("ring"), acc["here"].alias("atom"))))
+        ).otherwise(F.array_append(acc["rings"], named(ring=number, atom=acc["here"])))
         atoms = acc["atoms"] + F.when(kind == "atom", 1).otherwise(0)
         depth = F.size(acc["branches"])
         branches = F.when(kind == "open", F.array_append(acc["branches"], acc["here"])).when(
             (kind == "close") & (depth > 0), F.slice(acc["branches"], F.lit(1), depth - 1)
         ).otherwise(acc["branches"])
         here = F.when(kind == "atom", atoms).when((kind == "close") & (depth > 0), F.get(acc["branches"], depth - 1)).otherwise(acc["here"])
-        return F.struct(
-            (acc["ok"] & fits & ~itself).alias("ok"), kind.alias("last"), atoms.alias("atoms"), here.alias("here"),
-            branches.alias("branches"), rings.alias("rings"),
-        )
+        return named(ok=acc["ok"] & fits & ~itself, last=kind, atoms=atoms, here=here, branches=branches, rings=rings)
 
     done = lambda acc: (
         acc["ok"] & acc["last"].isin("atom", "ring", "close") & (F.size(acc["branches"]) == 0) & (F.size(acc["rings"]) == 0)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmine.functions import scalars as N
-from docmine.operators.ordering import with_group_stats
+from docmine.operators.ordering import ema_baseline, with_group_stats
 
 INVALID_DISTANCE = 2.0
 
@@ -20,6 +20,40 @@ def pair_predictions(truth: DataFrame, predictions: DataFrame, keys: Sequence[st
     return truth.withColumnRenamed("smiles", "gt_smiles").join(pred, list(keys), "left")
 
 
+def evaluate(
+    truth: DataFrame, images: DataFrame, predictions: DataFrame, modes: Sequence[str], key: Callable[[Column], Column],
+    valid: Callable[[Column], Column], similarity: Callable[[Column, Column], Column], ids: Sequence[str] = ("benchmark", "image_id"),
+) -> DataFrame:
+    """Scored pairs (ids, mode, ok, gt_smiles, pred_smiles, match, sim) of two tables.
+
+    ``truth`` (ids, smiles) is cut to rows whose image is listed in ``images`` (ids). Every row
+    is held against its prediction of each mode in ``predictions`` (ids, mode, smiles); one
+    that is absent, null or not readable has failed. Both sides are compared by ``key``. Truth
+    that is not readable is not ok: it counts in the total and nowhere else. Of several
+    predictions under one key the least counts. ``benchmark_metrics`` and
+    ``metrics_by_mode`` sum the rows up, ``evaluation_records`` lists one mode's.
+    """
+    ids = list(ids)
+    listed = truth.join(images.select(*ids).distinct(), ids, "left_semi")
+    readable = lambda c: F.coalesce(valid(c), F.lit(False))
+    asked = listed.select(
+        *ids, readable(F.col("smiles")).alias("ok"), key(F.col("smiles")).alias("gt_smiles"),
+        F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"),
+    )
+    given = predictions.filter(F.col("mode").isin(list(modes)) & readable(F.col("smiles")))
+    given = given.groupBy(*ids, "mode").agg(F.min(key(F.col("smiles"))).alias("pred_smiles"))
+    pairs = asked.join(given, [*ids, "mode"], "left")
+    return score_pairs(pairs, similarity(F.col("pred_smiles"), F.col("gt_smiles")))
+
+
+def evaluation_records(scored: DataFrame, mode: str, ids: Sequence[str] = ("benchmark", "image_id")) -> DataFrame:
+    """One row per image of a mode with what happened to it."""
+    status = (
+        F.when(~F.col("ok"), "bad_truth").when(F.col("pred_smiles").isNull(), "failed").when(F.col("match"), "match").otherwise("differs")
+    )
+    return scored.filter(F.col("mode") == mode).select(*ids, "gt_smiles", "pred_smiles", "sim", status.alias("status"))
+
+
 def score_pairs(pairs: DataFrame, similarity: Column) -> DataFrame:
     """Exact match and similarity per pair; rows with bad truth or no prediction score 0."""
     usable = F.col("ok") & F.col("pred_smiles").isNotNull()
@@ -76,6 +110,40 @@ def group_advantage(candidates: DataFrame, key: str, reward: Column, baseline: f
     return stats.withColumn("advantage", value).drop("_n", "_mean", "_std")
 
 
+def sample_advantages(
+    samples: DataFrame, batch: str, group: str, distance: str = "distance", alpha: float = 0.1, every: int = 64, penalty: float = INVALID_DISTANCE
+) -> DataFrame:
+    """Rows with ``reward`` and ``advantage``: sampled candidates against their group.
+
+    A reward is minus the distance, or minus ``penalty`` for an invalid sample (null
+    distance). In a group of two and more it is standardised by the sample deviation, or
+    centred where that vanishes. A group of one is held against the running baseline: the
+    moving average over the batches before of the mean reward of their valid samples (minus
+    ``penalty`` where a batch has none), started by the first batch's; in the first batch,
+    where there is none yet, against its own reward. ``batch`` numbers the batches.
+    """
+    valid = F.col(distance).isNotNull()
+    staged = samples.withColumn("reward", F.when(valid, -F.col(distance)).otherwise(F.lit(-penalty)))
+    means = staged.groupBy(batch).agg(F.coalesce(F.avg(F.when(valid, F.col("reward"))), F.lit(-penalty)).alias("_mean"))
+    # One row per batch: the baseline after a batch is the one that the next batch meets.
+    run = ema_baseline(means, [], {"b": F.floor(F.col(batch) / every)}, [batch], "_mean", alpha)
+    after = run.select(F.col("step").alias("_step"), F.col("baseline").alias("_baseline"))
+    before = run.select(F.col(batch).alias("_batch"), (F.col("step") - 1).alias("_step")).join(after, "_step", "left")
+    based = staged.join(before.drop("_step"), F.col(batch) == F.col("_batch"), "left").drop("_batch")
+    stats = with_group_stats(based, [batch, group], _n=F.count(F.lit(1)), _mean=F.avg("reward"), _std=F.stddev_samp("reward"))
+    centred = F.col("reward") - F.col("_mean")
+    value = (
+        F.when(F.col("_n") < 2, F.col("reward") - F.coalesce("_baseline", "reward"))
+        .when(F.col("_std") > 1e-8, F.try_divide(centred, F.col("_std"))).otherwise(centred)
+    )
+    return stats.withColumn("advantage", value).drop("_n", "_mean", "_std", "_baseline")
+
+
+def mean_risk(candidates: DataFrame, key: str, cost: Column, log_prob: str = "log_prob", alpha: float = 1.0) -> DataFrame:
+    """One row: the expected cost of a group, averaged over the groups."""
+    return expected_risk(candidates, key, cost, log_prob, alpha).agg(F.avg("risk").alias("risk"), F.count(F.lit(1)).alias("n_groups"))
+
+
 def expected_risk(candidates: DataFrame, key: str, cost: Column, log_prob: str = "log_prob", alpha: float = 1.0) -> DataFrame:
     """Cost of each group under the softmax of its scaled log-probabilities."""
     staged = candidates.select(key, (F.col(log_prob) * alpha).alias("_l"), cost.alias("_c"))

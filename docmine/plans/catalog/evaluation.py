@@ -107,6 +107,104 @@ def truth_vs_prediction(t):
     )
 
 
+# Truth and predictions as two tables. Images exist for labelled documents; predictions are
+# missing, altered, unreadable or given twice by their own hash.
+TWO_TABLES_SQL = (
+    D.VALID_SQL
+    + f""",
+images AS (SELECT mol_id FROM structures WHERE doc_id IN (SELECT doc_id FROM labels)),
+given AS (
+  SELECT source AS benchmark, mol_id AS image_id, 'decoder' AS mode, CASE WHEN h0 % 7 = 1 THEN smiles || 'C' ELSE smiles END AS p FROM structures WHERE h0 % 13 > 0
+  UNION ALL SELECT source, mol_id, 'graph', CASE WHEN h0 % 5 = 0 THEN smiles || '(' ELSE replace(smiles, 'N', 'O') END FROM structures
+  UNION ALL SELECT source, mol_id, 'postprocess', smiles FROM structures WHERE h0 % 11 > 0
+  UNION ALL SELECT source, mol_id, 'postprocess', 'CC' FROM structures WHERE h0 % 17 = 0),
+preds AS (SELECT benchmark, image_id, g.mode, min({KEY_SQL.replace('@S@', 'p')}) AS pred FROM given g
+  WHERE (CASE g.mode WHEN 'graph' THEN NOT suffix(p, '(') ELSE true END) AND (p = 'CC' OR image_id IN (SELECT mol_id FROM valid)) GROUP BY 1, 2, 3),
+asked AS (SELECT source AS benchmark, mol_id AS image_id, m.mode, mol_id IN (SELECT mol_id FROM valid) AS ok, {KEY_SQL.replace('@S@', 'smiles')} AS gt
+  FROM structures, (SELECT unnest(['decoder', 'graph', 'postprocess']) AS mode) m WHERE mol_id IN (SELECT mol_id FROM images)),
+scored AS (SELECT a.*, pred, ok AND pred IS NOT NULL AND pred = gt AS match,
+  CASE WHEN NOT ok OR pred IS NULL THEN 0.0 WHEN length(gt) = 0 AND length(pred) = 0 THEN 1.0 WHEN length(gt) = 0 OR length(pred) = 0 THEN 0.0
+    ELSE 1.0::DOUBLE - levenshtein(pred, gt)::DOUBLE / greatest(length(pred), length(gt)) END AS sim
+  FROM asked a LEFT JOIN preds p ON a.benchmark = p.benchmark AND a.image_id = p.image_id AND a.mode = p.mode)"""
+)
+
+
+def two_tables(t):
+    rows = D.structures(t.documents).select(F.col("source").alias("benchmark"), F.col("mol_id").alias("image_id"), "doc_id", "smiles", "h0")
+    s, h = F.col("smiles"), F.col("h0")
+    part = lambda mode, p, kept=F.lit(True): rows.filter(kept).select("benchmark", "image_id", F.lit(mode).alias("mode"), p.alias("smiles"))
+    given = (
+        part("decoder", F.when(h % 7 == 1, F.concat(s, F.lit("C"))).otherwise(s), h % 13 > 0)
+        .unionByName(part("graph", F.when(h % 5 == 0, F.concat(s, F.lit("("))).otherwise(F.replace(s, F.lit("N"), F.lit("O")))))
+        .unionByName(part("postprocess", s, h % 11 > 0)).unionByName(part("postprocess", F.lit("CC"), h % 17 == 0))
+    )
+    images = rows.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    truth = rows.select("benchmark", "image_id", "smiles")
+    return E.evaluate(truth, images, given, MODES, S.text_key, S.is_valid_structure, N.edit_similarity)
+
+
+@query(
+    "evaluated_benchmarks",
+    f"WITH RECURSIVE {TWO_TABLES_SQL} SELECT benchmark, mode, round(coalesce(count(*) FILTER (ok AND match) * 100.0::DOUBLE / nullif(count(*) FILTER (ok), 0), 0), 4) AS exact_match_acc, "
+    "round(coalesce(avg(sim) FILTER (ok), 0), 6) AS avg_similarity, count(*) AS total, count(*) FILTER (ok) AS valid, count(*) FILTER (ok AND pred IS NULL) AS failed_predictions FROM scored GROUP BY 1, 2",
+)
+def evaluated_benchmarks(t):
+    """Truth and predictions joined from two tables, over images that exist."""
+    m = E.benchmark_metrics(two_tables(t), ["benchmark", "mode"])
+    return m.withColumns({"exact_match_acc": F.round("exact_match_acc", 4), "avg_similarity": F.round("avg_similarity", 6)})
+
+
+@query(
+    "evaluation_records",
+    f"WITH RECURSIVE {TWO_TABLES_SQL} SELECT benchmark, image_id, gt AS gt_smiles, pred AS pred_smiles, round(sim, 6) AS sim, "
+    "CASE WHEN NOT ok THEN 'bad_truth' WHEN pred IS NULL THEN 'failed' WHEN match THEN 'match' ELSE 'differs' END AS status FROM scored WHERE mode = 'postprocess'",
+)
+def evaluation_records(t):
+    return E.evaluation_records(two_tables(t), "postprocess").withColumn("sim", F.round("sim", 6))
+
+
+SAMPLES_SQL = """
+samples AS (SELECT l_orderkey // 5000 AS batch, CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey * 10 + l_linenumber ELSE l_orderkey END AS image_id, l_orderkey, l_linenumber,
+  CASE WHEN l_returnflag <> 'R' THEN l_discount * 10 + l_tax END AS distance FROM lineitem),
+rewarded AS (SELECT *, CASE WHEN distance IS NULL THEN -2.0::DOUBLE ELSE -distance::DOUBLE END AS reward FROM samples),
+means AS (SELECT batch, row_number() OVER (ORDER BY batch) AS step, coalesce(avg(reward) FILTER (distance IS NOT NULL), -2.0) AS m FROM rewarded GROUP BY batch),
+runs AS (SELECT step, m AS b FROM means WHERE step = 1 UNION ALL SELECT means.step, 0.9::DOUBLE * b + 0.1::DOUBLE * m FROM runs JOIN means ON means.step = runs.step + 1),
+based AS (SELECT means.batch, b FROM means LEFT JOIN runs ON runs.step = means.step - 1),
+grouped AS (SELECT batch, image_id, count(*) AS n, avg(reward) AS mu, stddev_samp(reward) AS sd FROM rewarded GROUP BY 1, 2)"""
+
+
+@query(
+    "sample_advantages",
+    f"WITH RECURSIVE {SAMPLES_SQL} SELECT batch, count(*) AS n, count(*) FILTER (n < 2) AS n_lone, count(*) FILTER (distance IS NULL) AS n_invalid, round(sum(reward), 4) AS reward, "
+    "round(sum(abs(CASE WHEN n < 2 THEN reward - coalesce(b, reward) WHEN sd > 1e-8 THEN (reward - mu) / sd ELSE reward - mu END)), 4) AS advantage "
+    "FROM rewarded JOIN grouped USING (batch, image_id) JOIN based USING (batch) GROUP BY batch",
+)
+def sample_advantages(t):
+    """Sampled candidates of an order, some of them invalid, and every third order's lone ones."""
+    order = F.col("l_orderkey")
+    rows = t.lineitem.select(
+        F.floor(order / 5000).alias("batch"), F.when(order % 3 == 0, order * 10 + F.col("l_linenumber")).otherwise(order).alias("image_id"),
+        F.when(F.col("l_returnflag") != "R", (F.col("l_discount") * 10 + F.col("l_tax")).cast("double")).alias("distance"),
+    )
+    lone = E.with_group_stats(E.sample_advantages(rows, "batch", "image_id"), ["batch", "image_id"], k=F.count(F.lit(1)))
+    return lone.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") < 2).alias("n_lone"), F.count_if(F.col("distance").isNull()).alias("n_invalid"),
+        F.round(F.sum("reward"), 4).alias("reward"), F.round(F.sum(F.abs("advantage")), 4).alias("advantage"),
+    )
+
+
+@query(
+    "mean_group_risk",
+    f"WITH {D.CANDIDATES_SQL}, costs AS (SELECT image_id, log_prob * 0.1 AS l, 1 - (0.1 * valid::INTEGER + 0.5 * CASE WHEN valid THEN sim ELSE 0 END + 0.4 * exact::INTEGER) AS c FROM candidates), "
+    "m AS (SELECT image_id, max(l) AS mx FROM costs GROUP BY 1), risks AS (SELECT image_id, sum(exp(l - mx) * c) / sum(exp(l - mx)) AS risk FROM costs JOIN m USING (image_id) GROUP BY 1) "
+    "SELECT round(avg(risk), 6) AS risk, count(*) AS n_groups FROM risks",
+)
+def mean_group_risk(t):
+    """Expected cost of an order's candidates, averaged over the orders."""
+    rows = E.score_candidates(D.candidates(t.lineitem))
+    return E.mean_risk(rows, "image_id", F.col("cost"), alpha=0.1).withColumn("risk", F.round("risk", 6))
+
+
 @query(
     "edit_similarity_pairs",
     f"WITH {D.STRUCTURES_SQL} SELECT mol_id, round(1.0 - levenshtein(smiles, q)::DOUBLE / greatest(length(smiles), length(q)), 6) AS sim FROM (SELECT mol_id, smiles, {QUICK} AS q FROM structures)",
