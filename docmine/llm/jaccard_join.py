@@ -217,8 +217,8 @@ def link_components(
     documents whose shingle sets have 100 * intersection >= percent * union.
 
     Documents that link share a PartEnum signature. Each signature group ties its members to
-    its least member, around which sets are compared exactly, block against block (see
-    ``family_links``), so no link is missed. Equal sets are linked by digest, and one of
+    its least member, its hub, and through it to the hub's own least hub, around which sets
+    are compared exactly, block against block (see ``family_links``), so no link is missed. Equal sets are linked by digest, and one of
     them stands for all that a task met.
 
     Words are runs without ASCII white space, A-Z folded. Null and empty texts have no set
@@ -240,7 +240,11 @@ def link_components(
     met = materialise(near.filter("more IS NOT NULL OR hub <> doc").select("hub", "doc").distinct(), "met")
     drop_finished_shuffles(docs.sparkSession)
     sizes = sized.filter("n > 0").select(F.col("doc").alias("d"), "n").distinct()
-    families = materialise(met.join(sizes, F.col("doc") == F.col("d")).select("hub", "doc", "n"), "families")
+    # A hub passes its members on to its own least hub: documents that meet still do, and most
+    # are in one family then, to which their set is sent once.
+    up = met.groupBy(F.col("doc").alias("of")).agg(F.min("hub").alias("root"))
+    passed = met.join(up, F.col("hub") == F.col("of")).select(F.col("root").alias("hub"), "doc").distinct()
+    families = materialise(passed.join(sizes, F.col("doc") == F.col("d")).select("hub", "doc", "n"), "families")
     release(met)
 
     links = family_links(families, rows, words, percent)
