@@ -7,6 +7,10 @@ are folded into one representative first.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,16 +153,25 @@ def with_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def minhash(fingerprints: DataFrame, n: int = 128) -> DataFrame:
-    """Signature per row as columns s0..: the least value of each hash function. The bits of
-    a row are exploded and folded in the same task, so partial sums leave little to move."""
-    exploded = fingerprints.select("id", F.explode("bits").alias("b")).select(
-        "id", F.col("b").cast("bigint").alias("h")
-    )
-    mins = [
-        F.min(F.pmod(F.col("h") * F.lit(a) + F.lit(b), F.lit(N.MINHASH_PRIME))).alias(f"s{i}")
-        for i, (a, b) in enumerate(N.hash_pairs(n))
-    ]
-    return exploded.groupBy("id").agg(*mins)
+    """Signature per row as columns s0..: the least value of each hash function over the
+    row's bits. Rows are folded where they are, in slices of their batch, and nothing is
+    shuffled; rows without bits are left out."""
+    kind = fingerprints.schema["id"].dataType.simpleString()
+    pairs, prime = N.hash_pairs(n), N.MINHASH_PRIME
+    names = ["id", *[f"s{i}" for i in range(n)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                bits = part.column("bits").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                sizes = part.column("bits").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                heads = np.cumsum(sizes) - sizes
+                least = [pa.array(np.minimum.reduceat((bits * a + b) % prime, heads)) for a, b in pairs]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *least], names=names)
+
+    schema = ", ".join([f"id {kind}", *[f"s{i} long" for i in range(n)]])
+    return fingerprints.filter(F.size("bits") > 0).select("id", "bits").mapInArrow(run, schema)
 
 
 def band_columns(bands: int, rows: int) -> list[Column]:

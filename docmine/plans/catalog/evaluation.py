@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docmine.functions import scalars as N
 from docmine.functions import structures as S
+from docmine.functions.binding import let
 from docmine.operators import evaluation as E
 from docmine.operators import sampling as M
 from docmine.plans import derive as D
@@ -30,19 +31,21 @@ scored AS (SELECT *, ok AND pred IS NOT NULL AND pred = gt AS match,
 
 def scored(t):
     base = D.structures(t.documents).select(
-        F.col("source").alias("benchmark"), F.col("mol_id").alias("image_id"), "h0",
-        (F.col("h0") % 23 != 0).alias("ok"), S.text_key(F.col("smiles")).alias("gt_smiles"),
+        F.col("source").alias("benchmark"), F.col("mol_id").alias("image_id"), "h0", (F.col("h0") % 23 != 0).alias("ok"),
+        S.text_key(F.col("smiles")).alias("gt"),
     )
-    gt, h = F.col("gt_smiles"), F.col("h0")
-    wide = base.withColumns(
-        {
+    h = F.col("h0")
+
+    def modes(gt):
+        given = {
             "decoder": F.when(h % 7 == 0, None).when(h % 7 == 1, F.concat(gt, F.lit("C"))).otherwise(gt),
             "graph": F.when(h % 5 == 0, None).when(h % 5 == 1, F.replace(gt, F.lit("N"), F.lit("O"))).otherwise(gt),
             "postprocess": F.when(h % 11 == 0, "CC").otherwise(gt),
         }
-    )
-    # Modes become rows: one structure, three predictions.
-    long = wide.unpivot(["benchmark", "image_id", "ok", "gt_smiles"], list(MODES), "mode", "pred_smiles")
+        return F.array(*[F.struct(F.lit(m).alias("mode"), gt.alias("gt_smiles"), given[m].alias("pred_smiles")) for m in MODES])
+
+    # Modes become rows: one structure, whose key is derived once, and three predictions.
+    long = base.select("benchmark", "image_id", "ok", F.inline(let(F.col("gt"), modes)))
     return E.score_pairs(long, N.edit_similarity(F.col("pred_smiles"), F.col("gt_smiles")))
 
 
