@@ -40,7 +40,8 @@ def batch_infer(
     workers: int | None = None,
 ) -> DataFrame:
     """``predict(model, values)`` in chunks; the model is loaded once per task, results go by
-    key, and the rows of a failing chunk get ``success`` false."""
+    key, and the rows of a failing chunk get ``success`` false and the message as ``error``.
+    A model that cannot be loaded fails the job."""
     if workers:
         df = df.repartition(workers, key)
     kind = {f.name: f.dataType.simpleString() for f in df.schema}[key]
@@ -50,17 +51,18 @@ def batch_infer(
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
+                model = load() if model is None else model
                 try:
-                    model = load() if model is None else model
                     found = list(predict(model, list(part[column])))
                     if len(found) != len(part):
                         raise ValueError("one result per value expected")
-                    ok = True
-                except Exception:  # noqa: BLE001 - the chunk is marked
-                    found, ok = [None] * len(part), False
-                yield pd.DataFrame({key: part[key].values, "result": pd.Series(found, dtype=object), "success": ok})
+                    error = None
+                except Exception as exc:  # noqa: BLE001 - the chunk is marked
+                    found, error = [None] * len(part), f"{type(exc).__name__}: {exc}"
+                result = {key: part[key].values, "result": pd.Series(found, dtype=object), "success": error is None}
+                yield pd.DataFrame({**result, "error": pd.Series([error] * len(part), dtype=object)})
 
-    return df.select(key, column).mapInPandas(run, f"`{key}` {kind}, result {out_type}, success boolean")
+    return df.select(key, column).mapInPandas(run, f"`{key}` {kind}, result {out_type}, success boolean, error string")
 
 
 def embed(df: DataFrame, load: Callable, encode: Callable, column: str, key: str, batch: int = 32) -> DataFrame:

@@ -158,12 +158,11 @@ def role_order_faults(t):
 
 @query(
     "decoded_sequences",
-    f"WITH {CODED_SQL} SELECT mol_id, array_to_string({D.tokens_sql('norm')}, '') AS smiles, n_atoms FROM judged WHERE NOT regexp_matches(norm, '[^A-Za-z0-9\\[\\]()=#@+\\-/\\\\.%]')",
+    f"WITH {CODED_SQL} SELECT mol_id, regexp_replace(array_to_string({D.tokens_sql('norm')}, ''), '[^A-Za-z0-9\\[\\]()=#@+\\-/\\\\.%]', '', 'g') AS smiles, len(list_filter({D.atom_tokens_sql('norm')}, lambda t: regexp_replace(t, '[^A-Za-z0-9\\[\\]()=#@+\\-/\\\\.%]', '', 'g') <> ''))::INTEGER AS n_atoms FROM judged",
 )
 def decoded_sequences(t):
-    """Ids back to text and atoms; equals the encoded text where all characters are known."""
-    seq = sequences(t).filter(~F.col("norm").rlike(r"[^A-Za-z0-9\[\]()=#@+\-/\\.%]"))
-    return seq.select("mol_id", Q.decode(F.col("ids")).alias("d")).select(
+    """Ids back to text and atoms: the encoded text without the characters that have no id."""
+    return sequences(t).select("mol_id", Q.decode(F.col("ids")).alias("d")).select(
         "mol_id", "d.smiles", F.size("d.atoms").alias("n_atoms")
     )
 

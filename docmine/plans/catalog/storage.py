@@ -89,7 +89,7 @@ def page_function(t):
     return B.apply_per_page(pages, with_digits, "text", ["doc_id"])
 
 
-@query("batch_lengths", "SELECT doc_id, length(text)::BIGINT AS result, true AS success FROM documents")
+@query("batch_lengths", "SELECT doc_id, length(text)::BIGINT AS result, true AS success, NULL::VARCHAR AS error FROM documents")
 def batch_lengths(t):
     """A model stand-in loaded once per task and called on chunks."""
     slim = t.documents.select("doc_id", "text")

@@ -96,3 +96,10 @@ def test_failed_chunk(spark):
     df = spark.createDataFrame([(1, 1), (2, -1), (3, 3)], "id int, v int").coalesce(1)
     got = batch.batch_infer(df, lambda: 10, predict, "v", "id", "bigint", batch=1).collect()
     assert {r["id"]: (r["result"], r["success"]) for r in got} == {1: (11, True), 2: (None, False), 3: (13, True)}
+    assert {r["id"]: r["error"] for r in got} == {1: None, 2: "ValueError: ", 3: None}
+
+    def broken():
+        raise RuntimeError("no such model")
+
+    with pytest.raises(Exception, match="no such model"):
+        batch.batch_infer(df, broken, predict, "v", "id", "bigint").collect()
