@@ -136,35 +136,21 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "sig long, doc long")
 
 
-def shingle_arrays(docs: DataFrame, words: int) -> DataFrame:
-    """(doc, set): the elements of every row as an array."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in texts.slices(batches, "_text"):
-            data, offsets = texts.utf8(batch.column("_text"))
-            sets = list(texts.shingle_sets(data, offsets, words))
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, _U)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_doc"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["doc", "set"]
-            )
-
-    return docs.mapInArrow(run, "doc long, set array<long>")
-
-
-def _tile_links(tile: pa.Table, percent: int) -> pa.Table:
+def _tile_links(tile: pa.Table, words: int, percent: int) -> pa.Table:
     """Links between a tile's two blocks (or within one), as many as join its documents. A
     document is not compared with those that earlier links have joined it to."""
-    docs = tile.column("doc").to_numpy()
-    second = tile.column("second").to_numpy(zero_copy_only=False)
-    sets = tile.column("set").combine_chunks()
-    sizes = sets.value_lengths().to_numpy().astype(np.int64)
-    _, place = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    sets = list(texts.shingle_sets(*texts.utf8(tile.column("_text").combine_chunks()), words))
+    some = np.array([len(s) > 0 for s in sets])
+    docs = tile.column("doc").to_numpy()[some]
+    second = tile.column("second").to_numpy(zero_copy_only=False)[some]
+    sets = [s for s in sets if len(s)]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, place = np.unique(np.concatenate([np.zeros(0, _U), *sets]), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     rows, one = np.flatnonzero(~second), not second.any()
     cols = rows if one else np.flatnonzero(second)
     _, joined = np.unique(docs, return_inverse=True)
-    held, found = np.zeros(int(place.max()) + 1, np.int32), []
+    held, found = np.zeros(int(place.max(initial=0)) + 1, np.int32), []
     for i in rows:
         open_ = cols[joined[cols] != joined[i]]
         if not len(open_):
@@ -198,13 +184,11 @@ def family_links(families: DataFrame, rows: DataFrame, words: int, percent: int)
     tiles = left.join(right, "family").filter((F.col("x") <= F.col("y")) & (100 * F.col("x_most") >= percent * F.col("y_least")))
     sides = tiles.select("family", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
 
-    # The list of documents has no bound, so it is merged with the texts at every size.
-    wanted = members.select(F.col("doc").alias("w")).distinct()
-    sets = shingle_arrays(rows.join(wanted.hint("merge"), rows["_doc"] == wanted["w"], "left_semi"), words)
-    sets = sets.select(F.col("doc").alias("s"), "set").filter("size(set) > 0")
-    filled = sides.join(members, ["family", "block"]).join(sets, F.col("doc") == F.col("s"))
-    filled = filled.select("family", "x", "y", "doc", (F.col("block") > F.col("x")).alias("second"), "set")
-    links = filled.groupBy("family", "x", "y").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long")
+    # Texts travel and sets are made in the tile: a text is smaller than its set. The list of
+    # documents has no bound, so it is merged with the texts at every size.
+    placed = sides.join(members, ["family", "block"]).select("family", "x", "y", "doc", (F.col("block") > F.col("x")).alias("second"))
+    filled = placed.hint("merge").join(rows, F.col("doc") == F.col("_doc")).select("family", "x", "y", "doc", "second", "_text")
+    links = filled.groupBy("family", "x", "y").applyInArrow(lambda t: _tile_links(t, words, percent), "a long, b long")
     stored = materialise(links.distinct(), "links")
     release(members)
     return stored
