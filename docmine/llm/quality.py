@@ -29,10 +29,12 @@ BOILERPLATE = (
 class LineRules:
     """``words_per_stop``: an unclosed line needs one closed word in so many words.
     ``marks_percent``: navigation marks a line may hold per 100 words.
+    ``boiler_percent``: words of boilerplate phrases a line may hold per 100 words.
     ``lost_percent``: share of word characters a document may lose in failed lines."""
 
     words_per_stop: int = 25
     marks_percent: int = 30
+    boiler_percent: int = 5
     lost_percent: int = 50
     min_words: int = 10
     repeat_percent: int = 20
@@ -51,7 +53,7 @@ def line_failure(line: str, rules: LineRules) -> str | None:
         return "punctuation"
     if 100 * len(_MARK.findall(line)) > rules.marks_percent * n:
         return "navigation"
-    if _BOILER.search(line):
+    if 100 * sum(len(m.split()) for m in _BOILER.findall(line)) > rules.boiler_percent * n:
         return "boilerplate"
     return None
 
@@ -119,7 +121,7 @@ def judge(docs: DataFrame, rules: LineRules | None = None, key: str = "doc_id",
     """(key, measures, verdict, digest of the cleaned text) of every row, nothing shuffled.
 
     A line with words fails when it is unclosed and nearly without closed words, when
-    navigation marks crowd it, or when it holds a boilerplate phrase. A document is kept
+    navigation marks or boilerplate phrases crowd it. A document is kept
     if it passes the base rules and its failed lines hold at most ``lost_percent`` of its
     word characters. A null or empty text has no words and is rejected; a null key is
     passed on; repeated rows are judged alike; other columns are left out.

@@ -123,7 +123,7 @@ lines AS (SELECT doc_id, line, nr, len(lw) AS n, length(array_to_string(lw, ''))
 judged AS (SELECT doc_id, chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY nr) > 1 AS copy,
     (NOT regexp_matches(line, '[.!?…:;]["\x27”’»)\]]*[\x20\x09-\x0D]*$') AND 25 * len(regexp_extract_all(line, '[.!?]["\x27”’»)\]]*([\x20\x09-\x0D]|$)')) < n)
     OR 100 * len(regexp_extract_all(line, '[|<>»›•·#*$%&]')) > 30 * n
-    OR regexp_matches(line, '(?i)accept cookies|cookie policy|all rights reserved|privacy policy|terms of service|terms of use|enable javascript|lorem ipsum|click here|sign up now|subscribe to our') AS bad
+    OR 100 * coalesce(list_sum(list_transform(regexp_extract_all(line, '(?i)accept cookies|cookie policy|all rights reserved|privacy policy|terms of service|terms of use|enable javascript|lorem ipsum|click here|sign up now|subscribe to our'), lambda m: len(string_split(m, ' ')))), 0) > 5 * n AS bad
   FROM lines),
 sums AS (SELECT doc_id, sum(chars) AS word_chars, sum(copy::INT) AS n_dup_lines, sum(CASE WHEN bad THEN chars ELSE 0 END) AS lost FROM judged GROUP BY doc_id),
 base AS (SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,

@@ -117,6 +117,9 @@ def test_quality(docs, none):
     [
         ("A plain sentence of some words.", None), ("He said so (\"yes!\")", None), ("one two three four", "punctuation"),
         ("a | b | c | d.", "navigation"), ("All rights reserved.", "boilerplate"), ("Ends well. but then not", None),
+        ("Read the privacy policy and the terms of use.", "boilerplate"),
+        (f"{'Long texts can name the privacy policy once. ' + 'They go on for some words more. ' * 5}", None),
+        ("Click here now and here again, " * 40 + "to the end.", "boilerplate"),
     ],
 )
 def test_line_rules(line, rule):
@@ -127,8 +130,10 @@ def test_clean_drops_lines_and_documents(spark):
     good = "This is a sentence that goes on for long enough to stay here."
     more = "Quite another one follows, of words that have not come before now."
     rows = [(1, f"{good}\nhome about contact\n{more}"), (2, "menu home about contact links and so on for ever"), (3, good)]
+    one_line = " ".join(f"Clean{i} words{i} follow{i} here{i} still{i}." for i in range(400)) + " It has a privacy policy."
+    rows.append((4, one_line))
     out = {r.doc_id: r.text for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out == {1: f"{good}\n{more}", 3: good}
+    assert out == {1: f"{good}\n{more}", 3: good, 4: one_line}
 
 
 @pytest.mark.parametrize(("shard_keys", "probes"), [(200_000, 1_000_000), (7, 5)])
