@@ -45,15 +45,63 @@ LICENSES: dict[str, str] = {
         '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
         "specific language governing permissions and limitations under the License."
     ),
-    "gpl-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-        "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
-        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public "
-        "License for more details."
+    "bsd-3-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used "
+        "to endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "epl-1.0": (
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse "
+        "Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+        "for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+        "following restrictions"
+    ),
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."
     ),
 }
 
+#: Versions of the notice of the GNU licenses: (what it covers, license, version).
+GNU_NOTICES = {
+    "gpl-2.0": ("program", "General", "2"), "gpl-3.0": ("program", "General", "3"),
+    "lgpl-2.1": ("library", "Lesser General", "2.1"), "lgpl-3.0": ("library", "Lesser General", "3"),
+    "agpl-3.0": ("program", "Affero General", "3"),
+}
+GNU_NOTICE = (
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} Public License as "
+    "published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version. "
+    "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} Public License for more details."
+)
+#: Creative Commons licenses of version 4.0, whose notice differs by the name only.
+CREATIVE_COMMONS = {
+    "cc-by-4.0": "Attribution", "cc-by-sa-4.0": "Attribution-ShareAlike", "cc-by-nd-4.0": "Attribution-NoDerivatives",
+    "cc-by-nc-4.0": "Attribution-NonCommercial", "cc-by-nc-sa-4.0": "Attribution-NonCommercial-ShareAlike",
+    "cc-by-nc-nd-4.0": "Attribution-NonCommercial-NoDerivatives",
+}
+CREATIVE_COMMONS_NOTICE = "This work is licensed under a Creative Commons {0} 4.0 International License."
+
+LICENSES.update({name: GNU_NOTICE.format(*parts) for name, parts in GNU_NOTICES.items()})
+LICENSES.update({name: CREATIVE_COMMONS_NOTICE.format(full) for name, full in CREATIVE_COMMONS.items()})
+
 #: Words are runs of ASCII letters and digits and of all other letters' bytes.
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -165,7 +213,25 @@ class Scanner:
                 if all(last_word < a or first > b for a, b in taken):
                     taken.append((first, last_word))
                     found.append((t.name, cover, first, last_word))
-        return sorted(found, key=lambda f: (f[2], f[0]))
+        return best_variants(sorted(found, key=lambda f: (f[2], f[0])), {t.name: len(t.words) for t in self.templates})
+
+
+def best_variants(found: list[tuple[str, float, int, int]], lengths: dict[str, int]) -> list[tuple[str, float, int, int]]:
+    """Finds sorted by place, without those that lie where a find with fewer unaligned words, of
+    text and template together, lies: the words both span are at least 80 percent of the longer.
+    Ties stay, and so does a notice inside a longer text. Finds of one template never overlap,
+    so few are open at any place."""
+    beaten, open_finds = set(), []
+    unaligned = [b - a + 1 + lengths[n] - 2 * round(cover * lengths[n]) for n, cover, a, b in found]
+    for i, (_, _, first, last) in enumerate(found):
+        open_finds = [k for k in open_finds if found[k][3] >= first]
+        for k in open_finds:
+            _, _, begin, end = found[k]
+            shared = min(last, end) - first + 1
+            if 100 * shared >= 80 * (max(last - first, end - begin) + 1) and unaligned[i] != unaligned[k]:
+                beaten.add(i if unaligned[i] > unaligned[k] else k)
+        open_finds.append(i)
+    return [f for i, f in enumerate(found) if i not in beaten]
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -185,7 +251,8 @@ def scan_licenses(
 
     Words are runs of letters and digits, A-Z folded. A template occurs where a run of two
     words (three, for templates of 15 words and more) agrees and the patience alignment of
-    the text around it with the template is good enough. Null and empty texts and templates
+    the text around it with the template is good enough; of templates that differ by a version
+    or a few words only the one with the fewest unaligned words is named at a place. Null and empty texts and templates
     hold nothing; a null key is passed on; repeated rows give repeated finds; an empty table
     gives no rows; other columns are left out.
     """

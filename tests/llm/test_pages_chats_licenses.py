@@ -190,3 +190,36 @@ def test_license_scan(spark):
         (0, "mit-note", 1.0, 0), (1, "mit-note", 1.0, 2), (1, "mit-note", 1.0, 8), (2, "mit", 0.98, 0), (6, "mit", 1.0, 5000), (8, "mit-note", 0.8, 0),
     ]
     assert license_scan.scan_licenses(docs.limit(0)).collect() == []
+
+
+def test_every_license_names_itself(spark):
+    texts = license_scan.LICENSES
+    docs = spark.createDataFrame([(n, f"before it {t} and after") for n, t in texts.items()], "doc_id string, text string").coalesce(1)
+    found = {}
+    for r in license_scan.scan_licenses(docs).collect():
+        found.setdefault(r.doc_id, set()).add(r.license)
+        assert r.coverage == 1.0 or r.license != r.doc_id
+    assert all(name in found[name] for name in texts)
+    # What else is named is a shorter text inside the longer one.
+    inside = {"apache-2.0": {"apache-2.0-note"}, "bsd-3-clause": {"bsd-2-clause"}}
+    assert {n: f - {n} for n, f in found.items() if f - {n}} == inside
+
+
+def test_coverage_is_that_of_a_common_subsequence(spark):
+    rng = random.Random(8)
+    rows = []
+    for name, text in license_scan.LICENSES.items():
+        words = text.split()
+        for k in range(3):
+            rows.append((f"{name} {k}", " ".join(w if rng.random() > 0.05 else "changed" for w in words)))
+    docs = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    given = dict(rows)
+    hashes = {n: license_scan.word_hashes(t).tolist() for n, t in license_scan.LICENSES.items()}
+    for r in license_scan.scan_licenses(docs).collect():
+        a, b = license_scan.word_hashes(given[r.doc_id]).tolist(), hashes[r.license]
+        row = [0] * (len(b) + 1)
+        for x in a[r.first_word : r.last_word + 1]:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j], row[j + 1])
+        assert 0.8 * len(b) <= round(r.coverage * len(b)) <= row[-1]
