@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmine.functions import scalars as N
@@ -152,9 +152,11 @@ def expected_risk(candidates: DataFrame, key: str, cost: Column, log_prob: str =
 
 
 def class_softmax(logits: DataFrame, keys: Sequence[str], logit: str = "logit") -> DataFrame:
-    """Probabilities per key over its classes; a key has one row per class."""
-    peak = with_group_stats(logits, keys, _max=F.max(logit)).withColumn("_e", F.exp(F.col(logit) - F.col("_max")))
-    return with_group_stats(peak, keys, _sum=F.sum("_e")).withColumn("p", F.col("_e") / F.col("_sum")).drop("_max", "_e", "_sum")
+    """Probabilities per key over its classes. A key has one row per class, so the window over
+    it is small, and no table of keys is joined back, which could become a broadcast."""
+    whole = Window.partitionBy(*keys)
+    weighed = logits.withColumn("_e", F.exp(F.col(logit) - F.max(logit).over(whole)))
+    return weighed.withColumn("p", F.col("_e") / F.sum("_e").over(whole)).drop("_e")
 
 
 def symmetrise_edges(probs: DataFrame, sample: str = "sample_id") -> DataFrame:

@@ -1,5 +1,6 @@
 """Evaluation of two tables and sample advantages against plain loops."""
 
+import math
 import statistics
 
 import pytest
@@ -52,3 +53,15 @@ def test_mean_risk_over_groups(spark):
     df = spark.createDataFrame([(1, 0.0, 1.0), (1, 0.0, 3.0), (2, -5.0, 7.0)], "image int, log_prob double, cost double")
     row = E.mean_risk(df, "image", F.col("cost")).first()
     assert (row["risk"], row["n_groups"]) == (pytest.approx(4.5), 2)
+
+
+def test_class_softmax_joins_no_table_of_keys(spark):
+    rows = [(s, k, float(((s or 0) * 7 + k * 3) % 5)) for s in (1, 2, None) for k in range(7)]
+    df = spark.createDataFrame(rows, "s int, k int, logit double")
+    soft = E.class_softmax(df, ["s"])
+    assert "Join" not in soft._jdf.queryExecution().executedPlan().toString()
+    got = {(r["s"], r["k"]): r["p"] for r in soft.collect()}
+    for s in (1, 2, None):
+        logits = {k: x for g, k, x in rows if g == s}
+        total = sum(math.exp(x) for x in logits.values())
+        assert all(got[s, k] == pytest.approx(math.exp(x) / total) for k, x in logits.items())
