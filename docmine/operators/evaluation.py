@@ -162,19 +162,22 @@ def class_softmax(logits: DataFrame, keys: Sequence[str], logit: str = "logit")
 def symmetrise_edges(probs: DataFrame, sample: str = "sample_id") -> DataFrame:
     """Bond class per ordered atom pair after averaging both directions.
 
-    Classes 0-4 are averaged as they are, 5 and 6 crosswise. Each row is sent to its own
-    cell and to its mirror cell; one aggregation replaces the self-join. Ties go to the
-    lowest class."""
-    mirror = F.when(F.col("k") == 5, 6).when(F.col("k") == 6, 5).otherwise(F.col("k"))
-    cells = F.array(
-        F.struct(F.col("i"), F.col("j"), F.col("k")),
-        F.struct(F.col("j").alias("i"), F.col("i").alias("j"), mirror.alias("k")),
-    )
-    spread = probs.select(sample, "p", F.explode(cells).alias("c"))
-    mean = spread.groupBy(sample, "c.i", "c.j", "c.k").agg(F.avg("p").alias("p"))
-    return mean.groupBy(sample, "i", "j").agg(
-        F.max_by("k", F.struct("p", -F.col("k"))).alias("code"), F.max("p").alias("p")
-    )
+    Classes 0-4 are averaged as they are, 5 and 6 crosswise. Rows of both directions are
+    sent once, to the pair's cell with the smaller atom first, and the other direction is
+    read from the same cells; one shuffle serves both aggregations. On the diagonal a row
+    counts for its class and for the mirrored one. Ties go to the lowest class."""
+    swap = lambda k: F.when(k == 5, 6).when(k == 6, 5).otherwise(k)
+    i, j, k = F.col("i"), F.col("j"), F.col("k")
+    own, mirrored = k.alias("k"), swap(k).alias("k")
+    classes = F.when(i < j, F.array(own)).when(i > j, F.array(mirrored)).otherwise(F.array(own, mirrored))
+    ends = [F.least(i, j).alias("i"), F.greatest(i, j).alias("j")]
+    cells = probs.select(sample, *ends, "p", F.explode(classes).alias("k")).repartition(sample, "i", "j")
+    mean = cells.groupBy(sample, "i", "j", "k").agg(F.avg("p").alias("p"))
+    best = lambda c: F.max_by(c, F.struct("p", -c))
+    pairs = mean.groupBy(sample, "i", "j").agg(best(k).alias("code"), best(swap(k)).alias("_back"), F.max("p").alias("p"))
+    there, back = F.struct("i", "j", "code"), F.struct(j.alias("i"), i.alias("j"), F.col("_back").alias("code"))
+    ways = F.when(i < j, F.array(there, back)).otherwise(F.array(there))
+    return pairs.select(sample, "p", F.explode(ways).alias("w")).select(sample, "w.i", "w.j", "w.code", "p")
 
 
 def reward_summary(scored: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Evaluation of two tables and sample advantages against plain loops."""
 
 import math
+import random
 import statistics
 
 import pytest
@@ -65,3 +66,20 @@ def test_class_softmax_joins_no_table_of_keys(spark):
         logits = {k: x for g, k, x in rows if g == s}
         total = sum(math.exp(x) for x in logits.values())
         assert all(got[s, k] == pytest.approx(math.exp(x) / total) for k, x in logits.items())
+
+
+def test_symmetric_edges_send_each_row_once(spark):
+    rng = random.Random(5)
+    at = [(1, 0, 1), (1, 1, 0), (1, 2, 2), (2, 4, 3), (3, 0, 2)]
+    rows = [(s, i, j, k, rng.choice((0.1, 0.2, 0.3))) for s, i, j in at for k in range(7)]
+    edges = E.symmetrise_edges(spark.createDataFrame(rows, "sample_id int, i int, j int, k int, p double"))
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    swap, cells = {5: 6, 6: 5}, {}
+    for s, i, j, k, p in rows:
+        for cell in ((s, i, j, k), (s, j, i, swap.get(k, k))):
+            cells.setdefault(cell, []).append(p)
+    want = {}
+    for (s, i, j, k), ps in cells.items():
+        want[s, i, j] = max(want.get((s, i, j), (-1, 0)), (statistics.mean(ps), -k))
+    got = {(r["sample_id"], r["i"], r["j"]): (r["p"], -r["code"]) for r in edges.collect()}
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
