@@ -36,10 +36,9 @@ def evaluate(
     ids = list(ids)
     listed = truth.join(images.select(*ids).distinct(), ids, "left_semi")
     readable = lambda c: F.coalesce(valid(c), F.lit(False))
-    asked = listed.select(
-        *ids, readable(F.col("smiles")).alias("ok"), key(F.col("smiles")).alias("gt_smiles"),
-        F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"),
-    )
+    # Judged and keyed first, then repeated per mode: beside the explode both ran once per mode.
+    judged = listed.select(*ids, readable(F.col("smiles")).alias("ok"), key(F.col("smiles")).alias("gt_smiles"))
+    asked = judged.select("*", F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"))
     given = predictions.filter(F.col("mode").isin(list(modes)) & readable(F.col("smiles")))
     given = given.groupBy(*ids, "mode").agg(F.min(key(F.col("smiles"))).alias("pred_smiles"))
     pairs = asked.join(given, [*ids, "mode"], "left")

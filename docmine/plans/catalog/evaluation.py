@@ -12,6 +12,7 @@ from docmine.operators import sampling as M
 from docmine.plans import derive as D
 from docmine.plans.catalog.structures import KEY_SQL, QUICK
 from docmine.plans.registry import query
+from docmine.session import materialise
 
 MODES = ("decoder", "graph", "postprocess")
 # Truth: text keys of structures, bad when the hash says so; three predictions of each.
@@ -133,7 +134,11 @@ scored AS (SELECT a.*, pred, ok AND pred IS NOT NULL AND pred = gt AS match,
 
 
 def two_tables(t):
-    rows = D.structures(t.documents).select(F.col("source").alias("benchmark"), F.col("mol_id").alias("image_id"), "doc_id", "smiles", "h0")
+    # Derived once: truth, images and four kinds of predictions read the stored rows.
+    rows = materialise(
+        D.structures(t.documents).select(F.col("source").alias("benchmark"), F.col("mol_id").alias("image_id"), "doc_id", "smiles", "h0"),
+        "structures",
+    )
     s, h = F.col("smiles"), F.col("h0")
     part = lambda mode, p, kept=F.lit(True): rows.filter(kept).select("benchmark", "image_id", F.lit(mode).alias("mode"), p.alias("smiles"))
     given = (

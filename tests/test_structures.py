@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -151,3 +152,18 @@ def test_readable_structures_against_descent(spark):
     want = [loop_reads(r) for r in rows]
     assert [(r, g) for r, g, w in zip(rows, got, want) if g != w] == []
     assert got[-1] is False and 100 < sum(want) < 1400
+
+
+def test_tokens_and_atoms_by_class_equal_the_published_pattern(spark):
+    rng = random.Random(11)
+    signs = "BrClNOSPFIbcnosp()[].=#-+\\/:~@?>*$%0129Rz {}\n"
+    rows = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(500)]
+    atom = re.compile(r"^([A-Za-z]+$|\[|\*$)")
+    want = [re.findall(S.TOKEN_PATTERN, r) for r in rows]
+    assert one(spark, [(r,) for r in rows], "s string", S.tokenise(F.col("s"))) == want
+    assert one(spark, [(r,) for r in rows], "s string", S.atom_tokens(F.col("s"))) == [[t for t in ts if atom.match(t)] for ts in want]
+
+
+def test_readable_structures_are_judged_in_batches(spark):
+    plan = spark.range(1).select(S.is_valid_structure(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
