@@ -37,8 +37,13 @@ def _alphabet() -> Column:
 
 
 def char_id(c: Column) -> Column:
-    place = F.instr(_alphabet(), c)
-    return F.when(place > 0, place - 1 + FIRST_CHAR).otherwise(F.lit(UNK)).cast("int")
+    """Place in the alphabet behind the specials; a place of 0, a sign that is not in it, gives
+    the unknown mark, which is the special before the first character."""
+    return F.instr(_alphabet(), c) + F.lit(UNK)
+
+
+def char_ids(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), char_id)
 
 
 def is_x(t: Column, n_bins: int = DEFAULT_BINS) -> Column:
@@ -67,29 +72,16 @@ def encode(structure: Column, bins: Column, n_bins: int = DEFAULT_BINS) -> Colum
     )
     origin = F.array(F.lit(FIRST_X), F.lit(first_y(n_bins)))
 
-    def write(tokens, places):
-        ranks = F.aggregate(
-            tokens,
-            F.array(F.lit(0)),
-            lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.when(S.is_atom(t), 1).otherwise(0))),
-        )
-        return let(
-            ranks,
-            lambda seen: F.flatten(
-                F.transform(
-                    tokens,
-                    lambda t, i: F.concat(
-                        F.transform(F.filter(F.split(t, ""), lambda c: c != ""), char_id),
-                        F.when(
-                            S.is_atom(t), F.coalesce(F.get(places, F.get(seen, i)), origin)
-                        ).otherwise(F.array().cast("array<int>")),
-                    ),
-                )
-            ),
-        )
+    def write(text, runs, places):
+        # The i-th run ends with the i-th atom; what follows the last run holds none.
+        body = F.transform(runs, lambda r, i: F.concat(char_ids(r), F.coalesce(F.get(places, i), origin)))
+        tail = F.substring(text, F.length(F.array_join(runs, "")) + 1, F.length(text))
+        return F.concat(F.array(F.lit(SOS)), F.flatten(body), char_ids(tail), F.array(F.lit(EOS)))
 
-    body = let(S.tokenise(structure), lambda tokens: let(atom_bins, lambda places: write(tokens, places)))
-    return F.concat(F.array(F.lit(SOS)), body, F.array(F.lit(EOS)))
+    return let(
+        F.array_join(S.tokenise(structure), ""),
+        lambda text: let(S.runs_to_atoms(text), lambda runs: let(atom_bins, lambda places: write(text, runs, places))),
+    )
 
 
 def _bin_id(value: Column, base: int, n_bins: int) -> Column:
@@ -172,11 +164,14 @@ def truncate(ids: Column, positions: Column, limit: int) -> Column:
 def parse_coords(text: Column) -> Column:
     """``[[x,y],...]`` text to ``array<array<double>>``; null unless every entry is a pair and
     there is at least one."""
-    value = F.from_json(text, "array<array<double>>")
-    ok = value.isNotNull() & (F.size(value) > 0) & F.forall(
-        value, lambda p: p.isNotNull() & (F.size(p) == 2) & F.forall(p, lambda v: v.isNotNull())
-    )
-    return F.when(ok, value)
+
+    def checked(value):
+        ok = value.isNotNull() & (F.size(value) > 0) & F.forall(
+            value, lambda p: p.isNotNull() & (F.size(p) == 2) & F.forall(p, lambda v: v.isNotNull())
+        )
+        return F.when(ok, value)
+
+    return let(F.from_json(text, "array<array<double>>"), checked)
 
 
 def parse_edges(text: Column) -> Column:

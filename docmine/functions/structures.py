@@ -129,6 +129,11 @@ def clean_symbol(symbol: Column) -> Column:
     return F.when(symbol.isin("*", "R#") | (cut == ""), "R").otherwise(cut)
 
 
+def runs_to_atoms(tokens: Column) -> Column:
+    """Text of nothing but tokens, cut behind each atom; what follows the last atom is left out."""
+    return F.regexp_extract_all(tokens, F.lit(r"([().=#\-+\\/:~@?>$0-9%]*" + _ATOMS + ")"), F.lit(1))
+
+
 def strip_map_numbers(structure: Column) -> Column:
     return F.regexp_replace(structure, r":\d+\]", "]")
 

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from docmine.functions import sequences as Q
 from docmine.functions import structures as S
 
 
@@ -167,3 +168,24 @@ def test_tokens_and_atoms_by_class_equal_the_published_pattern(spark):
 def test_readable_structures_are_judged_in_batches(spark):
     plan = spark.range(1).select(S.is_valid_structure(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+
+
+def test_encoding_takes_a_place_per_atom_without_running_counts(spark):
+    rng = random.Random(3)
+    rows = ["".join(rng.choices(["C", "Cl", "[ab]", "*", "(", ")", "%12", "1", "x", "[", "é", "=", ":"], k=rng.randint(0, 14))) for _ in range(300)]
+    atom = re.compile(r"^([A-Za-z]+$|\[|\*$)")
+
+    def loop(text, bins):
+        ids, seen = [Q.SOS], 0
+        for t in re.findall(S.TOKEN_PATTERN, text):
+            ids += [Q.FIRST_CHAR + Q.CHARACTERS.index(c) if c in Q.CHARACTERS else Q.UNK for c in t]
+            if atom.match(t):
+                x, y = bins[seen] if seen < len(bins) else (0, 0)
+                ids, seen = ids + [Q.FIRST_X + x, Q.first_y() + y], seen + 1
+        return [*ids, Q.EOS]
+
+    given = [(r, [(i % 64, 3 * i % 64) for i in range(rng.randint(0, 9))]) for r in rows]
+    col = Q.encode(F.col("s"), F.col("b"))
+    assert one(spark, given, "s string, b array<struct<x:int,y:int>>", col) == [loop(r, b) for r, b in given]
+    plan = spark.range(1).select(Q.encode(F.col("id").cast("string"), F.expr("array(struct(1 AS x, 2 AS y))")))._jdf.queryExecution().toString()
+    assert "aggregate(" not in plan
