@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docmine.functions import structures as S
 from docmine.functions.scalars import shingle_bits
 from docmine.operators import sampling, search
+from docmine.session import materialise
 
 
 def structure_strata(structures: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -37,9 +38,10 @@ def balanced_structure_sample(
     """(mol_id, cluster): property strata give ten candidates per wanted row, near-duplicate
     clusters are formed among them, and the clusters are drawn from evenly."""
     strata, keys = structure_strata(structures)
-    slim = strata.select("mol_id", "smiles", *keys)
+    # Stored, as the draw reads the strata several times and would judge all structures again.
+    slim = materialise(strata.select("mol_id", "smiles", *keys), "strata")
     chosen = sampling.sample_stratified(slim, keys, 10 * n, ["mol_id"], seed).select("mol_id")
-    bits = structure_bits(structures.join(chosen, "mol_id", "left_semi"))
+    bits = structure_bits(slim.join(materialise(chosen, "chosen"), "mol_id", "left_semi"))
     cluster = search.component_clusters if clustering == "components" else search.leader_clusters
     clusters = cluster(bits, threshold).select(F.col("id").alias("mol_id"), "cluster")
     return sampling.sample_balanced(clusters, ["cluster"], n, ["mol_id"], strategy, seed)
