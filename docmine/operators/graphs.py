@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmine.functions import structures as S
+from docmine.functions.binding import let
 from docmine.functions.text import is_valid_label
 from docmine.operators.components import connected_components
-from docmine.operators.ordering import with_group_stats
 
 
 def wildcard_atoms(atoms: DataFrame) -> DataFrame:
@@ -76,8 +76,11 @@ def degree(bonds: DataFrame, key: str = "mol_id") -> DataFrame:
 
 def leaf_atoms(atoms: DataFrame, bonds: DataFrame, key: str = "mol_id") -> DataFrame:
     """Atoms of degree one other than stars."""
-    ones = degree(bonds, key).filter("degree = 1")
-    return atoms.filter("symbol <> '*'").join(ones, [key, "idx"], "left_semi").select(key, "idx")
+    # Atoms and bond ends meet in one aggregation; tables dealt out by molecule are not shuffled.
+    listed = atoms.filter("symbol <> '*'").select(key, "idx", F.lit(0).alias("_end"))
+    ends = bonds.select(key, F.explode(F.array("u", "v")).alias("idx"), F.lit(1).alias("_end"))
+    met = listed.unionByName(ends).groupBy(key, "idx").agg(F.sum("_end").alias("_degree"), F.min("_end").alias("_least"))
+    return met.filter("_degree = 1 AND _least = 0").select(key, "idx")
 
 
 def change_candidates(bonds: DataFrame) -> DataFrame:
@@ -133,9 +136,11 @@ def graph_counts(atoms: DataFrame, bonds: DataFrame, key: str = "mol_id") -> Dat
 
 
 def normalise_nodes(nodes: DataFrame, key: str, flip_y: bool = True, floor: float = 1e-6) -> DataFrame:
-    """Coordinates scaled to [0, 1] per molecule; y runs downwards when flipped."""
-    stats = with_group_stats(
-        nodes, [key], _x0=F.min("x"), _x1=F.max("x"), _y0=F.min("y"), _y1=F.max("y")
+    """Coordinates scaled to [0, 1] per molecule; y runs downwards when flipped. The window
+    holds one molecule's nodes."""
+    whole = Window.partitionBy(key)
+    stats = nodes.withColumns(
+        {f"_{a}{n}": f(a).over(whole) for a in "xy" for n, f in ((0, F.min), (1, F.max))}
     )
     span = lambda a: F.greatest(F.col(f"_{a}1") - F.col(f"_{a}0"), F.lit(floor))
     y = F.col("_y1") - F.col("y") if flip_y else F.col("y") - F.col("_y0")
@@ -149,11 +154,14 @@ def molblock_atoms(block: Column) -> Column:
 
     The fourth line starts with the atom count; that many lines follow, lines with fewer
     than four fields are skipped. Any fault gives an empty list."""
-    lines = F.split(block, "\n")
+    return let(F.split(block, "\n"), _listed_atoms)
+
+
+def _listed_atoms(lines: Column) -> Column:
     count = F.try_element_at(F.split(F.trim(F.try_element_at(lines, F.lit(4))), r"\s+"), F.lit(1)).try_cast("int")
     body = F.slice(lines, F.lit(5), F.greatest(F.coalesce(count, F.lit(0)), F.lit(0)))
     fields = F.transform(body, lambda line: F.split(F.trim(line), r"\s+"))
     symbols = F.transform(F.filter(fields, lambda f: F.size(f) >= 4), lambda f: f[3])
     listed = F.transform(symbols, lambda s, i: F.struct(i.alias("idx"), s.alias("symbol")))
-    usable = block.isNotNull() & (F.size(lines) >= 5) & count.isNotNull()
+    usable = lines.isNotNull() & (F.size(lines) >= 5) & count.isNotNull()
     return F.when(usable, listed).otherwise(F.array().cast("array<struct<idx:int,symbol:string>>"))

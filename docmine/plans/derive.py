@@ -45,9 +45,9 @@ def words(text: Column) -> Column:
 
 def structures(documents: DataFrame) -> DataFrame:
     """Every run of twelve words becomes one structure string with its star labels."""
-    listed = documents.select("doc_id", "source", words(F.col("text")).alias("words")).filter(
-        F.size("words") > 0
-    )
+    # Dealt out first: a file of few row groups would keep all that follows in as many tasks.
+    dealt = documents.select("doc_id", "source", "text").repartition("doc_id")
+    listed = dealt.select("doc_id", "source", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     runs = listed.select(
         "doc_id",
         "source",
@@ -137,11 +137,15 @@ estrings AS (
 )
 
 
+def by_molecule(documents: DataFrame) -> DataFrame:
+    """(mol_id, smiles) dealt out by molecule: whatever is grouped by molecule later stays where
+    it is, so that structures are shuffled and not their atoms and bonds."""
+    return structures(documents).select("mol_id", "smiles").repartition("mol_id")
+
+
 def atoms(documents: DataFrame) -> DataFrame:
     """Atom tokens of each structure with hashed places and charges."""
-    base = structures(documents).select(
-        "mol_id", F.posexplode(S.atom_tokens(F.col("smiles"))).alias("idx", "token")
-    )
+    base = by_molecule(documents).select("mol_id", F.posexplode(S.atom_tokens(F.col("smiles"))).alias("idx", "token"))
     h = hash_int(F.concat_ws(":", F.col("mol_id"), F.col("idx")))
     staged = base.withColumn("h", h)
     inner = F.regexp_replace("token", r"^\[|\]$", "")
@@ -198,7 +202,7 @@ atoms AS (
 
 def bonds(documents: DataFrame) -> DataFrame:
     """Chain bonds between neighbours, a few left out, and some ring bonds five ahead."""
-    n = structures(documents).select("mol_id", S.count_atoms(F.col("smiles")).alias("n"))
+    n = by_molecule(documents).select("mol_id", S.count_atoms(F.col("smiles")).alias("n"))
     at = n.filter("n > 1").select("mol_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("u"))
     h = hash_int(F.concat_ws("-", F.col("mol_id"), F.col("u")))
     staged = at.withColumn("h", h)
