@@ -207,12 +207,12 @@ def atom_labels(t):
 def molblock_symbols(t):
     """Molecule blocks written from the atom tokens and read back. Blocks with a broken count
     give no rows, a small count cuts the list."""
-    tokens = S.atom_tokens(F.col("smiles"))
+    tokens = F.col("tokens")
     lines = F.transform(tokens, lambda s: F.concat(F.lit("    0.0000    0.0000    0.0000 "), s, F.lit("  0  0")))
     count = F.when(F.col("h0") % 12 == 0, "abc").when(F.col("h0") % 12 == 1, "3").otherwise(F.size(tokens).cast("string"))
     block = F.concat_ws("\n", F.lit("name"), F.lit(" "), F.lit(""), F.concat(F.lit(" "), count, F.lit("  0")), F.array_join(lines, "\n"), F.lit("M  END"))
     return (
         D.structures(t.documents)
-        .select("mol_id", R.molblock_atoms(block).alias("a"))
-        .select("mol_id", F.inline("a"))
+        .select("mol_id", "h0", S.atom_tokens(F.col("smiles")).alias("tokens"))
+        .select("mol_id", F.inline(R.molblock_atoms(block)))
     )

@@ -30,3 +30,12 @@ def test_a_molecule_block_is_cut_into_lines_once(spark):
     df = spark.range(1).select(R.molblock_atoms(block).alias("a"))
     assert plan(df.repartition(2)).split("Project")[1].count("cast(id") <= 1
     assert [tuple(x) for x in df.first()["a"]] == [(0, "C")]
+
+
+def test_molecule_blocks_are_read_in_no_inferred_filter(spark, tmp_path):
+    from docmine.plans import catalog
+
+    docs = spark.createDataFrame([(1, "s", "a b c d e f g h i j k l m n")], "doc_id bigint, source string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    optimised = catalog.QUERIES["molblock_symbols"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in optimised.splitlines() if "Filter" in line and "M  END" in line]
