@@ -84,3 +84,62 @@ def test_verified_pairs_are_all_pairs(spark, tile):
         members.setdefault(bytes(r["bucket"]), []).append(r["id"])
     met = {(i, j) for m in members.values() for i in m for j in m if i < j and similar(sets[i], sets[j]) >= 0.5}
     assert pairs == met
+
+
+def test_similar_pairs_are_all_pairs_and_signatures_meet_few_others(spark):
+    import numpy as np
+
+    from docmine.functions import partenum
+    from docmine.operators import search
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (1, 2, 3, 4, 5, 7, 9, 12, 16, 25, 40, 90, 300):
+        for _ in range(4):
+            base = rng.choice(1 << 20, size, replace=False)
+            for changed in range(0, max(1, size // 6) + 1, max(1, size // 24)):
+                kept = base[changed:]
+                sets.append(sorted({*kept.tolist(), *rng.choice(1 << 20, int(rng.integers(0, changed + 1)), replace=False).tolist()}))
+    sets += [list(s) for s in sets[:5]] + [[]]
+    for least in (0.8, 0.5, 1.0):
+        found = search.similar_pairs(spark.createDataFrame(list(enumerate(sets)), "id long, bits array<int>"), least)
+        got = {(r["query_id"], r["id"]): r["sim"] for r in found.collect()}
+        want = {}
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both, either = len({*a} & {*b}), len({*a, *b})
+                if either and both / either >= least:
+                    want[i, j] = both / either
+        assert got == want
+    # Sets that share common bits only: lists behind those bits would pair all of them.
+    common = rng.choice(1 << 20, 40, replace=False)
+    loose = [np.unique(np.concatenate([common, rng.choice(1 << 20, 260)])) for _ in range(100)]
+    signed = np.concatenate([np.unique(partenum.signatures(s, 0.8)) for s in loose])
+    assert len(signed) < 200 * len(loose)
+    assert len(signed) - len(np.unique(signed)) < 2 * len(loose)
+
+
+def test_hashed_runs_are_those_of_the_column_functions(spark):
+    from pyspark.sql import functions as F
+
+    from docmine.functions import runs
+    from docmine.functions import scalars as N
+    from docmine.functions import structures as S
+    from docmine.functions.text import hash_int
+
+    texts = ["", None, " \t\n", "one", "a b", "a b c", "a b  c\x0bd\x0c e\r\nf é ü 漢字 g a b c", "x" * 60 + " y " + "z" * 200, "b" * 53 + " c d", " a b " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    want = df.select("doc_id", words.alias("w")).filter(F.size("w") > 0)
+    for slots in (1 << 20, 1000):
+        listed = want.select("doc_id", N.shingle_bits(F.col("w"), 3, slots).alias("bits"))
+        assert sorted(map(tuple, runs.text_bits(df, "doc_id", "text", 3, slots).collect())) == sorted(map(tuple, listed.collect()))
+    smiles = spark.createDataFrame([(1, "C[NH3+]%12c1Cl*("), (2, ""), (3, "C"), (4, "漢"), (5, "[R]é[")], "mol_id long, smiles string")
+    listed = smiles.select("mol_id", N.shingle_bits(S.tokenise(F.col("smiles")), 3, 2048).alias("bits"))
+    assert sorted(map(tuple, runs.token_bits(smiles, "mol_id", "smiles", S.TOKENS, 3, 2048).collect())) == sorted(map(tuple, listed.collect()))
+    spans = df.filter("text IS NOT NULL").select("text", hash_int(F.col("text")).alias("h")).collect()
+    import numpy as np
+
+    for r in spans:
+        data = np.frombuffer(r["text"].encode(), np.uint8)
+        assert runs.md5_heads(data, np.array([0]), np.array([len(data)]))[0] == r["h"]
