@@ -18,7 +18,7 @@ TOKEN_PATTERN = (
 )
 # The same tokens with single characters as a class, which is matched in one step; and those
 # among them that are atoms: no other token holds a letter, a star or a bracket block.
-_TOKENS = r"(\[[^\]]+\]|Br?|Cl?|[NOSPFIbcnosp().=#\-+\\/:~@?>*$0-9]|%[0-9]{2})"
+TOKENS = r"(\[[^\]]+\]|Br?|Cl?|[NOSPFIbcnosp().=#\-+\\/:~@?>*$0-9]|%[0-9]{2})"
 _ATOMS = r"(\[[^\]]+\]|Br?|Cl?|[NOSPFIbcnosp*])"
 PIECE_PATTERN = r"(\[[^\]]*\]?|[^\[])"
 RGROUP_SYMBOLS = (
@@ -63,7 +63,7 @@ BRACKET_ATOM = (
 
 
 def tokenise(structure: Column) -> Column:
-    return F.regexp_extract_all(structure, F.lit(_TOKENS), F.lit(1))
+    return F.regexp_extract_all(structure, F.lit(TOKENS), F.lit(1))
 
 
 def pieces(structure: Column) -> Column:

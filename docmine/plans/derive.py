@@ -7,10 +7,16 @@ so SQL can repeat them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmine.functions import structures as S
+from docmine.functions.runs import ROWS, md5_heads, word_places
 from docmine.functions.text import hash_int
 
 WORDS_PER_STRUCTURE = 12
@@ -47,43 +53,49 @@ def structures(documents: DataFrame) -> DataFrame:
     """Every run of twelve words becomes one structure string with its star labels."""
     # Dealt out first: a file of few row groups would keep all that follows in as many tasks.
     dealt = documents.select("doc_id", "source", "text").repartition("doc_id")
-    listed = dealt.select("doc_id", "source", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    runs = listed.select(
-        "doc_id",
-        "source",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.size("words") - 1, F.lit(WORDS_PER_STRUCTURE)),
-                lambda s: F.struct(
-                    s.alias("start"),
-                    F.slice("words", s + F.lit(1), F.lit(WORDS_PER_STRUCTURE)).alias("run"),
-                ),
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    schema = f"mol_id long, doc_id {kinds['doc_id']}, source {kinds['source']}, smiles string, labels array<string>, h0 long"
+    return dealt.mapInArrow(_structure_rows, schema)
+
+
+#: What a hash modulo 97 stands for, as one run of bytes with the start and size of every part.
+_PARTS = [("[", "(")[k] if k < 2 else FRAGMENTS[k % 24] for k in range(97)]
+_PART_BYTES = np.frombuffer("".join(_PARTS).encode(), np.uint8)
+_PART_SIZES = np.array([len(p) for p in _PARTS])
+_PART_STARTS = np.cumsum(_PART_SIZES) - _PART_SIZES
+_IS_STAR = np.array([p == "*" for p in _PARTS])
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def _structure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    star_labels = pa.array(STAR_LABELS)
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            data, starts, ends, first = word_places(part.column(2).to_pylist())
+            h = md5_heads(data, starts, ends)
+            counts = np.diff(first)
+            each = -(-counts // WORDS_PER_STRUCTURE)
+            owner = np.repeat(np.arange(len(counts)), each)
+            run = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+            heads = first[:-1][owner] + run * WORDS_PER_STRUCTURE
+            kind = h % 97
+            size = _PART_SIZES[kind]
+            places = _offsets(size)
+            spread = np.arange(places[-1]) + np.repeat(_PART_STARTS[kind] - places[:-1], size)
+            cuts = np.append(heads, len(h))
+            smiles = pa.StringArray.from_buffers(len(heads), pa.py_buffer(places[cuts]), pa.py_buffer(_PART_BYTES[spread]))
+            star = _IS_STAR[kind]
+            labels = pa.ListArray.from_arrays(pa.array(_offsets(star)[cuts]), star_labels.take(pa.array(h[star] // 97 % 8)))
+            mine = part.take(pa.array(owner, pa.int64()))
+            mol_id = pc.add(pc.multiply(mine.column(0).cast(pa.int64()), RUNS), pa.array(run, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [mol_id, mine.column(0), mine.column(1), smiles, labels, pa.array(h[heads], pa.int64())],
+                names=["mol_id", "doc_id", "source", "smiles", "labels", "h0"],
             )
-        ).alias("part"),
-    )
-    hashed = runs.select(
-        (F.col("doc_id") * RUNS + F.floor(F.col("part.start") / WORDS_PER_STRUCTURE)).alias("mol_id"),
-        "doc_id",
-        "source",
-        F.transform("part.run", lambda w: hash_int(w)).alias("h"),
-    )
-    fragment_of = lambda h: (
-        F.when(h % 97 == 0, "[").when(h % 97 == 1, "(").otherwise(
-            F.get(_array(FRAGMENTS), ((h % 97) % 24).cast("int"))
-        )
-    )
-    is_star = lambda h: (h % 97 > 1) & ((h % 97) % 24 == 6)
-    return hashed.select(
-        "mol_id",
-        "doc_id",
-        "source",
-        F.array_join(F.transform("h", fragment_of), "").alias("smiles"),
-        F.transform(
-            F.filter("h", is_star),
-            lambda h: F.get(_array(STAR_LABELS), (F.floor(h / 97) % 8).cast("int")),
-        ).alias("labels"),
-        F.get(F.col("h"), 0).alias("h0"),
-    )
 
 
 # SQL twin of the derivation; DuckDB lambda syntax.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmine.functions import structures as S
-from docmine.functions.scalars import shingle_bits
+from docmine.functions.runs import token_bits
 from docmine.operators import sampling, search
 from docmine.session import materialise
 
@@ -27,8 +27,7 @@ def convert_estrings(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def structure_bits(structures: DataFrame, n: int = 3, slots: int = 2048) -> DataFrame:
     """(id, bits) of structure strings from hashed token runs."""
-    tokens = structures.select(F.col("mol_id").alias("id"), S.tokenise(F.col("smiles")).alias("t"))
-    return tokens.select("id", shingle_bits(F.col("t"), n, slots).alias("bits"))
+    return token_bits(structures, "mol_id", "smiles", S.TOKENS, n, slots)
 
 
 def balanced_structure_sample(
