@@ -339,3 +339,12 @@ def test_chunks_spell_the_tokenizers_ids():
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)]
     for text, blob in zip(texts, encoder.encode(texts), strict=True):
         assert blob == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_signatures_are_sent_with_two_bytes_less_than_a_long(spark):
+    from docmine.llm import jaccard_join
+
+    texts = [" ".join(f"w{i * 7 + j}" for j in range(60)) for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_doc long, _text string")
+    sent = jaccard_join.signature_rows(rows, 5, 80).collect()
+    assert sent and all(0 <= r["sig"] < 1 << 48 for r in sent)
