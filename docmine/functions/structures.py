@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmine.functions.binding import let
+from docmine.functions.runs import remembered
 
 # The published atom-wise token pattern, label symbols, element symbols
 # and shorthand fragments.
@@ -62,6 +63,11 @@ BRACKET_ATOM = (
 )
 
 
+_FIND_TOKENS = re.compile(TOKENS, re.ASCII)
+_BRACKET_ATOM = re.compile(BRACKET_ATOM, re.ASCII)
+_NUMBERED = re.compile(r"\[R(\d+)\]", re.ASCII)
+
+
 def tokenise(structure: Column) -> Column:
     return F.regexp_extract_all(structure, F.lit(TOKENS), F.lit(1))
 
@@ -151,17 +157,24 @@ def is_bracket_atom(token: Column) -> Column:
 
 
 def wildcard_labels(structure: Column) -> Column:
-    """``[Rn]`` becomes ``[n*]``; bracket tokens that are no element atom become ``*``."""
-
-    def swap(token):
-        return (
-            F.when(~token.startswith("["), token)
-            .when(token.rlike(r"^\[R\d+\]$"), F.regexp_replace(token, r"^\[R(\d+)\]$", r"[$1*]"))
-            .when(~is_bracket_atom(token), "*")
-            .otherwise(token)
-        )
+    """``[Rn]`` becomes ``[n*]``; bracket tokens that are no element atom become ``*``. Tokens
+    are judged once per batch, in Arrow batches: most of them come again and again."""
+    return _wildcards(structure)
+
+
+@F.pandas_udf(T.StringType())
+def _wildcards(texts: pd.Series) -> pd.Series:
+    find, swap = _FIND_TOKENS.findall, remembered(_wildcard)
+    return texts.map(lambda text: "".join([swap[t] for t in find(text)]), na_action="ignore")
+
 
-    return F.array_join(F.transform(tokenise(structure), swap), "")
+def _wildcard(token: str) -> str:
+    if token[0] != "[":
+        return token
+    numbered = _NUMBERED.fullmatch(token)
+    if numbered:
+        return f"[{numbered[1]}*]"
+    return token if _BRACKET_ATOM.search(token) else "*"
 
 
 def text_key(structure: Column) -> Column:
@@ -261,6 +274,7 @@ def classify_label(label: Column) -> Column:
     return (
         F.when(label.isin(RGROUP_SYMBOLS), "rgroup")
         .when(label.isin(list(ABBREVIATIONS)), "abbreviation")
+        .when(label.isin(ELEMENTS), "element")
         .when(F.concat(F.lit("["), label, F.lit("]")).rlike(BRACKET_ATOM), "element")
         .otherwise("other")
     )
