@@ -92,8 +92,8 @@ def symbol_class_counts(atoms: DataFrame, key: str = "mol_id") -> DataFrame:
     """Hydrogens (null while unknown for a star), pseudo atoms and label sites."""
     star = F.col("symbol") == "*"
     h = F.col("explicit_h") + F.when(F.col("symbol") == "H", 1).otherwise(0)
-    kind = S.classify_label(F.col("symbol"))
-    return atoms.groupBy(key).agg(
+    kind = F.col("_kind")
+    return atoms.withColumn("_kind", S.classify_label(F.col("symbol"))).groupBy(key).agg(
         F.when(F.count_if(star) == 0, F.sum(h)).alias("n_hydrogens"),
         F.count_if(kind.isin("abbreviation", "other") & ~star).alias("n_pseudo"),
         F.count_if(star | (kind == "rgroup")).alias("n_rsites"),
