@@ -191,71 +191,75 @@ def mask_labels(structure: Column, first_isotope: int = 50) -> Column:
 
     Returns ``struct<masked, mapping map<int,string>>``.
     """
-    base = F.replace(structure, F.lit("<unk>"), F.lit("C"))
-    plain = [s for s in RGROUP_SYMBOLS if not s[1:].isdigit()]
-    numbers = [s[1:] for s in RGROUP_SYMBOLS if s[1:].isdigit()]
-    for_numbers = "|".join(sorted(numbers, key=lambda n: -len(n)))
-    for_plain = "|".join(sorted(plain, key=lambda n: -len(n)))
-    base = F.regexp_replace(base, rf"\[R({for_numbers})\]", "[$1*]")
-    base = F.regexp_replace(base, rf"\[(?:{for_plain})\]", "*")
-    tokens = tokenise(base)
-    short = list(ABBREVIATIONS)
-
-    def unknown(token):
-        inner = F.regexp_replace(token, r"^\[|\]$", "")
-        return token.startswith("[") & (inner.isin(short) | ~is_bracket_atom(token))
-
-    used = F.regexp_extract_all(base, F.lit(r"\[(\d+)\*\]"), F.lit(1))
-    marked = F.transform(tokens, lambda t: F.struct(t.alias("t"), unknown(t).alias("hit")))
-
-    def write(m, taken):
-        labels = F.transform(
-            F.filter(m, lambda t: t["hit"]), lambda t: F.regexp_replace(t["t"], r"^\[|\]$", "")
-        )
-        # Enough numbers to skip every isotope already present in the text.
-        free = F.filter(
-            F.sequence(F.lit(first_isotope), F.lit(first_isotope) + F.size(labels) + F.size(taken)),
-            lambda n: ~F.array_contains(taken, n.cast("string")),
-        )
-        return let(free, lambda numbers: _write_masks(m, numbers, labels, "[", "*]"))
+    return _masks(structure, F.lit(first_isotope))
 
-    return let(marked, lambda m: let(used, lambda taken: write(m, taken)))
 
+_PLAIN_LABELS = re.compile(r"\[(?:" + "|".join(s for s in sorted(RGROUP_SYMBOLS, key=lambda n: -len(n)) if not s[1:].isdigit()) + r")\]")
+_NUMBERED_LABELS = re.compile(r"\[R(" + "|".join(s[1:] for s in sorted(RGROUP_SYMBOLS, key=lambda n: -len(n)) if s[1:].isdigit()) + r")\]")
+_ISOTOPES = re.compile(r"\[(\d+)\*\]", re.ASCII)
+_ENDS_OF_BRACKET = re.compile(r"^\[|\]$")
+_ALIASED = re.compile(r"(?s)(\[[^\[\]]+\]|.)")
+_MASKED = T.StructType([T.StructField("masked", T.StringType()), T.StructField("mapping", T.MapType(T.IntegerType(), T.StringType()))])
 
-def _write_masks(marked: Column, numbers: Column, labels: Column, left: str, right: str) -> Column:
-    """Text with the hit tokens swapped for numbered placeholders, and number to label."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("seen"))
 
-    def step(acc, token):
-        number = F.concat(F.lit(left), F.get(numbers, acc["seen"]).cast("string"), F.lit(right))
-        return F.struct(
-            F.concat(acc["out"], F.when(token["hit"], number).otherwise(token["t"])).alias("out"),
-            (acc["seen"] + F.when(token["hit"], 1).otherwise(0)).alias("seen"),
-        )
+def _write_masks(tokens: list[str], labels: remembered, numbers: list[int], form: str) -> tuple[str, dict[int, str]]:
+    """Text with the labelled tokens swapped for numbered placeholders, and number to label."""
+    mapping, out, free = {}, [], iter(numbers)
+    for token in tokens:
+        label = labels[token]
+        if label is not None:
+            number = next(free)
+            mapping[number] = label
+            token = form % number
+        out.append(token)
+    return "".join(out), mapping
 
-    text = F.aggregate(marked, start, step, lambda acc: acc["out"])
-    mapping = F.map_from_arrays(F.slice(numbers, F.lit(1), F.size(labels)), labels)
-    return F.struct(text.alias("masked"), mapping.alias("mapping"))
 
+def _hidden_label(token: str) -> str | None:
+    """The text in the brackets of shorthand and of what is no element atom."""
+    if token[0] != "[":
+        return None
+    inner = _ENDS_OF_BRACKET.sub("", token)
+    return inner if inner in ABBREVIATIONS or not _BRACKET_ATOM.search(token) else None
+
+
+def _alias(token: str) -> str | None:
+    if len(token) < 3 or token[0] != "[" or _BRACKET_ATOM.search(token):
+        return None
+    return token[1:-1].strip(" ")
+
+
+@F.pandas_udf(_MASKED)
+def _masks(texts: pd.Series, firsts: pd.Series) -> pd.DataFrame:
+    labels, rows = remembered(_hidden_label), []
+    for text, first in zip(texts, firsts, strict=True):
+        if text is None:
+            rows.append((None, None))
+            continue
+        base = _PLAIN_LABELS.sub("*", _NUMBERED_LABELS.sub(r"[\1*]", text.replace("<unk>", "C")))
+        tokens, taken = _FIND_TOKENS.findall(base), set(_ISOTOPES.findall(base))
+        # Enough numbers to skip every isotope already present in the text.
+        free = [n for n in range(first, first + len(tokens) + len(taken) + 1) if str(n) not in taken]
+        rows.append(_write_masks(tokens, labels, free, "[%d*]"))
+    return pd.DataFrame(rows, columns=["masked", "mapping"])
 
-def alias_labels(structure: Column, first: int = 1001) -> Column:
-    """Bracket tokens that are no element atom become ``[*:n]`` with n from ``first``;
-    returns ``struct<masked, mapping map<int,string>>``."""
-    parts = F.regexp_extract_all(structure, F.lit(r"(?s)(\[[^\[\]]+\]|.)"), F.lit(1))
-
-    def unknown(p):
-        return p.rlike(r"^\[[^\[\]]+\]$") & ~is_bracket_atom(p)
 
-    marked = F.transform(parts, lambda p: F.struct(p.alias("t"), unknown(p).alias("hit")))
+@F.pandas_udf(_MASKED)
+def _aliases(texts: pd.Series, firsts: pd.Series) -> pd.DataFrame:
+    labels, rows = remembered(_alias), []
+    for text, first in zip(texts, firsts, strict=True):
+        if text is None:
+            rows.append((None, None))
+            continue
+        tokens = _ALIASED.findall(text)
+        rows.append(_write_masks(tokens, labels, range(first, first + len(tokens)), "[*:%d]"))
+    return pd.DataFrame(rows, columns=["masked", "mapping"])
 
-    def write(m):
-        labels = F.transform(
-            F.filter(m, lambda p: p["hit"]), lambda p: F.trim(F.regexp_replace(p["t"], r"^\[|\]$", ""))
-        )
-        numbers = F.sequence(F.lit(first), F.lit(first) + F.size(labels))
-        return let(numbers, lambda n: _write_masks(m, n, labels, "[*:", "]"))
 
-    return let(marked, write)
+def alias_labels(structure: Column, first: int = 1001) -> Column:
+    """Bracket tokens that are no element atom become ``[*:n]`` with n from ``first``;
+    returns ``struct<masked, mapping map<int,string>>``."""
+    return _aliases(structure, F.lit(first))
 
 
 def expand_abbreviation(label: Column) -> Column:

@@ -42,3 +42,20 @@ def test_element_labels_are_known_without_the_pattern(spark):
         return "element" if re.search(S.BRACKET_ATOM, f"[{x}]", re.ASCII) else "other"
 
     assert {r["label"]: r["kind"] for r in rows.collect()} == {x: plain(x) for x in labels}
+
+
+def test_masks_are_made_in_arrow_batches(spark):
+    odd = {
+        "[R12]N*": ("[12*]N*", {}, "[*:1001]N*", {1001: "R12"}),
+        "[Et][ Xx ]C[OMe]": ("[50*][51*]C[52*]", {50: "Et", 51: " Xx ", 52: "OMe"}, "[*:1001][*:1002]C[*:1003]", {1001: "Et", 1002: "Xx", 1003: "OMe"}),
+        "[50*][Foo][51*][Bar]": ("[50*][52*][51*][53*]", {52: "Foo", 53: "Bar"}, "[50*][*:1001][51*][*:1002]", {1001: "Foo", 1002: "Bar"}),
+        "<unk>[Xx": ("C", {}, "<unk>[Xx", {}),
+        "漢C[漢]%12B😀[a]": ("C[50*]%12B[51*]", {50: "漢", 51: "a"}, "漢C[*:1001]%12B😀[*:1002]", {1001: "漢", 1002: "a"}),
+        "[[x]]": ("[50*]", {50: "[x"}, "[[*:1001]]", {1001: "x"}),
+        "": ("", {}, "", {}),
+        None: (None, None, None, None),
+    }
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    got = rows.select("t", S.mask_labels(F.col("t")).alias("m"), S.alias_labels(F.col("t")).alias("a"))
+    assert {r["t"]: (*r["m"], *r["a"]) for r in got.collect()} == odd
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
