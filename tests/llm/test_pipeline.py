@@ -1,14 +1,16 @@
 """The pipeline against a plain-Python chain of its five decisions."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from docmine.llm import quality
+from docmine.llm import quality, texts
 from tests.llm import fixtures as fx
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -92,3 +94,19 @@ def test_stages_take_an_empty_table(spark, tmp_path, stage):
     assert out.collect() == []
     if stage != corpus_pipeline.STAGES[-1][0]:
         assert out.columns == empty.columns
+
+
+def test_a_task_holds_little_beside_a_batch():
+    """What the kernels allocate follows the slice, not the batch that Spark sends."""
+    words = "some plain words of an ordinary line that ends here. " * 40
+    batch = pa.RecordBatch.from_pydict({"_text": [words] * 1500})
+    texts.POWERS.__init__()
+    peak = 0
+    for part in texts.slices(iter([batch]), "_text"):
+        tracemalloc.start()
+        quality._measure(part, quality.LineRules(), "_text")
+        sets = list(texts.shingle_sets(*texts.utf8(part.column("_text")), 5))
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(sets) == part.num_rows
+    assert peak < 48 << 20
