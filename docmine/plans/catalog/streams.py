@@ -21,12 +21,15 @@ def streamed_mining(t):
     part = lambda name: F.pmod(F.xxhash64(F.lit(name), "doc_id", "page_index"), F.lit(PARTS))
     hit = lines(t).select("doc_id", "page_index", rule().alias("hit"), part("page").alias("part"))
     boxes = regions(t).withColumn("part", part("region"))
+    # Lines are cut and judged once for all parts.
+    tables = [(name, materialise(df, name)) for name, df in (("pages", hit), ("regions", boxes))]
     for i in range(PARTS):
-        for name, df in (("pages", hit), ("regions", boxes)):
+        for name, df in tables:
             df.filter(F.col("part") == i).drop("part").write.mode("append").parquet(f"{root}/{name}")
         read = lambda name, df: spark.readStream.schema(df.drop("part").schema).parquet(f"{root}/{name}")
         run = jobs.stream_mine_pages(read("pages", hit), read("regions", boxes), t.labels, F.col("hit"), out, f"{root}/checkpoint")
         run.awaitTermination()
+    release(*[df for _, df in tables])
     return spark.read.parquet(out)
 
 

@@ -23,16 +23,19 @@ ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 class _Document(StatefulProcessor):
     """One document: what is known of each page, whether a text hit was seen, how many pages
-    are saved. Pages and drawings of a document may come in any order and batch."""
+    are saved. Pages and drawings of a document may come in any order and batch. A state row
+    holds what is known of ``RUN`` pages in a row, two bits each, since every look at the
+    state is a call to another process."""
 
     HIT, DRAWN, PAGE = 1, 2, 4
+    RUN = 31
 
     def __init__(self, idle_ms: int | None):
         self.idle_ms = idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pages = handle.getMapState("pages", "page int", "flags int")
+        self.pages = handle.getMapState("page_runs", "run int", "flags bigint")
         self.document = handle.getValueState("document", "hit boolean, saved bigint, version bigint, closed boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -40,17 +43,21 @@ class _Document(StatefulProcessor):
         if closed:
             return
         fresh = [(p, f) for frame in rows for p, f in zip(frame["page_index"].tolist(), frame["flags"].tolist(), strict=True)]
-        known, found, before = {}, [], (hit, saved, version)
+        known, stored, found, before = {}, {}, [], (hit, saved, version)
+        both = self.HIT | self.DRAWN
         for page, flags in fresh:
-            if page not in known:
-                known[page] = self.pages.getValue((page,))[0] if self.pages.containsKey((page,)) else 0
-            old, known[page] = known[page], known[page] | flags
+            run, shift = page // self.RUN, 2 * (page % self.RUN)
+            if run not in known:
+                stored[run] = (self.pages.getValue((run,)) or (0,))[0]
+                known[run] = stored[run]
+            old = known[run] >> shift & both
+            known[run] |= (flags & both) << shift
             hit |= bool(flags & self.HIT)
-            both = self.HIT | self.DRAWN
-            if known[page] & both == both and old & both != both:
+            if old != both and old | flags & both == both:
                 found.append(page)
-        for page, flags in known.items():
-            self.pages.updateValue((page,), (flags,))
+        for run, flags in known.items():
+            if flags != stored[run]:
+                self.pages.updateValue((run,), (flags,))
         if not any(f & self.PAGE for _, f in fresh) and version == 0:
             # Drawings alone make no document.
             return

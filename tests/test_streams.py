@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,57 @@ def test_stream_baseline_equals_batch(spark, tmp_path, alpha):
     assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], rel=1e-9, abs=1e-9) for i in want)
     table.fold(spark.createDataFrame(rows[710:], schema), 2)
     assert {r["id"]: r["step"] for r in table.rows().collect()} == {i: s for i, (s, _) in want.items()}
+
+
+def test_document_state_is_asked_by_runs_of_pages():
+    """A page with its drawing counts once, in any order and batch, and a document's pages are
+    not looked up one by one."""
+    calls = []
+
+    class Held:
+        def __init__(self, name):
+            self.name, self.rows = name, {}
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return self.rows[()]
+
+        def update(self, value):
+            self.rows[()] = value
+
+        def containsKey(self, key):
+            calls.append("contains")
+            return key in self.rows
+
+        def getValue(self, key):
+            calls.append("get")
+            return self.rows.get(key)
+
+        def updateValue(self, key, value):
+            calls.append("update")
+            self.rows[key] = value
+
+    class Handle:
+        def getMapState(self, name, *_):
+            return Held(name)
+
+        getValueState = getMapState
+
+    document = jobs._Document(None)
+    document.init(Handle())
+    page, hit, drawn = 4, 1, 2
+
+    def feed(rows):
+        frame = pd.DataFrame(rows, columns=["page_index", "flags"])
+        out = list(document.handleInputRows((7,), iter([frame]), None))
+        return [r for f in out for r in f["page_index"].dropna().tolist()], [f["n_pages"].tolist()[-1] for f in out]
+
+    assert feed([(p, drawn) for p in range(-3, 93, 3)]) == ([], [])
+    assert len(calls) <= 10
+    found, saved = feed([(p, page | (hit if p % 2 == 0 else 0)) for p in range(-3, 93)])
+    assert sorted(found) == list(range(0, 93, 6)) and saved == [16]
+    assert feed([(p, page | hit) for p in range(0, 93, 6)]) == ([], [])
+    assert feed([(3, page | hit), (3, drawn), (1, drawn | hit), (1, hit)]) == ([3, 1], [18])
+    assert len(calls) <= 40
