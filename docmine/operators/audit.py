@@ -104,17 +104,16 @@ def fallback_audit(df: DataFrame, raw: str, norm: str, labels: str) -> DataFrame
 
 def id_subset_check(structures: DataFrame, atoms: DataFrame, key: str = "mol_id", column: str = "smiles") -> DataFrame:
     """Numbers of ``[n*]`` labels that no wildcard atom of the molecule carries."""
-    wanted = structures.select(
-        key,
-        F.explode(
-            F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(r"\[(\d+)\*\]"), F.lit(1)))
-        ).alias("text"),
-    ).select(key, F.col("text").cast("int").alias("isotope"))
-    have = atoms.filter("symbol = '*' and isotope > 0").select(key, "isotope").distinct()
-    missing = wanted.join(have, [key, "isotope"], "left_anti").withColumn("_missing", F.lit(1))
+    texts = F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(r"\[(\d+)\*\]"), F.lit(1)))
+    wanted = structures.select(key, F.explode(texts).alias("text")).select(
+        key, F.col("text").cast("int").alias("isotope"), F.lit(1).alias("_wanted"), F.lit(0).alias("_had")
+    )
+    had = atoms.filter("symbol = '*' and isotope > 0").select(key, "isotope", F.lit(0).alias("_wanted"), F.lit(1).alias("_had"))
+    # Both sides meet in one aggregation, so that each table is read once and none is joined.
+    met = wanted.unionByName(had).groupBy(key, "isotope").agg(F.max("_wanted").alias("_wanted"), F.max("_had").alias("_had"))
     return (
-        wanted.join(missing, [key, "isotope"], "left")
+        met.filter("_wanted = 1")
         .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("numbers"), F.count("_missing").alias("missing"))
+        .agg(F.count(F.lit(1)).alias("numbers"), F.count_if(F.col("_had") == 0).alias("missing"))
         .withColumn("ok", F.col("missing") == 0)
     )

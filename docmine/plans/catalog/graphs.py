@@ -184,7 +184,7 @@ def isotope_subsets(t):
     """Numbers written in the text that no wildcard atom carries; every fifth atom of the
     table has lost its number."""
     atoms = D.atoms(t.documents).withColumn("isotope", F.when(F.col("idx") % 5 == 0, 0).otherwise(F.col("isotope")))
-    return A.id_subset_check(D.structures(t.documents), atoms)
+    return A.id_subset_check(D.by_molecule(t.documents), atoms)
 
 
 @query(

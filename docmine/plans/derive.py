@@ -90,7 +90,8 @@ def _structure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             smiles = pa.StringArray.from_buffers(len(heads), pa.py_buffer(places[cuts]), pa.py_buffer(_PART_BYTES[spread]))
             star = _IS_STAR[kind]
             labels = pa.ListArray.from_arrays(pa.array(_offsets(star)[cuts]), star_labels.take(pa.array(h[star] // 97 % 8)))
-            mine = part.take(pa.array(owner, pa.int64()))
+            # Without the text, which would be written once per run of its own words.
+            mine = part.select(["doc_id", "source"]).take(pa.array(owner, pa.int64()))
             mol_id = pc.add(pc.multiply(mine.column(0).cast(pa.int64()), RUNS), pa.array(run, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [mol_id, mine.column(0), mine.column(1), smiles, labels, pa.array(h[heads], pa.int64())],

@@ -59,3 +59,37 @@ def test_masks_are_made_in_arrow_batches(spark):
     got = rows.select("t", S.mask_labels(F.col("t")).alias("m"), S.alias_labels(F.col("t")).alias("a"))
     assert {r["t"]: (*r["m"], *r["a"]) for r in got.collect()} == odd
     assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_structures_do_not_copy_the_text_of_their_document():
+    import pyarrow as pa
+
+    from docmine.plans import derive as D
+
+    text = " ".join(f"w{i}" for i in range(30_000))
+    batch = pa.record_batch([pa.array([7]), pa.array(["s"]), pa.array([text])], names=["doc_id", "source", "text"])
+    pool, before = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        found = [(b.column(0)[0].as_py(), b.num_rows) for b in D._structure_rows(iter([batch]))]
+    finally:
+        pa.set_memory_pool(before)
+    assert found == [(7 * D.RUNS, 2500)]
+    assert pool.max_memory() < 20 * len(text)
+
+
+def test_numbers_are_checked_in_one_reading(spark, tmp_path):
+    from docmine.operators import audit as A
+    from docmine.plans import catalog
+
+    smiles = spark.createDataFrame([(1, "[5*]C[05*][2*]"), (2, "[7*]"), (3, "C*"), (4, "[1*][1*]")], "mol_id long, smiles string")
+    rows = [(1, "*", 5), (1, "C", 2), (2, "*", 8), (2, "*", 0), (4, "*", 1), (4, "*", 1), (9, "*", 3)]
+    atoms = spark.createDataFrame(rows, "mol_id long, symbol string, isotope int")
+    got = sorted(map(tuple, A.id_subset_check(smiles, atoms).collect()))
+    assert got == [(1, 2, 1, False), (2, 1, 1, False), (4, 1, 0, True)]
+    docs = spark.createDataFrame([(i, "s", f"a{i} b c d e f g h") for i in range(40)], "doc_id bigint, source string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    checked = catalog.QUERIES["isotope_subsets"](spark, str(tmp_path))
+    checked.collect()
+    plan = checked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
