@@ -215,27 +215,43 @@ atoms AS (
 
 def bonds(documents: DataFrame) -> DataFrame:
     """Chain bonds between neighbours, a few left out, and some ring bonds five ahead."""
-    n = by_molecule(documents).select("mol_id", S.count_atoms(F.col("smiles")).alias("n"))
-    at = n.filter("n > 1").select("mol_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("u"))
-    h = hash_int(F.concat_ws("-", F.col("mol_id"), F.col("u")))
-    staged = at.withColumn("h", h)
-    code = F.when(F.col("h") % 10 < 6, 1).otherwise((F.col("h") % 10 - 4).cast("int")).alias("code")
-    both = staged.select(
+    counted = structures(documents).select("mol_id", S.count_atoms(F.col("smiles")).alias("n"))
+    # Like ``by_molecule``, with one byte per atom pair to shuffle instead of the structure.
+    dealt = counted.mapInArrow(_bond_slots, "mol_id long, slots array<tinyint>").repartition("mol_id")
+    at = dealt.select("mol_id", F.posexplode("slots").alias("u", "slot"))
+    both = at.select(
         "mol_id",
         "u",
         F.explode(
             F.array(
-                F.when(F.col("h") % 7 != 0, F.struct((F.col("u") + 1).alias("v"), code)),
-                F.when(
-                    (F.col("h") % 11 == 0) & (F.col("u") + 5 < F.col("n")),
-                    F.struct((F.col("u") + 5).alias("v"), F.lit(1).alias("code")),
-                ),
+                F.when(F.col("slot") % 8 > 0, F.struct((F.col("u") + 1).alias("v"), (F.col("slot") % 8).cast("int").alias("code"))),
+                F.when(F.col("slot") >= 8, F.struct((F.col("u") + 5).alias("v"), F.lit(1).alias("code"))),
             )
         ).alias("b"),
     ).filter("b is not null")
     return both.select("mol_id", "u", F.col("b.v").alias("v"), F.col("b.code").alias("code"))
 
 
+def _bond_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A number for every atom but the last: the code of the chain bond that starts there or 0,
+    and 8 more where a ring bond starts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64 * ROWS):
+            part = batch.slice(at, 64 * ROWS)
+            n = part.column(1).to_numpy().astype(np.int64)
+            sizes = np.maximum(n - 1, 0)
+            owner, cuts = np.repeat(np.arange(len(n)), sizes), _offsets(sizes)
+            u = np.arange(len(owner)) - cuts[:-1][owner]
+            mol_id = part.column(0).cast(pa.string()).take(pa.array(owner))
+            text = pc.binary_join_element_wise(mol_id, pa.array(u).cast(pa.string()), "-")
+            ends = np.frombuffer(text.buffers()[1], np.int32, len(u) + 1)
+            h = md5_heads(np.frombuffer(text.buffers()[2] or b"", np.uint8), ends[:-1], ends[1:])
+            code = np.where(h % 10 < 6, 1, h % 10 - 4)
+            slots = np.where(h % 7 != 0, code, 0) + np.where((h % 11 == 0) & (u + 5 < n[owner]), 8, 0)
+            listed = pa.ListArray.from_arrays(pa.array(cuts), pa.array(slots.astype(np.int8)))
+            yield pa.RecordBatch.from_arrays([part.column(0), listed], names=["mol_id", "slots"])
+
+
 BONDS_SQL = (
     ATOMS_SQL
     + """,

@@ -1,5 +1,6 @@
 """Steps over molecules that once shuffled every atom or ran per element."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docmine.operators import graphs as R
@@ -39,3 +40,27 @@ def test_molecule_blocks_are_read_in_no_inferred_filter(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     optimised = catalog.QUERIES["molblock_symbols"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in optimised.splitlines() if "Filter" in line and "M  END" in line]
+
+
+def test_bonds_are_hashed_in_batches_before_they_are_dealt_out(spark):
+    from hashlib import md5
+
+    from docmine.functions import structures as S
+
+    docs = spark.createDataFrame([(i, "s", " ".join(f"w{i}.{k}" for k in range(i))) for i in range(1, 60)], "doc_id bigint, source string, text string")
+    docs = docs.unionByName(spark.createDataFrame([(99, "s", ""), (100, "s", None)], docs.schema))
+    counts = D.structures(docs).select("mol_id", S.count_atoms(F.col("smiles")).alias("n")).collect()
+    want = []
+    for mol_id, n in counts:
+        for u in range(n - 1):
+            h = int(md5(f"{mol_id}-{u}".encode()).hexdigest()[:8], 16)
+            if h % 7:
+                want.append((mol_id, u, u + 1, 1 if h % 10 < 6 else h % 10 - 4))
+            if h % 11 == 0 and u + 5 < n:
+                want.append((mol_id, u, u + 5, 1))
+    bonds = D.bonds(docs)
+    assert sorted(map(tuple, bonds.collect())) == sorted(want) and {n for _, n in counts} >= {1, 2}
+    few = pa.record_batch([pa.array([5, 6], pa.int64()), pa.array([0, 1], pa.int32())], names=["mol_id", "n"])
+    assert [b.column(1).to_pylist() for b in D._bond_slots(iter([few]))] == [[[], []]]
+    assert bonds.dtypes == [("mol_id", "bigint"), ("u", "int"), ("v", "int"), ("code", "int")]
+    assert "md5" not in plan(bonds) and plan(R.change_candidates(bonds).groupBy("mol_id").count()).count("Exchange") == 2
