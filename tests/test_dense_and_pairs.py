@@ -162,3 +162,33 @@ def test_topn_in_tiles_is_the_best_of_all(spark, monkeypatch, width, lo, n):
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert got == sorted(want) and len(want) > 50
     assert dense.dense_topn(asked.filter("id = 900"), db, n, lo, width).count() == 0
+
+
+def test_least_hashes_are_those_of_the_plain_remainder():
+    import numpy as np
+
+    from docmine.functions import scalars as N
+
+    rng, pairs, heads = np.random.default_rng(3), N.hash_pairs(20), np.arange(0, 5000, 7)
+    for top in (2, 1 << 20, (1 << 31) - 1):
+        bits = np.concatenate([[0, top - 1, top], rng.integers(0, top, 4997)])
+        for sign in (1, -1):
+            want = [np.minimum.reduceat((sign * bits * a + b) % N.MINHASH_PRIME, heads) for a, b in pairs]
+            assert all((g == w).all() for g, w in zip(search.least_hashes(sign * bits, heads, pairs), want, strict=True))
+
+
+@pytest.mark.parametrize("cluster", [search.component_clusters, search.leader_clusters])
+def test_clusters_read_their_rows_once(spark, cluster):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, sorted({i % 7 * 50 + k for k in range(40)})) for i in range(30)] + [(90, []), (91, None), (92, [])]
+    df = spark.createDataFrame(rows, SCHEMA).mapInArrow(counted, SCHEMA)
+    got = {r["id"]: r["cluster"] for r in cluster(df).collect()}
+    assert got.keys() == {i for i, _ in rows} and [got[i] for i in (90, 91, 92)] == [None] * 3
+    assert all(got[i] <= i % 7 for i in range(30))
+    assert seen.value == len(rows)
