@@ -192,3 +192,12 @@ def test_clusters_read_their_rows_once(spark, cluster):
     assert got.keys() == {i for i, _ in rows} and [got[i] for i in (90, 91, 92)] == [None] * 3
     assert all(got[i] <= i % 7 for i in range(30))
     assert seen.value == len(rows)
+
+
+def test_only_shared_buckets_are_settled(spark, monkeypatch):
+    sizes, founders = [], search.founders
+    monkeypatch.setattr(search, "founders", lambda buckets: sizes.append(buckets.count()) or founders(buckets))
+    rows = [(i, list(range(1000 * i, 1000 * i + 30))) for i in range(20)] + [(50, list(range(1000, 1031)))]
+    got = {r["id"]: r["cluster"] for r in search.leader_clusters(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {**{i: i for i in range(20)}, 50: 1}
+    assert 2 <= sizes[0] <= 50
