@@ -201,3 +201,27 @@ def test_only_shared_buckets_are_settled(spark, monkeypatch):
     got = {r["id"]: r["cluster"] for r in search.leader_clusters(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {**{i: i for i in range(20)}, 50: 1}
     assert 2 <= sizes[0] <= 50
+
+
+def test_a_tile_compares_across_its_blocks_and_a_row_goes_to_a_family_once(spark):
+    import pyarrow as pa
+
+    one, two, other = ("%032x" % k for k in (1, 2, 1 << 64 | 1))
+    rows = [(1, 0, one + two, [1, 2, 3, 4]), (2, 0, one + two, [1, 2, 3, 4]), (3, 1, one + other, [1, 2, 3]), (4, 1, other + two, [1, 2, 3, 4, 5]), (5, 1, other * 2, [1, 2, 3, 4])]
+    names = ["id", "block", "keys", "bits"]
+
+    def pairs(rows, least):
+        columns = dict(zip(names, zip(*rows), strict=True))
+        table = pa.table({**columns, "keys": list(columns["keys"]), "bits": pa.array(list(columns["bits"]), pa.list_(pa.int32()))})
+        return sorted(map(tuple, (r.values() for r in search._tile_pairs(table, 2, least).to_pylist())))
+
+    assert pairs(rows, 0.5) == [(1, 3, 0.75), (1, 4, 0.8), (2, 3, 0.75), (2, 4, 0.8)]
+    assert pairs([(i, 0, k, b) for i, _, k, b in rows], 0.8) == [(1, 2, 1.0), (1, 4, 0.8), (2, 4, 0.8), (4, 5, 0.8)]
+    assert pairs(rows[:1], 0.5) == []
+    base = list(range(100, 160))
+    near = [(i, sorted([*base, 1000 + i])) for i in range(40)]
+    found = search.verified_pairs(spark.createDataFrame(near, SCHEMA), 0.5, tile=8)
+    assert found.count() == 40 * 39 // 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "array_intersect" not in plan
+    assert search.verified_pairs(spark.createDataFrame([], SCHEMA), 0.5).count() == 0
