@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 from math import isqrt
 
 import numpy as np
@@ -25,6 +26,8 @@ SENT = 200_000
 BLOCK = 1 << 18
 #: Cuts of the domain that a set with many empty parts goes through.
 DRAWS = 6
+#: Bits of the map of documents whose texts go to tiles; 1 MB whatever their number.
+MAP_BITS, MAP_PAGE = 1 << 23, 1 << 15
 
 
 @lru_cache
@@ -97,8 +100,50 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def parity_sketch(elements: np.ndarray) -> np.ndarray:
+    """A bit for each of about as many buckets as the set has elements: whether the bucket
+    holds an odd number of them. Sketches of two sets differ in no more bits than the sets
+    in elements. Half of a sketch laid over the other half is the next smaller sketch."""
+    buckets = max(64, 1 << (len(elements) - 1).bit_length())
+    place = (texts.mix(elements ^ _U(0x2545F491)) & _U(buckets - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=buckets) & 1).astype(np.uint8), bitorder="little").view(_U)
+
+
+def may_link(sketches: list[np.ndarray], sizes: np.ndarray, docs: np.ndarray, second: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of a tile some other document's set in the other block (or, if there is one
+    block, in it) may be linked with, as far as sketches can tell. No link is missed."""
+    keep = np.zeros(len(docs), bool)
+    rows = np.flatnonzero(~second)
+    cols = np.flatnonzero(second) if second.any() else rows
+    levels = np.array([len(s) for s in sketches], np.int64)
+
+    def folded(some: np.ndarray, level: int) -> np.ndarray:
+        drawn = np.stack([sketches[i] for i in some])
+        while drawn.shape[1] > level:
+            drawn = drawn[:, : drawn.shape[1] // 2] ^ drawn[:, drawn.shape[1] // 2 :]
+        return drawn
+
+    for a, b in product(np.unique(levels[rows]), np.unique(levels[cols])):
+        left, right = rows[levels[rows] == a], cols[levels[cols] == b]
+        right = right[np.argsort(sizes[right], kind="stable")]
+        lows = np.searchsorted(sizes[right], -(-percent * sizes[left] // 100))
+        highs = np.searchsorted(sizes[right], 100 * sizes[left] // percent, side="right")
+        if not (lows < highs).any():
+            continue
+        x, y = folded(left, min(a, b)), folded(right, min(a, b))
+        for i, own, lo, hi in zip(left, x, lows, highs, strict=True):
+            near = right[lo:hi]
+            differ = np.bitwise_count(y[lo:hi] ^ own).sum(1, dtype=np.int64)
+            allowed = (sizes[i] + sizes[near]) * (100 - percent) // (100 + percent)
+            near = near[(differ <= allowed) & (docs[near] != docs[i])]
+            if len(near):
+                keep[i] = True
+                keep[near] = True
+    return keep
+
+
 def set_sizes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc, n, d1, d2): set size and set digest of every row."""
+    """(doc, n, d1, d2, sketch): set size, set digest and parity sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts.slices(batches, "_text"):
@@ -107,10 +152,11 @@ def set_sizes(docs: DataFrame, words: int) -> DataFrame:
             digests = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_pydict(
                 {"doc": batch.column("_doc"), "n": np.array([len(s) for s in sets], np.int64),
-                 "d1": pa.array([_signed(d[0]) for d in digests], pa.int64()), "d2": pa.array([_signed(d[1]) for d in digests], pa.int64())}
+                 "d1": pa.array([_signed(d[0]) for d in digests], pa.int64()), "d2": pa.array([_signed(d[1]) for d in digests], pa.int64()),
+                 "sketch": pa.array([parity_sketch(s).tobytes() for s in sets], pa.binary())}
             )
 
-    return docs.mapInArrow(run, "doc long, n long, d1 long, d2 long")
+    return docs.mapInArrow(run, "doc long, n long, d1 long, d2 long, sketch binary")
 
 
 def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -170,13 +216,37 @@ def _tile_links(tile: pa.Table, words: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
-def family_links(families: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _tile_candidates(tile: pa.Table, percent: int) -> pa.Table:
+    """The rows of a tile whose sets some other document's set may be linked with."""
+    sketches = [np.frombuffer(s, _U) for s in tile.column("sketch").to_pylist()]
+    docs, sizes = tile.column("doc").to_numpy(), tile.column("n").to_numpy()
+    keep = may_link(sketches, sizes, docs, tile.column("second").to_numpy(zero_copy_only=False), percent)
+    return tile.filter(pa.array(keep)).drop_columns(["n", "sketch"])
+
+
+def rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``_doc`` is not among ``ids`` (doc): a map of hashed
+    ids, as large for any number of them, goes to where the rows are."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    page = ids.select(place("doc").alias("p")).groupBy(F.floor(F.col("p") / MAP_PAGE).alias("_page"))
+    pages = page.agg(F.bitmap_construct_agg(F.col("p") % MAP_PAGE).alias("_bits"))
+    placed = rows.withColumn("_p", place("_doc"))
+    byte = F.floor(F.col("_p") % MAP_PAGE / 8).cast("int")
+    value = F.conv(F.hex(F.substring("_bits", byte + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.call_function("shiftright", value, (F.col("_p") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    # At most 256 pages of 4 KB.
+    met = placed.join(F.broadcast(pages), F.floor(F.col("_p") / MAP_PAGE) == F.col("_page"))
+    return met.filter(on).select(*rows.columns)
+
+
+def family_links(families: DataFrame, rows: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
     """Links among the documents of families (hub, doc, n), verified exactly.
 
     A family is sorted by set size and cut into blocks of about ``BLOCK`` elements; a task
     compares two blocks whose sizes can link, set against set, and gives the links that join
     them. A family of any size is spread over its pairs of blocks, and a pair of documents is
-    never a row."""
+    never a row. Sketches (doc, n, sketch), an eighth of a byte per element, go to the tiles
+    first; only documents that they leave a partner have their texts sent."""
     before = Window.partitionBy("hub").orderBy("n", "doc").rowsBetween(Window.unboundedPreceding, -1)
     block = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / BLOCK)
     members = materialise(families.select(F.col("hub").alias("family"), "doc", "n", block.alias("block")), "members")
@@ -187,13 +257,22 @@ def family_links(families: DataFrame, rows: DataFrame, words: int, percent: int)
     tiles = left.join(right, "family").filter((F.col("x") <= F.col("y")) & (100 * F.col("x_most") >= percent * F.col("y_least")))
     sides = tiles.select("family", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
 
+    placed = sides.join(members, ["family", "block"]).select("family", "x", "y", "doc", (F.col("block") > F.col("x")).alias("second"))
+    small = sketches.select(F.col("doc").alias("d"), "n", "sketch").distinct()
+    drawn = placed.hint("merge").join(small, F.col("doc") == F.col("d")).select("family", "x", "y", "doc", "second", "n", "sketch")
+    kept = drawn.groupBy("family", "x", "y").applyInArrow(
+        lambda t: _tile_candidates(t, percent), "family long, x long, y long, doc long, second boolean"
+    )
+    candidates = materialise(kept.distinct(), "candidates")
+    release(members)
+
     # Texts travel and sets are made in the tile: a text is smaller than its set. The list of
     # documents has no bound, so it is merged with the texts at every size.
-    placed = sides.join(members, ["family", "block"]).select("family", "x", "y", "doc", (F.col("block") > F.col("x")).alias("second"))
-    filled = placed.hint("merge").join(rows, F.col("doc") == F.col("_doc")).select("family", "x", "y", "doc", "second", "_text")
+    sent = rows_of(rows, candidates)
+    filled = candidates.hint("merge").join(sent, F.col("doc") == F.col("_doc")).select("family", "x", "y", "doc", "second", "_text")
     links = filled.groupBy("family", "x", "y").applyInArrow(lambda t: _tile_links(t, words, percent), "a long, b long")
     stored = materialise(links.distinct(), "links")
-    release(members)
+    release(candidates)
     return stored
 
 
@@ -204,9 +283,10 @@ def link_components(
     documents whose shingle sets have 100 * intersection >= percent * union.
 
     Documents that link share a PartEnum signature. Each signature group ties its members to
-    its least member, its hub, and through it to the hub's own least hub, around which sets
-    are compared exactly, block against block (see ``family_links``), so no link is missed. Equal sets are linked by digest, and one of
-    them stands for all that a task met.
+    its least member, its hub, and through it to the hub's own least hub, around which first
+    sketches and then sets are compared exactly, block against block (see ``family_links``),
+    so no link is missed. Equal sets are linked by digest, and one of them stands for all that
+    a task met.
 
     Words are runs without ASCII white space, A-Z folded. Null and empty texts have no set
     and link with nothing, nor do rows without an id, whose component is null. Ids are cast
@@ -234,7 +314,7 @@ def link_components(
     families = materialise(passed.join(sizes, F.col("doc") == F.col("d")).select("hub", "doc", "n"), "families")
     release(met)
 
-    links = family_links(families, rows, words, percent)
+    links = family_links(families, rows, sized.filter("n > 0 AND doc IS NOT NULL"), words, percent)
     labels = materialise(connected_components(links.unionByName(copies), "a", "b"), "labels")
     release(families, links, copies)
     named = sized.join(labels, sized["doc"] == labels["vertex"], "left")
