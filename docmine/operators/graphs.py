@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmine.functions import structures as S
 from docmine.functions.binding import let
 from docmine.functions.text import is_valid_label
-from docmine.operators.components import connected_components
 
 
 def wildcard_atoms(atoms: DataFrame) -> DataFrame:
@@ -100,16 +104,91 @@ def symbol_class_counts(atoms: DataFrame, key: str = "mol_id") -> DataFrame:
     )
 
 
+def _forest(mol: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(molecule, atom, least atom of its part) of every atom that is not the least of its part.
+    ``mol`` counts up from 0."""
+    starts = np.flatnonzero(np.diff(mol, prepend=-1))
+    if not len(u):
+        return mol, u, v
+    top = np.maximum(u, v)
+    spans = np.zeros(int(mol[-1]) + 1, np.int64)
+    spans[mol[starts]] = np.maximum.reduceat(np.minimum(top, 1 << 40), starts) + 1
+    ids = None
+    if min(u.min(), v.min()) < 0 or spans.sum() > 8 * len(u) + 1024:
+        # Atoms far apart are numbered anew.
+        ids, both = np.unique(np.concatenate([u, v]), return_inverse=True)
+        keys, places = np.unique(np.concatenate([mol, mol]) * len(ids) + both, return_inverse=True)
+        owner, atom = keys // len(ids), ids[keys % len(ids)]
+        a, b = places[: len(u)], places[len(u) :]
+    else:
+        base = np.cumsum(spans) - spans
+        owner = np.repeat(np.arange(len(spans)), spans)
+        atom = np.arange(len(owner)) - base[owner]
+        a, b = u + base[mol], v + base[mol]
+    root = np.arange(len(owner))
+    while len(a):
+        high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        apart = high > low
+        a, b, high, low = a[apart], b[apart], high[apart], low[apart]
+        # Roots hang on smaller roots; of several bonds to one root, one counts in a round.
+        root[high] = low
+        while True:
+            further = root[root]
+            if np.array_equal(further, root):
+                break
+            root = further
+    hung = np.flatnonzero(root != np.arange(len(root)))
+    return owner[hung], atom[hung], atom[root[hung]]
+
+
+def bond_closures(bonds: DataFrame, key: str = "mol_id") -> DataFrame:
+    """(key, n_bonds, _merged) per molecule: its bonds, and its atoms minus components, the
+    number of bonds that join two parts. Rows come sorted by molecule; a task holds a batch of
+    bonds and, of a molecule that goes on in the next, one bond per atom at most."""
+    kind = bonds.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(keys, counts, merged):
+            return pa.RecordBatch.from_arrays(
+                [keys, pa.array(counts, pa.int64()), pa.array(merged, pa.int64())], names=[key, "n_bonds", "_merged"]
+            )
+
+        open_key, n, held = None, 0, (np.zeros(0, np.int64),) * 2
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0)
+            new = np.ones(len(keys), bool)
+            new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+            heads = np.flatnonzero(new)
+            counts = np.diff(np.append(heads, len(keys)))
+            real = pc.fill_null(pc.not_equal(batch.column(1), batch.column(2)), False).to_numpy(zero_copy_only=False)
+            mol = (np.cumsum(new) - 1)[real]
+            u, v = (pc.fill_null(batch.column(i), 0).to_numpy()[real] for i in (1, 2))
+            if open_key is not None and open_key[0].equals(keys[0]):
+                counts[0] += n
+                mol = np.concatenate([np.zeros(len(held[0]), np.int64), mol])
+                u, v = np.concatenate([held[0], u]), np.concatenate([held[1], v])
+            elif open_key is not None:
+                yield rows(open_key, [n], [len(held[0])])
+            owner, atom, least = _forest(mol, u, v)
+            last = len(heads) - 1
+            yield rows(keys.take(pa.array(heads[:-1])), counts[:-1], np.bincount(owner, minlength=len(heads))[:-1])
+            open_key, n = keys.slice(int(heads[-1]), 1), int(counts[-1])
+            held = (atom[owner == last], least[owner == last])
+        if open_key is not None:
+            yield rows(open_key, [n], [len(held[0])])
+
+    ends = bonds.filter(F.col(key).isNotNull()).select(key, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    # The window sorts the rows of a molecule together; those dealt out by molecule stay where they are.
+    together = ends.withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    return together.filter("_row > 0").select(key, "u", "v").mapInArrow(run, f"`{key}` {kind}, n_bonds long, _merged long")
+
+
 def merged_atoms(bonds: DataFrame, key: str = "mol_id") -> DataFrame:
     """Atoms minus components per molecule (``_merged``), the number of bonds that join two
-    parts, from the distributed closure over (molecule, atom) vertices."""
-    vertex = lambda c: F.struct(F.col(key).alias("m"), F.col(c).alias("i"))
-    roots = connected_components(bonds.select(vertex("u").alias("a"), vertex("v").alias("b")), "a", "b")
-    return (
-        roots.filter(F.col("vertex") != F.col("component"))
-        .groupBy(F.col("vertex.m").alias(key))
-        .agg(F.count(F.lit(1)).alias("_merged"))
-    )
+    parts."""
+    return bond_closures(bonds, key).filter("_merged > 0").select(key, "_merged")
 
 
 def graph_counts(atoms: DataFrame, bonds: DataFrame, key: str = "mol_id") -> DataFrame:
@@ -120,12 +199,9 @@ def graph_counts(atoms: DataFrame, bonds: DataFrame, key: str = "mol_id") -> Dat
         F.count_if(heavy).alias("n_heavy"),
         F.count_if(heavy & ~F.col("symbol").isin("C")).alias("n_hetero"),
     )
-    b = bonds.groupBy(key).agg(F.count(F.lit(1)).alias("n_bonds"))
-    merged = merged_atoms(bonds, key)
     zero = F.lit(0)
     return (
-        a.join(b, key, "left")
-        .join(merged, key, "left")
+        a.join(bond_closures(bonds, key), key, "left")
         .select(
             key, "n_atoms", "n_heavy", "n_hetero",
             F.coalesce("n_bonds", zero).alias("n_bonds"),
