@@ -1,14 +1,23 @@
-"""Token id sequences: vocabulary, encoding, decoding and checks."""
+"""Token id sequences: vocabulary, encoding, decoding and checks.
+
+Sequences are written, read and checked in Arrow batches: a lambda of column expressions takes
+longer for an id than a batch takes for all ids of a row."""
 
 from __future__ import annotations
 
+import re
 import string
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmine.functions import structures as S
 from docmine.functions.binding import let
+from docmine.functions.runs import remembered
 
 # Special tokens and the signs that follow letters and digits.
 SPECIAL = ("<PAD>", "<SOS>", "<EOS>", "<UNK>")
@@ -63,29 +72,66 @@ def token_kind(t: Column, n_bins: int = DEFAULT_BINS) -> Column:
     )
 
 
+def offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def flat_lists(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(entries of all lists, offsets); a null list has none."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), offsets(sizes)
+
+
+def _list_of(cuts: np.ndarray, values: pa.Array, like: pa.Array | None = None) -> pa.Array:
+    """Lists of values, null where ``like`` is."""
+    made = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
+    return made if like is None or not like.null_count else pc.if_else(like.is_valid(), made, pa.scalar(None, made.type))
+
+
+#: Stand for the x and the y bin of an atom until the bins are filled in.
+_X, _Y = -1, -2
+_IDS = {c: i + FIRST_CHAR for i, c in enumerate(CHARACTERS)}
+
+
+def _token_ids(token: str) -> bytes:
+    ids = [_IDS.get(c, UNK) for c in token]
+    return np.array(ids + [_X, _Y] if token[0] in "[*" or token[0].isalpha() else ids, np.int32).tobytes()
+
+
+def write_ids(texts: list[str | None], x: np.ndarray, y: np.ndarray, cuts: np.ndarray, n_bins: int = DEFAULT_BINS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all texts, offsets, atoms per text). ``x`` and ``y`` are bins in atom order, cut
+    per text at ``cuts``; atoms beyond them take bin 0."""
+    find, ids_of = S._FIND_TOKENS.findall, remembered(_token_ids)
+    start, end = (np.array([t], np.int32).tobytes() for t in (SOS, EOS))
+    rows = [b"" if t is None else b"".join([start, *[ids_of[k] for k in find(t)], end]) for t in texts]
+    ends = offsets(np.array([len(r) // 4 for r in rows], np.int64))
+    ids = np.frombuffer(bytearray(b"".join(rows)), np.int32)
+    at = np.flatnonzero(ids == _X)
+    first = np.searchsorted(at, ends)
+    atoms = np.diff(first)
+    owner = np.repeat(np.arange(len(rows)), atoms)
+    place = np.arange(len(at)) - first[:-1][owner]
+    given = place < np.diff(cuts)[owner]
+    source = (cuts[:-1][owner] + place)[given]
+    for values, base, lag in ((x, FIRST_X, 0), (y, first_y(n_bins), 1)):
+        bins = np.zeros(len(at), np.int64)
+        bins[given] = np.clip(values[source], 0, n_bins - 1)
+        ids[at + lag] = bins + base
+    return ids, ends, atoms
+
+
 def encode(structure: Column, bins: Column, n_bins: int = DEFAULT_BINS) -> Column:
     """Ids: start, characters of each token, its x and y bin after an atom, end. ``bins`` is
     ``array<struct<x,y>>`` in atom order; atoms beyond it take bin 0."""
-    atom_bins = F.transform(
-        F.coalesce(bins, F.array().cast("array<struct<x:int,y:int>>")),
-        lambda b: F.array(_bin_id(b["x"], FIRST_X, n_bins), _bin_id(b["y"], first_y(n_bins), n_bins)),
-    )
-    origin = F.array(F.lit(FIRST_X), F.lit(first_y(n_bins)))
-
-    def write(text, runs, places):
-        # The i-th run ends with the i-th atom; what follows the last run holds none.
-        body = F.transform(runs, lambda r, i: F.concat(char_ids(r), F.coalesce(F.get(places, i), origin)))
-        tail = F.substring(text, F.length(F.array_join(runs, "")) + 1, F.length(text))
-        return F.concat(F.array(F.lit(SOS)), F.flatten(body), char_ids(tail), F.array(F.lit(EOS)))
-
-    return let(
-        F.array_join(S.tokenise(structure), ""),
-        lambda text: let(S.runs_to_atoms(text), lambda runs: let(atom_bins, lambda places: write(text, runs, places))),
-    )
 
+    @F.arrow_udf("array<int>")
+    def written(texts: pa.Array, places: pa.Array) -> pa.Array:
+        flat, cuts = flat_lists(places)
+        x, y = (pc.fill_null(pc.struct_field(flat, [axis]), 0).to_numpy(zero_copy_only=False).astype(np.int64) for axis in "xy")
+        ids, ends, _ = write_ids(texts.to_pylist(), x, y, cuts, n_bins)
+        return _list_of(ends, pa.array(ids), texts)
 
-def _bin_id(value: Column, base: int, n_bins: int) -> Column:
-    return (F.least(F.greatest(value, F.lit(0)), F.lit(n_bins - 1)) + base).cast("int")
+    return written(structure, F.coalesce(bins, F.array().cast("array<struct<x:int,y:int>>")))
 
 
 def decode_text(ids: Column, n_bins: int = DEFAULT_BINS) -> Column:
@@ -104,26 +150,96 @@ def decode_text(ids: Column, n_bins: int = DEFAULT_BINS) -> Column:
 
 
 ATOM_WITH_PLACE = r"(\[[^\]{}]*\]?|Cl|Br|se|te|[A-Za-z])\{(\d+),(\d+)\}"
+_PLACED = re.compile(ATOM_WITH_PLACE, re.ASCII)
+_PAIRED = re.compile(ATOM_WITH_PLACE.replace(r"(\d+),(\d+)", ""), re.ASCII)
+_PLACES = re.compile(r"\{\d+,|\d+\}", re.ASCII)
+
+
+def _texts(ids: np.ndarray, ends: np.ndarray, n_bins: int) -> tuple[list[str], np.ndarray]:
+    """Text of every row with an x bin as ``{`` and a y bin as ``}``; and which rows have each y
+    bin directly behind an x bin and each x bin before one."""
+    signs = np.zeros(first_y(n_bins) + n_bins + 1, np.uint8)
+    signs[FIRST_CHAR:FIRST_X] = np.frombuffer("".join(CHARACTERS).encode(), np.uint8)
+    signs[FIRST_X : first_y(n_bins)], signs[first_y(n_bins) : -1] = ord("{"), ord("}")
+    known = (ids >= 0) & (ids < len(signs))
+    drawn = signs[np.where(known, ids, 0)]
+    x, y = drawn == ord("{"), drawn == ord("}")
+    after, head = np.append(y[1:], False), np.append(False, x[:-1])
+    head[ends[:-1][ends[:-1] < len(ids)]] = False
+    after[ends[1:][ends[1:] > 0] - 1] = False
+    odd = offsets((x & ~after) | (y & ~head))
+    some = drawn > 0
+    cuts = offsets(some)[ends]
+    text = drawn[some].tobytes().decode()
+    return [text[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], odd[ends[1:]] == odd[ends[:-1]]
 
 
 def decode(ids: Column, n_bins: int = DEFAULT_BINS) -> Column:
-    """``struct<smiles, atoms array<struct<symbol,x,y>>, success>``."""
-    return let(decode_text(ids, n_bins), _decode)
-
-
-def _decode(text: Column) -> Column:
-    part = lambda g: F.regexp_extract_all(text, F.lit(ATOM_WITH_PLACE), F.lit(g))
-    atoms = F.transform(
-        F.arrays_zip(part(1).alias("s"), part(2).alias("x"), part(3).alias("y")),
-        lambda a: F.struct(a["s"].alias("symbol"), a["x"].cast("int").alias("x"), a["y"].cast("int").alias("y")),
-    )
-    plain = F.regexp_replace(text, r"\{\d+,|\d+\}", "")
-    return F.struct(plain.alias("smiles"), atoms.alias("atoms"), (F.size(atoms) > 0).alias("success"))
+    """``struct<smiles, atoms array<struct<symbol,x,y>>, success>``: ids up to the end mark, a
+    character that is followed by its bins is an atom (see ``decode_text``)."""
+
+    @F.arrow_udf("struct<smiles:string,atoms:array<struct<symbol:string,x:int,y:int>>,success:boolean>")
+    def read(lists: pa.Array) -> pa.Array:
+        flat, ends = flat_lists(lists)
+        values = pc.fill_null(flat, UNK).to_numpy().astype(np.int64)
+        stops = np.flatnonzero((values == EOS) | (values == PAD))
+        stop = np.minimum(np.append(stops, len(values))[np.searchsorted(stops, ends[:-1])], ends[1:])
+        kept = np.arange(len(values)) < np.repeat(stop, np.diff(ends))
+        cuts, values = offsets(kept)[ends], values[kept]
+        drawn, paired = _texts(values, cuts, n_bins)
+        place = np.flatnonzero((values >= FIRST_X) & (values < first_y(n_bins)))
+        first = np.searchsorted(place, cuts).tolist()
+        # Of the last row's last bin nothing follows.
+        x, y = (np.append(values, 0)[place + lag] - base for lag, base in ((0, FIRST_X), (1, first_y(n_bins))))
+        smiles, symbols, xs, ys, counts = [], [], [], [], []
+        for i, text in enumerate(drawn):
+            found = _PAIRED.findall(text) if paired[i] else ()
+            a, b = first[i], first[i + 1]
+            if paired[i] and len(found) == b - a:
+                smiles.append(text.replace("{}", ""))
+                symbols += found
+                xs.append(x[a:b])
+                ys.append(y[a:b])
+                counts.append(b - a)
+                continue
+            whole = _spelled(values[cuts[i] : cuts[i + 1]], n_bins)
+            atoms = _PLACED.findall(whole)
+            smiles.append(_PLACES.sub("", whole))
+            symbols += [t for t, _, _ in atoms]
+            xs.append(np.array([int(v) for _, v, _ in atoms], np.int64))
+            ys.append(np.array([int(v) for _, _, v in atoms], np.int64))
+            counts.append(len(atoms))
+        none = np.zeros(0, np.int64)
+        axes = [pa.array(np.concatenate([none, *v]).astype(np.int32)) for v in (xs, ys)]
+        atoms = pa.StructArray.from_arrays([pa.array(symbols, pa.string()), *axes], ["symbol", "x", "y"])
+        counts = np.array(counts, np.int64)
+        parts = [pa.array(smiles, pa.string()), _list_of(offsets(counts), atoms), pa.array(counts > 0)]
+        mask = pc.is_null(lists) if lists.null_count else None
+        return pa.StructArray.from_arrays(parts, ["smiles", "atoms", "success"], mask=mask)
+
+    return read(ids)
+
+
+def _spelled(ids: np.ndarray, n_bins: int) -> str:
+    """The text of ``decode_text`` for ids before the end mark."""
+    y = first_y(n_bins)
+    shown = {**{i + FIRST_CHAR: c for i, c in enumerate(CHARACTERS)}, **{FIRST_X + i: f"{{{i}," for i in range(n_bins)}, **{y + i: f"{i}}}" for i in range(n_bins)}}
+    return "".join([shown.get(i, "") for i in ids.tolist()])
 
 
 def atom_positions(ids: Column, n_bins: int = DEFAULT_BINS) -> Column:
     """0-based positions of y-bin ids."""
-    return F.filter(F.transform(ids, lambda t, i: F.when(is_y(t, n_bins), i)), lambda i: i.isNotNull())
+
+    @F.arrow_udf("array<int>")
+    def found(lists: pa.Array) -> pa.Array:
+        flat, ends = flat_lists(lists)
+        values = pc.fill_null(flat, PAD).to_numpy()
+        at = np.flatnonzero((values >= first_y(n_bins)) & (values < first_y(n_bins) + n_bins))
+        cuts = np.searchsorted(at, ends)
+        starts = np.repeat(ends[:-1], np.diff(cuts))
+        return _list_of(cuts, pa.array((at - starts).astype(np.int32)), lists)
+
+    return found(ids)
 
 
 def grammar_violations(ids: Column, n_bins: int = DEFAULT_BINS) -> Column:
@@ -131,26 +247,43 @@ def grammar_violations(ids: Column, n_bins: int = DEFAULT_BINS) -> Column:
     y without x before it, anything but a character after the start mark, and padding, a
     start mark or an unknown mark behind any token (padding may follow the end and itself)."""
 
-    def bad(a, b):
-        ax, bx, by = is_x(a, n_bins), is_x(b, n_bins), is_y(b, n_bins)
-        ay = is_y(a, n_bins)
+    @F.arrow_udf("int")
+    def counted(lists: pa.Array) -> pa.Array:
+        flat, ends = flat_lists(lists)
+        values = pc.fill_null(flat, -1).to_numpy()
+        a, b = values[:-1], values[1:]
+        x, y = ((values >= low) & (values < low + n_bins) for low in (FIRST_X, first_y(n_bins)))
+        ax, bx, ay, by = x[:-1], x[1:], y[:-1], y[1:]
         character = (b >= FIRST_CHAR) & (b < FIRST_X)
-        stray = (b == SOS) | (b == UNK) | ((b == PAD) & ~a.isin(EOS, PAD))
-        return (ax & ~by) | (ay & (bx | by)) | (~ax & ~ay & by) | ((a == SOS) & ~character & ~by) | stray
-
-    pairs = F.arrays_zip(F.slice(ids, F.lit(1), F.greatest(F.size(ids) - 1, F.lit(0))).alias("a"),
-                         F.slice(ids, F.lit(2), F.size(ids)).alias("b"))
-    return F.size(F.filter(pairs, lambda p: bad(p["a"], p["b"])))
+        stray = (b == SOS) | (b == UNK) | ((b == PAD) & (a != EOS) & (a != PAD))
+        bad = (ax & ~by) | (ay & (bx | by)) | (~ax & ~ay & by) | ((a == SOS) & ~character & ~by) | stray
+        # Beside a null nothing is wrong but what is wrong beside any token.
+        bad = np.where((a >= 0) & (b >= 0), bad, (b == SOS) | (b == UNK))
+        upto = offsets(bad)
+        last = np.maximum(ends[1:] - 1, ends[:-1])
+        clip = len(upto) - 1
+        counts = upto[np.minimum(last, clip)] - upto[np.minimum(ends[:-1], clip)]
+        return pc.if_else(lists.is_valid(), pa.array(counts.astype(np.int32)), pa.scalar(None, pa.int32()))
+
+    return counted(ids)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _trimmed(lists: pa.Array) -> pa.Array:
+    flat, ends = flat_lists(lists)
+    values = pc.fill_null(flat, PAD).to_numpy()
+    marks, ink = np.flatnonzero(values == EOS), np.flatnonzero(values != PAD)
+    stop = np.minimum(np.append(marks + 1, len(values) + 1)[np.searchsorted(marks, ends[:-1])], ends[1:])
+    last = np.append(ink, -1)[np.searchsorted(ink, stop) - 1] + 1
+    sizes = np.maximum(last - ends[:-1], 0)
+    cuts = offsets(sizes)
+    places = np.arange(cuts[-1]) + np.repeat(ends[:-1] - cuts[:-1], sizes)
+    return _list_of(cuts, flat.take(pa.array(places)), lists)
 
 
 def trim(ids: Column) -> Column:
     """Cut behind the first end mark, then drop padding at the tail."""
-    end = F.array_position(ids, EOS)
-    cut = F.when(end > 0, F.slice(ids, F.lit(1), end.cast("int"))).otherwise(ids)
-    last = F.coalesce(
-        F.array_max(F.transform(cut, lambda t, i: F.when(t != PAD, i + 1))), F.lit(0)
-    )
-    return F.slice(cut, F.lit(1), last)
+    return _trimmed(ids)
 
 
 def truncate(ids: Column, positions: Column, limit: int) -> Column:

@@ -64,6 +64,7 @@ BRACKET_ATOM = (
 
 
 _FIND_TOKENS = re.compile(TOKENS, re.ASCII)
+_FIND_ATOMS = re.compile(_ATOMS, re.ASCII)
 _BRACKET_ATOM = re.compile(BRACKET_ATOM, re.ASCII)
 _NUMBERED = re.compile(r"\[R(\d+)\]", re.ASCII)
 
@@ -97,6 +98,16 @@ def quick_normalise(structure: Column) -> Column:
     return F.when(first.contains("*"), F.array_join(swapped, "")).otherwise(first)
 
 
+_NUMBERED_STAR = re.compile(r"\[(\d+)\*\]", re.ASCII)
+_STAR_OR_BLOCK = re.compile(r"(\[[^\]]*\]?)|\*")
+
+
+def plain_quick_normalise(text: str) -> str:
+    """``quick_normalise`` of one text."""
+    first = _NUMBERED_STAR.sub(r"[R\1]", text)
+    return _STAR_OR_BLOCK.sub(lambda m: m[1] or "[R]", first) if "*" in first else first
+
+
 def bare_stars(structure: Column) -> Column:
     """Stars outside closed brackets."""
     outside = F.regexp_replace(structure, r"\[[^\]]*\]", "")
@@ -469,6 +480,10 @@ def count_atoms(structure: Column) -> Column:
     return F.size(atom_tokens(structure))
 
 
+def plain_count_atoms(text: str) -> int:
+    return len(_FIND_ATOMS.findall(text))
+
+
 def bracket_labels(structure: Column) -> Column:
     """``array<struct<atom_idx,label>>`` of bracket atoms among the atom tokens."""
     marked = F.transform(

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmine.functions import scalars as N
 from docmine.functions import sequences as Q
 from docmine.functions import structures as S
 from docmine.functions import text as T
-from docmine.functions.binding import let
 
 
 def sequence_rows(
@@ -21,45 +24,64 @@ def sequence_rows(
     Labels are normalised, foreign characters rejected, coordinates parsed, scaled to the
     image and binned, the sequence written; rows too long or with too many atoms are marked.
     """
-    norm = S.quick_normalise(F.col(smiles))
-    points = Q.parse_coords(F.col(coords))
-    low = lambda pts, i: F.array_min(F.transform(pts, lambda p: p[i]))
-    high = lambda pts, i: F.array_max(F.transform(pts, lambda p: p[i]))
-
-    def scaled(pts):
-        box = F.struct(
-            low(pts, 0).alias("x0"), high(pts, 0).alias("x1"), low(pts, 1).alias("y0"), high(pts, 1).alias("y1")
-        )
-        span = lambda b, a: F.greatest(b[f"{a}1"] - b[f"{a}0"], F.lit(1e-6))
-        return let(
-            box,
-            lambda b: F.transform(
-                pts,
-                lambda p: F.struct(
-                    N.quantise((p[0] - b["x0"]) / span(b, "x") * extent, extent, n_bins).alias("x"),
-                    N.quantise((b["y1"] - p[1]) / span(b, "y") * extent, extent, n_bins).alias("y"),
-                ),
-            ),
-        )
-
-    encoded = rows.select(
-        key, let(F.struct(norm.alias("norm"), points.alias("pts")), lambda m: F.struct(
-            m["norm"].alias("norm"), m["pts"].alias("pts"),
-            Q.encode(m["norm"], scaled(m["pts"]), n_bins).alias("ids"),
-        )).alias("m")
-    ).select(key, "m.norm", "m.pts", "m.ids")
-    counted = encoded.withColumn("n_atoms", F.size(Q.atom_positions(F.col("ids"), n_bins)))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norms = [None if t is None else S.plain_quick_normalise(t) for t in batch.column(1).to_pylist()]
+            has, cuts, p = _points(batch.column(2))
+            x, y = (_bins(p[i::2], cuts, extent, n_bins, flip) for i, flip in ((0, False), (1, True)))
+            ids, ends, atoms = Q.write_ids(norms, x, y, cuts, n_bins)
+            known = pa.array([t is not None for t in norms], pa.bool_())
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            columns = [
+                batch.column(0), pa.array(norms, pa.string()), pc.if_else(known, lists, pa.scalar(None, lists.type)),
+                pc.if_else(known, pa.array(atoms.astype(np.int32)), pa.scalar(None, pa.int32())), pa.array(has),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "norm", "ids", "n_atoms", "has_coords"])
+
+    parsed = rows.select(key, smiles, F.from_json(coords, "array<array<double>>").alias("_points"))
+    counted = parsed.mapInArrow(run, f"`{key}` {kind}, norm string, ids array<int>, n_atoms int, has_coords boolean")
     status = (
         F.when(T.is_blank(F.col("norm")), "blank")
         .when(~T.in_alphabet(F.col("norm")), "foreign_character")
-        .when(F.col("pts").isNull(), "bad_coords")
+        .when(~F.col("has_coords"), "bad_coords")
         .when((F.col("n_atoms") < 1) | (F.col("n_atoms") > max_atoms), "atom_count")
         .when(F.size("ids") > max_length, "too_long")
         .otherwise("ok")
     )
-    return counted.select(
-        key, "norm", "ids", "n_atoms", F.col("pts").isNotNull().alias("has_coords"), status.alias("status")
-    )
+    return counted.select(key, "norm", "ids", "n_atoms", "has_coords", status.alias("status"))
+
+
+def _points(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with usable points, offsets of their points, x and y of all points in turn). As in
+    ``Q.parse_coords`` every entry has to be a pair, and there has to be one."""
+    pairs, cuts = Q.flat_lists(lists)
+    sizes = pc.fill_null(pc.list_value_length(pairs), 0).to_numpy(zero_copy_only=False)
+    values = pairs.flatten()
+    inner = Q.offsets(sizes)
+    empty = Q.offsets(values.is_null().to_numpy(zero_copy_only=False))
+    bad = Q.offsets((sizes != 2) | (empty[inner[1:]] > empty[inner[:-1]]))
+    counts = np.diff(cuts)
+    has = (counts > 0) & (bad[cuts[1:]] == bad[cuts[:-1]])
+    kept = np.repeat(np.repeat(has, counts), sizes)
+    return has, Q.offsets(counts * has), values.to_numpy(zero_copy_only=False).astype(np.float64)[kept]
+
+
+def _bins(p: np.ndarray, cuts: np.ndarray, extent: int, n_bins: int, flip: bool) -> np.ndarray:
+    """Bins of one coordinate, scaled to the image by its range in each row. Not-a-number counts
+    as larger than any number, as in Spark."""
+    sizes = np.diff(cuts)
+    heads = cuts[:-1][sizes > 0]
+    if not len(p):
+        return np.zeros(0, np.int64)
+    with np.errstate(invalid="ignore", over="ignore"):
+        low, high = np.fmin.reduceat(p, heads), np.maximum.reduceat(p, heads)
+        span = np.maximum(high - low, 1e-6)
+        low, high, span = (np.repeat(v, sizes[sizes > 0]) for v in (low, high, span))
+        value = ((high - p) if flip else (p - low)) / span * extent
+        inside = np.fmin(np.maximum(value, 0.0), extent - 1)
+        return np.clip(np.floor(inside / extent * n_bins), 0, n_bins - 1).astype(np.int64)
 
 
 def sequence_metrics(pairs: DataFrame, n_bins: int = 64, keys=()) -> DataFrame:
